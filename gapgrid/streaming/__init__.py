@@ -1,0 +1 @@
+"""Intentionally without operators: inputs are dated file drops handled as batch tables (see README)."""
