@@ -33,22 +33,18 @@ def poisson_glm(train: DataFrame, target: str = "query_count", p: Params = DEFAU
     return glr.fit(data.withColumn("y", F.col(target).cast("double")))
 
 
-def _psi(x: Column) -> Column:
-    """Digamma for x > 0: recurrence to x + 8, then the asymptotic series."""
+def _psi(x, log=F.log):
+    """Digamma for x > 0 (column or number): recurrence to x + 8, then the asymptotic series."""
     z = x + 8
-    out = (F.log(z) - 0.5 / z - 1 / (12 * z * z) + 1 / (120 * F.pow(z, 4.0)) - 1 / (252 * F.pow(z, 6.0)) + 1 / (240 * F.pow(z, 8.0)))
-    for i in range(8):
-        out = out - 1 / (x + i)
-    return out
+    r = 1 / (z * z)
+    return log(z) - 0.5 / z - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r / 240))) - sum(1 / (x + i) for i in range(8))
 
 
-def _psi1(x: Column) -> Column:
-    """Trigamma for x > 0."""
+def _psi1(x):
+    """Trigamma for x > 0 (column or number)."""
     z = x + 8
-    out = (1 / z + 0.5 / (z * z) + 1 / (6 * F.pow(z, 3.0)) - 1 / (30 * F.pow(z, 5.0)) + 1 / (42 * F.pow(z, 7.0)))
-    for i in range(8):
-        out = out + 1 / ((x + i) * (x + i))
-    return out
+    r = 1 / (z * z)
+    return 1 / z + r / 2 + r / z * (1 / 6 - r * (1 / 30 - r / 42)) + sum(1 / ((x + i) * (x + i)) for i in range(8))
 
 
 def with_models(rows: DataFrame, folds: list[int]) -> DataFrame:
@@ -74,7 +70,7 @@ def _linear(coefs: dict[int, np.ndarray], names: list[str]) -> Column:
 
 
 def fit_counts(rows: DataFrame, target: str = "query_count", p: Params = DEFAULT, dispersion: bool = False,
-               max_iter: int = 100, tol: float = 1e-9) -> dict[int, np.ndarray]:
+               max_iter: int = 100, tol: float = 1e-8) -> dict[int, np.ndarray]:
     """Coefficients (intercept, predictors…, and alpha with ``dispersion``) per model id.
 
     ``rows`` carries ``model``. The NB2 fit starts at the Poisson solution and updates the coefficients and
@@ -119,8 +115,9 @@ def _passes(data: DataFrame, names: list[str], beta: dict, theta: dict | None, m
         sums += [F.sum(F.col("w") * x[i] * F.col("work")).alias(f"b{i}") for i in range(size)]
         if theta is not None:
             t, y, m = F.col("th"), F.col("y"), F.col("mu")
-            sums.append(F.sum(_psi(y + t) - _psi(t) + F.log(t / (t + m)) + 1 - (y + t) / (m + t)).alias("s1"))
-            sums.append(F.sum(_psi1(t) * -1 + _psi1(y + t) + 1 / t - 2 / (t + m) + (y + t) / ((t + m) * (t + m))).alias("s2"))
+            sums.append(F.sum(_psi(y + t) - F.log(t + m) + 1 - (y + t) / (m + t)).alias("s1"))
+            sums.append(F.sum(_psi1(y + t) - 2 / (t + m) + (y + t) / ((t + m) * (t + m))).alias("s2"))
+            sums.append(F.count(F.lit(1)).alias("n"))
         shift = 0.0
         for r in cur.groupBy("model").agg(*sums).collect():
             a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)])
@@ -129,8 +126,11 @@ def _passes(data: DataFrame, names: list[str], beta: dict, theta: dict | None, m
             beta[r.model] = new
             if theta is not None:
                 th = theta[r.model]
-                slope = r.s2 * th * th + r.s1 * th  # curvature in log(theta)
-                move = -r.s1 * th / slope if slope < 0 else math.copysign(0.5, r.s1)
+                # terms of theta alone are added once per model here
+                s1 = r.s1 + r.n * (math.log(th) - _psi(th, math.log))
+                s2 = r.s2 + r.n * (1 / th - _psi1(th))
+                slope = s2 * th * th + s1 * th  # curvature in log(theta)
+                move = -s1 * th / slope if slope < 0 else math.copysign(0.5, s1)
                 move = max(-1.0, min(1.0, move))
                 theta[r.model] = min(1e8, th * math.exp(move))
                 shift = max(shift, abs(move) if theta[r.model] < 1e8 else 0.0)
