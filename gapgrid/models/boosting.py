@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapgrid.functions.ordering import hash_rank
@@ -23,11 +24,15 @@ MAX_BINS, DEFAULT_DEPTH, PATIENCE, STOP_TOL = 255, 5, 10, 1e-7
 
 @dataclass
 class Boosted:
-    """Bin edges per predictor and, per model, the base score and the trees as (leaf rules) tables."""
+    """Bin edges per predictor and, per model, the base score and its trees.
+
+    A tree is three lists indexed by node (root 1, children 2n and 2n + 1): predictor number or −1 for a leaf,
+    the last bin that goes left, and the value.
+    """
 
     edges: dict[str, list[float]]
     base: dict[int, float]
-    trees: dict[int, list[dict]] = field(default_factory=dict)
+    trees: dict[int, list[tuple[list[int], list[int], list[float]]]] = field(default_factory=dict)
     train_loss: dict[int, list[float]] = field(default_factory=dict)
     reserve_loss: dict[int, list[float]] = field(default_factory=dict)
     settings: dict[int, dict] = field(default_factory=dict)
@@ -43,14 +48,14 @@ def bin_edges(rows: DataFrame, p: Params) -> dict[str, list[float]]:
     return {c: sorted(set(r[c])) for c in p.predictors}
 
 
-def _bin(name: str, edges: list[float]):
-    """Number of edges below the value."""
-    lits = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.expr("cast(array() as array<double>)")
-    return F.size(F.filter(lits, lambda e: e < log1p_design(name))).cast("int")
-
-
 def binned(rows: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
-    return rows.select("*", *[_bin(c, e).alias(f"b_{c}") for c, e in edges.items()])
+    """Add ``bins``: per predictor, the number of edges below the value."""
+    def count_below(name: str, cuts: list[float]):
+        lits = F.array(*[F.lit(float(e)) for e in cuts]) if cuts else F.expr("cast(array() as array<double>)")
+        return F.size(F.filter(lits, lambda e: e < F.col(f"_v_{name}"))).cast("int")
+
+    vals = rows.select("*", *[log1p_design(c).alias(f"_v_{c}") for c in edges])
+    return vals.select(*rows.columns, F.array(*[count_below(c, e) for c, e in edges.items()]).alias("bins"))
 
 
 def reserve_flag(rows: DataFrame, p: Params) -> DataFrame:
@@ -59,29 +64,31 @@ def reserve_flag(rows: DataFrame, p: Params) -> DataFrame:
     return hash_rank(rows, "cell", f"reserve-{p.seed}", "_rn").withColumn("reserve", F.col("_rn") <= n).drop("_rn")
 
 
-def _leaf_of(model_trees: dict[int, dict], bins: list[str]):
-    """Leaf id of a row under one tree per model: nested literals, a few dozen nodes per model."""
-    def walk(tree: dict, node: int):
-        if node not in tree["split"]:
-            return F.lit(node)
-        j, cut = tree["split"][node]
-        return F.when(F.col(bins[j]) <= cut, walk(tree, 2 * node)).otherwise(walk(tree, 2 * node + 1))
+def _tree_table(spark, trees: dict[int, list]) -> DataFrame:
+    """(model, trees) as a table of one row per model; it holds the fitted trees only, whatever the data."""
+    kind = pa.list_(pa.struct([("j", pa.list_(pa.int32())), ("cut", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))]))
+    ids = sorted(trees)
+    rows = [[{"j": j, "cut": c, "value": v} for j, c, v in trees[m]] for m in ids]
+    return spark.createDataFrame(pa.table({"model": pa.array(ids, pa.int32()), "trees": pa.array(rows, kind)}))
+
+
+def _leaf(tree: Column, depth: int) -> Column:
+    """Leaf reached by the row's bins: one comparison per level."""
+    def step(node: Column, _: Column) -> Column:
+        j = F.element_at(tree["j"], node)
+        right = (F.element_at(F.col("bins"), F.greatest(j, F.lit(0)) + 1) > F.element_at(tree["cut"], node)).cast("int")
+        return F.when(j < 0, node).otherwise(2 * node + right)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), step)
 
-    out = F.lit(None).cast("int")
-    for m, t in model_trees.items():
-        out = F.when(F.col("model") == m, walk(t, 1)).otherwise(out)
-    return out
 
+def _score(depth: int) -> Column:
+    """Sum of the leaf values over all trees of the row's model."""
+    return F.aggregate("trees", F.lit(0.0), lambda acc, t: acc + F.element_at(t["value"], _leaf(t, depth)))
 
-def _values(model_trees: dict[int, dict], leaf) :
-    """Leaf value of each model's tree."""
-    out = F.lit(0.0)
-    for m, t in model_trees.items():
-        v = F.lit(0.0)
-        for node, val in t["value"].items():
-            v = F.when(leaf == node, float(val)).otherwise(v)
-        out = F.when(F.col("model") == m, v).otherwise(out)
-    return out
+
+def _depth(s: dict) -> int:
+    return s["max_depth"] or DEFAULT_DEPTH
 
 
 def fit_boosting(rows: DataFrame, settings: dict[int, dict], target: str = "query_count", p: Params = DEFAULT,
@@ -91,31 +98,30 @@ def fit_boosting(rows: DataFrame, settings: dict[int, dict], target: str = "quer
     ``settings[model]`` has ``max_depth`` (None: five levels), ``min_leaf`` and ``learning_rate``.
     """
     max_iter = max_iter or p.boosting_max_iter
+    spark, depth = rows.sparkSession, max(_depth(s) for s in settings.values())
     edges = bin_edges(rows, p)
-    bins = [f"b_{c}" for c in p.predictors]
     table = materialize(
-        binned(rows, edges).groupBy("model", "reserve", *bins).agg(
+        binned(rows, edges).groupBy("model", "reserve", "bins").agg(
             F.sum("population").cast("double").alias("pop"), F.sum(target).cast("double").alias("y"),
             F.count(F.lit(1)).alias("rows")), "boost")
     start = table.where("NOT reserve").groupBy("model").agg(F.log(F.greatest(F.sum("y"), F.lit(1e-9)) / F.sum("pop"))
                                                             .alias("b")).collect()
     fit = Boosted(edges, {r.model: r.b for r in start}, settings=settings)
-    state = table.withColumn("f", _base(fit))
     for m in fit.base:
         fit.trees[m], fit.train_loss[m], fit.reserve_loss[m] = [], [], []
+    base = spark.createDataFrame(pa.table({"model": pa.array(list(fit.base), pa.int32()), "f": pa.array(list(fit.base.values()))}))
+    state = table.join(F.broadcast(base), "model")
     live = set(fit.base)
     for it in range(max_iter):
         if not live:
             break
-        data = state.where(F.col("model").isin(sorted(live)))
-        trees = _grow(data, live, settings, bins)
-        leaf = _leaf_of(trees, bins)
-        state = data.withColumn("f", F.col("f") + _values(trees, leaf))
-        if it % 5 == 4:
+        trees = _grow(state, live, settings, len(edges), depth)
+        step = F.broadcast(_tree_table(spark, {m: [t] for m, t in trees.items()}))
+        state = state.join(step, "model").withColumn("f", F.col("f") + _score(depth)).drop("trees")
+        if it % 3 == 2:
             state = materialize(state, "boost")
-        loss = F.sum(F.col("pop") * F.exp("f") - F.col("y") * F.col("f"))
-        size = F.sum("pop")
-        for r in state.groupBy("model", "reserve").agg((loss / size).alias("loss")).collect():
+        loss = F.sum(F.col("pop") * F.exp("f") - F.col("y") * F.col("f")) / F.sum("pop")
+        for r in state.groupBy("model", "reserve").agg(loss.alias("loss")).collect():
             (fit.reserve_loss if r.reserve else fit.train_loss)[r.model].append(r.loss)
         for m in list(live):
             fit.trees[m].append(trees[m])
@@ -124,13 +130,6 @@ def fit_boosting(rows: DataFrame, settings: dict[int, dict], target: str = "quer
     return fit
 
 
-def _base(fit: Boosted):
-    out = F.lit(0.0)
-    for m, b in fit.base.items():
-        out = F.when(F.col("model") == m, float(b)).otherwise(out)
-    return out
-
-
 def _stopped(losses: list[float]) -> bool:
     """No loss of the last PATIENCE rounds improves on the one before them."""
     if len(losses) <= PATIENCE:
@@ -138,56 +137,58 @@ def _stopped(losses: list[float]) -> bool:
     return min(losses[-PATIENCE:]) > losses[-PATIENCE - 1] - STOP_TOL
 
 
-def _grow(data: DataFrame, live: set[int], settings: dict[int, dict], bins: list[str]) -> dict[int, dict]:
-    """One tree per live model. Each level is one aggregation; its best splits (one row per leaf) come back."""
-    trees = {m: {"split": {}, "value": {}} for m in live}
-    depth_of = {m: settings[m]["max_depth"] or DEFAULT_DEPTH for m in live}
-    grads = data.where("NOT reserve").select(
-        "model", *bins, "rows", (F.col("pop") * F.exp("f") - F.col("y")).alias("g"), (F.col("pop") * F.exp("f")).alias("h"))
-    for level in range(max(depth_of.values()) + 1):
-        growing = [m for m in live if depth_of[m] >= level]
-        open_nodes = {m: [n for n in range(2 ** level, 2 ** (level + 1)) if n == 1 or n // 2 in trees[m]["split"]]
-                      for m in growing}
-        if not any(open_nodes.values()):
+def _grow(state: DataFrame, live: set[int], settings: dict[int, dict], n_pred: int, depth: int) -> dict[int, tuple]:
+    """One tree per live model. Each level is one aggregation; its best splits (one row per leaf) come back.
+
+    The unfinished trees travel as a small table, so every level runs the same generated code.
+    """
+    size = 2 ** (depth + 1)
+    trees = {m: ([-1] * (size - 1), [0] * (size - 1), [0.0] * (size - 1)) for m in live}
+    fresh = {m: [1] for m in live}
+    limits = pa.table({"model": pa.array(sorted(live), pa.int32()),
+                       "small": pa.array([settings[m]["min_leaf"] for m in sorted(live)], pa.int64())})
+    limit = F.broadcast(state.sparkSession.createDataFrame(limits))
+    grads = state.where("NOT reserve").select(
+        "model", "bins", "rows", (F.col("pop") * F.exp("f") - F.col("y")).alias("g"), (F.col("pop") * F.exp("f")).alias("h"))
+    for level in range(depth + 1):
+        growing = {m: [trees[m]] for m in live if fresh.get(m)}
+        if not growing:
             break
-        here = grads.where(F.col("model").isin(growing)).withColumn("leaf", _leaf_of({m: trees[m] for m in growing}, bins))
-        here = here.where(F.col("leaf") >= 2 ** level)
-        hist = here.select("model", "leaf", "g", "h", "rows", F.inline(F.array(*[
-            F.struct(F.lit(j).alias("j"), F.col(b).alias("bin")) for j, b in enumerate(bins)]))).groupBy(
-            "model", "leaf", "j", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("rows").alias("rows"))
-        w = Window.partitionBy("model", "leaf", "j").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        here = grads.join(F.broadcast(_tree_table(state.sparkSession, growing)), "model").withColumn(
+            "leaf", _leaf(F.col("trees")[0], depth)).where(F.col("leaf") >= 2 ** level)
+        cells = F.transform(F.sequence(F.lit(0), F.lit(n_pred - 1)),
+                            lambda j: F.struct(j.alias("j"), F.element_at(F.col("bins"), j + 1).alias("bin")))
+        hist = here.select("model", "leaf", "g", "h", "rows", F.inline(cells)).groupBy("model", "leaf", "j", "bin").agg(
+            F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("rows").alias("rows")).repartition("model", "leaf")
         every = Window.partitionBy("model", "leaf", "j")  # at most 255 rows
+        w = every.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         cum = hist.select("model", "leaf", "j", "bin", *[F.sum(c).over(w).alias(f"{c}l") for c in ("g", "h", "rows")],
-                          *[F.sum(c).over(every).alias(f"{c}t") for c in ("g", "h", "rows")])
+                          *[F.sum(c).over(every).alias(f"{c}t") for c in ("g", "h", "rows")]).join(limit, "model")
         gr, hr = F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl")
         gain = (F.try_divide(F.col("gl") * F.col("gl"), F.col("hl")) + F.try_divide(gr * gr, hr)
                 - F.try_divide(F.col("gt") * F.col("gt"), F.col("ht")))
-        small = F.lit(0)
-        for m in growing:
-            small = F.when(F.col("model") == m, settings[m]["min_leaf"]).otherwise(small)
-        ok = (F.col("rowsl") >= small) & (F.col("rowst") - F.col("rowsl") >= small)
+        ok = (F.col("rowsl") >= F.col("small")) & (F.col("rowst") - F.col("rowsl") >= F.col("small"))
         best = cum.groupBy("model", "leaf").agg(
-            F.max(F.when(ok, F.struct(gain.alias("gain"), (-F.col("j")).alias("j"), (-F.col("bin")).alias("bin")))).alias("s"),
+            F.max(F.when(ok, F.struct(F.round(gain, 9).alias("gain"), (-F.col("j")).alias("j"), (-F.col("bin")).alias("bin")))).alias("s"),
             F.max("gt").alias("g"), F.max("ht").alias("h"))
+        fresh = {}
         for r in best.collect():
-            rate = settings[r.model]["learning_rate"]
-            trees[r.model]["value"][r.leaf] = -rate * r.g / r.h if r.h > 0 else 0.0
-            if level < depth_of[r.model] and r.s is not None and r.s.gain is not None and r.s.gain > 1e-12:
-                trees[r.model]["split"][r.leaf] = (-r.s.j, -r.s.bin)
+            j, cut, value = trees[r.model]
+            value[r.leaf - 1] = -settings[r.model]["learning_rate"] * r.g / r.h if r.h > 0 else 0.0
+            if level < _depth(settings[r.model]) and r.s is not None and r.s.gain is not None and r.s.gain > 1e-9:
+                j[r.leaf - 1], cut[r.leaf - 1] = -r.s.j, -r.s.bin
+                fresh.setdefault(r.model, []).append(r.leaf)
     return trees
 
 
 def predict_boosting(frame: DataFrame, fit: Boosted, p: Params = DEFAULT) -> DataFrame:
-    """Expected count (rate times population) under the row's ``model``."""
-    bins = [f"b_{c}" for c in p.predictors]
+    """Expected count (rate times population) under the row's ``model``; one pass over the frame."""
     cols = frame.columns
-    out = binned(frame, fit.edges).withColumn("_f", _base(fit))
-    for i in range(max((len(t) for t in fit.trees.values()), default=0)):
-        step = {m: t[i] for m, t in fit.trees.items() if i < len(t)}
-        out = out.withColumn("_f", F.col("_f") + _values(step, _leaf_of(step, bins)))
-        if i % 20 == 19:
-            out = materialize(out, "boost-predict")
-    return out.withColumn("expected", F.exp("_f") * F.col("population")).select(*cols, "expected")
+    depth = max(_depth(s) for s in fit.settings.values())
+    base = pa.table({"model": pa.array(list(fit.base), pa.int32()), "_f": pa.array(list(fit.base.values()))})
+    model = _tree_table(frame.sparkSession, fit.trees).join(frame.sparkSession.createDataFrame(base), "model")
+    out = binned(frame, fit.edges).join(F.broadcast(model), "model")
+    return out.withColumn("expected", F.exp(F.col("_f") + _score(depth)) * F.col("population")).select(*cols, "expected")
 
 
 def grid_models(rows: DataFrame, grid: tuple[dict, ...], inner_folds: int) -> tuple[DataFrame, dict[int, dict]]:
@@ -226,13 +227,6 @@ def boosting_grid_search(rows: DataFrame, target: str = "query_count", p: Params
 
 
 def boosted_rows(spark, fit: Boosted) -> DataFrame:
-    """Stored form: (model, tree, node, predictor, bin, value); math of the base score as tree −1."""
-    out = [(m, -1, 1, None, None, float(b)) for m, b in fit.base.items()]
-    for m, trees in fit.trees.items():
-        for i, t in enumerate(trees):
-            for node, v in t["value"].items():
-                j, cut = t["split"].get(node, (None, None))
-                out.append((m, i, node, j, cut, float(v)))
-    return spark.createDataFrame(out, "model int, tree int, node int, predictor int, bin int, value double")
-
-
+    """Stored form: (model, base, trees)."""
+    base = pa.table({"model": pa.array(list(fit.base), pa.int32()), "base": pa.array(list(fit.base.values()))})
+    return _tree_table(spark, fit.trees).join(spark.createDataFrame(base), "model")
