@@ -19,6 +19,7 @@ from gapgrid.params import DEFAULT, Params
 from gapgrid.session import materialize
 
 MAX_ROUNDS = 60
+FLAT = 1e-13  # turns below this (square degrees) are rounding noise of points on one line
 
 # the partial hull below runs in Python workers, which need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -86,7 +87,7 @@ def hull_of(points: np.ndarray) -> list[tuple[float, float]]:
     for seq in (pts, pts[::-1]):
         chain: list[tuple[float, float]] = []
         for pt in seq:
-            while len(chain) > 1 and _turn(chain[-2], chain[-1], pt) <= 0:
+            while len(chain) > 1 and _turn(chain[-2], chain[-1], pt) <= FLAT:
                 chain.pop()
             chain.append(pt)
         chains.append(chain[:-1])
