@@ -628,7 +628,7 @@ _w = "(SELECT a.cell AS src, b.cell AS dst, ring, 1 / count(*) OVER (PARTITION B
 _obs = f"(SELECT ring, (SELECT count(*) FROM {_z}) / sum(w) * sum(w * a.z * b.z) / (SELECT sum(z * z) FROM {_z}) AS i FROM {_w} e JOIN {_z} a ON a.cell = src JOIN {_z} b ON b.cell = dst GROUP BY ring)"
 _perm = f"(SELECT perm, s.cell, v.z FROM (SELECT perm, cell, row_number() OVER (PARTITION BY perm ORDER BY md5(cell::VARCHAR || '|' || '{P.seed}-' || perm), cell) AS idx FROM {_z}, range(1, 20) g(perm)) s JOIN {_z} v USING (idx))"
 _simi = f"(SELECT ring, a.perm, (SELECT count(*) FROM {_z}) / sum(w) * sum(w * a.z * b.z) / (SELECT sum(z * z) FROM {_z}) AS sim FROM {_w} e JOIN {_perm} a ON a.cell = src JOIN {_perm} b ON b.cell = dst AND b.perm = a.perm GROUP BY ring, a.perm)"
-_corr = f"(SELECT CAST(ring AS INT) AS k, round(ring * 0.92, 2) AS approx_km, round(any_value(i), 4) AS moran_i, round((least(count(*) FILTER (sim >= i), 19 - count(*) FILTER (sim >= i)) + 1) / 20, 4) AS p_value FROM {_obs} JOIN {_simi} USING (ring) GROUP BY ring)"
+_corr = f"(SELECT CAST(ring AS INT) AS k, round(CAST(ring * 0.92 AS DOUBLE), 2) AS approx_km, round(any_value(i), 4) AS moran_i, round((least(count(*) FILTER (sim >= i), 19 - count(*) FILTER (sim >= i)) + 1) / 20, 4) AS p_value FROM {_obs} JOIN {_simi} USING (ring) GROUP BY ring)"
 sel("moran_i", f"SELECT CAST(ring AS INT) AS ring, round(i, 6) AS moran_i FROM {_obs} WHERE ring = 1")
 sel("moran_permutation_p", f"SELECT k, moran_i, p_value FROM {_corr} WHERE k = 1")
 sel("moran_correlogram", f"SELECT k, approx_km, moran_i, p_value FROM {_corr}")
@@ -650,7 +650,7 @@ sel("block_folds", "SELECT cell, block_id, CAST(fold AS INT) AS fold FROM model
 def metrics(src: str, by: str) -> str:
     dev = "2 * avg(CASE WHEN observed > 0 THEN observed * ln(observed / expected) ELSE 0 END - observed + expected)"
     null = "2 * avg(CASE WHEN observed > 0 THEN observed * ln(observed / ybar) ELSE 0 END)"
-    return (f"(SELECT {by}, {dev} AS deviance, 1 - {dev} / {null} AS d2, avg(abs(observed - expected)) AS mae, sum(expected) / sum(observed) AS calibration, "
+    return (f"(SELECT {by}, {dev} AS deviance, 1 - ({dev}) / ({null}) AS d2, avg(abs(observed - expected)) AS mae, sum(expected) / sum(observed) AS calibration, "
             f"CASE WHEN stddev_pop(ra) = 0 OR stddev_pop(rb) = 0 THEN NULL ELSE corr(ra, rb) END AS spearman, count(*) AS n FROM (SELECT *, avg(observed) OVER (PARTITION BY {by}) AS ybar, "
             f"{avg_rank('observed', by)} AS ra, {avg_rank('expected', by)} AS rb FROM {src}) GROUP BY {by})")
 
@@ -732,8 +732,7 @@ sel("sensitivity_table", " UNION ALL ".join(
     for n, t in (("best_mean_technique", "v_b3"), ("global_rate", "v_global"), ("before_gap", "v_before"), ("larger_minimum_population", "v_larger"))
     for un, u in (("all", ""), ("uncovered", _unc))))
 sel("prioritise", f"SELECT cell, round(gap_pearson, 6) AS gap_pearson, action, pr AS priority_rank FROM acted LEFT JOIN (SELECT cell, row_number() OVER (ORDER BY gap_pearson, cell) AS pr FROM acted WHERE gap_pearson < 0 ORDER BY gap_pearson, cell LIMIT {P.top_k}) USING (cell)")
-_dbl = ["lat", "lon", "expected", "observed_week", "expected_week", "gap_pearson", "ratio_obs_exp", "unmet_demand"]
-sel("zone_predictions", f"SELECT cell, municipality, population, observed, covered, dist_network_m, partition, action, priority_rank, {', '.join(f'round({c}, 3) AS {c}' for c in _dbl)} FROM pred")
+sel("zone_predictions", "SELECT * FROM pred")
 sel("field_list", "SELECT priority_rank, cell, municipality, population, " + ", ".join(f"round(round_even({c}, 3), 2) AS {c}" for c in ("observed_week", "expected_week", "gap_pearson", "unmet_demand", "dist_network_m"))
     + ", 'https://www.openstreetmap.org/?mlat=' || printf('%.5f', lat) || '&mlon=' || printf('%.5f', lon) || '#map=16/' || printf('%.5f', lat) || '/' || printf('%.5f', lon) AS osm_url, 'sin_visitar' AS field_result, '' AS field_notes FROM pred WHERE priority_rank IS NOT NULL")
 sel("edition_monitor", f"""SELECT 'ranking_agreement' AS "check", round(v, 6) AS value, v < 0.8 AS alert FROM (SELECT {rho('gapz', 'gap_pearson', 'gap_pearson_global')} AS v)

@@ -1176,7 +1176,7 @@ def _(st):
 @query("zone_predictions")
 def _(st):
     out = evaluation.zone_predictions(evaluation.prioritise(st.gap_zones, P), st.observed_weeks)
-    return rounded(out.withColumn("covered", F.col("covered").cast("int")), 3)
+    return out.withColumn("covered", F.col("covered").cast("int"))
 
 
 @query("field_list")
