@@ -51,21 +51,24 @@ def cell_r(cell="cell") -> Column:
 
 
 def _cell_of_metres(x: Column, y: Column, res: int, p: Params) -> Column:
+    """Cell of local metres from the three hexagon axes.
+
+    With u = X + Y, v = Y − X, w = 2X the unit steps a, b, c below fix the hexagon: r = ⌊(a + b) / 3⌋ and
+    q + r = ⌊(a + c) / 3⌋. Unlike rounding cube coordinates this repeats each input only a few times, which
+    keeps the expression small wherever the optimizer copies it.
+    """
     edge = edge_of(res, p)
-    qf, rf = (x * (SQRT3 / 3) - y / 3) / edge, y * (2.0 / 3.0) / edge
-    sf = -qf - rf
-    q0, r0, s0 = (F.floor(v + 0.5) for v in (qf, rf, sf))
-    dq, dr, ds = F.abs(q0 - qf), F.abs(r0 - rf), F.abs(s0 - sf)
-    q = F.when((dq > dr) & (dq > ds), -r0 - s0).otherwise(q0)
-    r = F.when((dq > dr) & (dq > ds), r0).when(dr > ds, -q0 - s0).otherwise(r0)
-    return pack(q, r, res)
+    sx, sy = x / (SQRT3 * edge), y / edge
+    a, b, c = F.floor(sx + sy + 1), F.floor(sy - sx + 1), F.floor(sx * 2 + 1)
+    r, qr = F.floor((a + b) / 3), F.floor((a + c) / 3)
+    return (qr * STEP_Q - r * (STEP_Q - 1) + (res * STEP_RES + HALF * STEP_Q + HALF)).cast("bigint")
 
 
 def point_to_cell(lat, lon, res: int | None = None, p: Params = DEFAULT) -> Column:
     """Cell that holds a point; null coordinates give null."""
     kx, ky = metres_per_degree(p)
     x, y = (_c(lon) - p.centre_lon) * kx, (_c(lat) - p.centre_lat) * ky
-    return F.when(_c(lat).isNotNull() & _c(lon).isNotNull(), _cell_of_metres(x, y, res or p.zone_res, p))
+    return _cell_of_metres(x, y, res or p.zone_res, p)
 
 
 def add_cell(df: DataFrame, lat: str, lon: str, name: str, res: int | None = None, p: Params = DEFAULT) -> DataFrame:
@@ -140,9 +143,20 @@ def ring(cell="cell", k: int = 1) -> Column:
 
 
 def cell_parent(cell="cell", p: Params = DEFAULT) -> Column:
-    """Coarse block that holds the centre of the zone."""
-    x, y = centre_xy(cell, p.zone_res, p)
-    return _cell_of_metres(x, y, p.block_res, p)
+    """Coarse block that holds the centre of the zone.
+
+    Block centres are every ``block_factor``-th zone, so many zone centres lie exactly on a block border. Whole
+    number cube rounding decides those the same way everywhere.
+    """
+    n = p.block_factor
+    q, r = cell_q(cell), cell_r(cell)
+    axes = (q, r, -q - r)
+    near = [F.floor((2 * v + n) / (2 * n)) for v in axes]
+    dq, dr, ds = (F.abs(n * k - v) for k, v in zip(near, axes))
+    lead_q, lead_r = (dq > dr) & (dq > ds), dr > ds
+    bq = F.when(lead_q, -near[1] - near[2]).otherwise(near[0])
+    br = F.when(lead_q | ~lead_r, near[1]).otherwise(-near[0] - near[2])
+    return pack(bq, br, p.block_res)
 
 
 def wrong_resolution(cell="cell", res: int = DEFAULT.zone_res) -> Column:

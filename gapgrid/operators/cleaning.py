@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gapgrid.functions import grid
 from gapgrid.functions import scalars as S
-from gapgrid.operators.geometry import StudyArea, convex_hull, largest_component, make_area, within_area
+from gapgrid.operators.geometry import StudyArea, add_inside, convex_hull, largest_component, make_area
 from gapgrid.params import DEFAULT, LINEAGE, Params
 
 RULES = {0: "raw", 1: "zero origin", 2: "origin outside the box", 3: "copy of an exact duplicate",
@@ -62,10 +62,11 @@ def assign_steps(raw: DataFrame, area: StudyArea, anomalous: DataFrame, p: Param
     bad = anomalous.select("user_id").distinct().withColumn("_bad", F.lit(True))
     step = (F.when(F.coalesce(S.zero_origin(), F.lit(True)), 1)
             .when(~F.coalesce(S.in_bbox(p.bbox), F.lit(False)), 2)
-            .when(~within_area(area, "lat_orig", "lon_orig", p), 4)
+            .when(~F.col("_inside"), 4)
             .when(F.coalesce(F.col("dist_m") > p.dist_max_m, F.lit(True)), 5)
             .when(F.col("user_id").isNull() | F.coalesce(F.col("_bad"), F.lit(False)), 6).otherwise(0))
-    return first_distinct(raw).join(bad, "user_id", "left").withColumn("drop_step", step).drop("_bad")
+    rows = add_inside(first_distinct(raw), area, "lat_orig", "lon_orig", "_inside", p)
+    return rows.join(bad, "user_id", "left").withColumn("drop_step", step).drop("_bad", "_inside")
 
 
 def clean_trips(steps: DataFrame, p: Params = DEFAULT) -> DataFrame:

@@ -71,7 +71,7 @@ def densify_polyline(shapes: DataFrame, step_m: float, p: Params = DEFAULT) -> D
 
 # ---- nearest distance ------------------------------------------------------
 
-BASE_M, FACTOR = 25.0, 4  # leaf boxes of 25 m, sides growing by 4 per level
+BASE_M, FACTOR = 25.0, 8  # leaf boxes of 25 m, sides growing by 8 per level
 
 
 def _leaf(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -103,8 +103,8 @@ def nearest_distance(points: DataFrame, targets: DataFrame, key: str) -> DataFra
     boxes, whose number per level is set by the ground they cover, are paired; equal points and equal targets
     are merged first, and real points meet targets only inside the few leaf boxes that are left.
     """
-    pts = _leaf(points.select("x", "y").distinct(), "px", "py")
-    tgt = _leaf(targets.select("x", "y").distinct(), "tx", "ty")
+    pts = materialize(_leaf(points.select("x", "y").distinct(), "px", "py"), "points")
+    tgt = materialize(_leaf(targets.select("x", "y").distinct(), "tx", "ty"), "targets")
     pbox = materialize(pts.select("px", "py").distinct(), "pbox")
     tbox = materialize(tgt.select("tx", "ty").distinct(), "tbox")
     x0, y0, top = _levels(pbox, tbox)
@@ -124,12 +124,21 @@ def nearest_distance(points: DataFrame, targets: DataFrame, key: str) -> DataFra
         near = F.pow(F.greatest(gx - 1, F.lit(0)), 2.0) + F.pow(F.greatest(gy - 1, F.lit(0)), 2.0)
         far = F.pow(gx + 1, 2.0) + F.pow(gy + 1, 2.0)
         bound = Window.partitionBy("px", "py")  # surviving boxes only: bounded by geometry
-        pairs = (pairs.select("*", near.alias("near"), F.min(far).over(bound).alias("best"))
-                 .where("near <= best").select("px", "py", "tx", "ty"))
-    leaf = pairs.select(*[(F.col(c) + o).alias(c) for c, o in zip(("px", "py", "tx", "ty"), (x0, y0, x0, y0))])
+        pairs = (pairs.select("*", near.alias("near"), far.alias("far"), F.min(far).over(bound).alias("best"))
+                 .where("near <= best").select("px", "py", "tx", "ty", *([] if level else ["far"])))
+    if top == 0:
+        pairs = pairs.withColumn("far", F.lit(0.0))
+    leaf = materialize(pairs.select(*[(F.col(c) + o).alias(c) for c, o in zip(("px", "py", "tx", "ty"), (x0, y0, x0, y0))], "far"), "leaf")
+    # the most promising box of each point box gives every point a true bound; then only boxes that come
+    # closer than the bound to the point itself are opened
+    first = leaf.groupBy("px", "py").agg(F.min(F.struct("far", "tx", "ty")).alias("m")).select("px", "py", "m.tx", "m.ty")
+    t = tgt.toDF("x2", "y2", "tx", "ty")
     dist = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
-    best = (pts.join(leaf, ["px", "py"]).join(tgt.toDF("x2", "y2", "tx", "ty"), ["tx", "ty"])
-            .groupBy("x", "y").agg(F.min(dist).alias("distance")))
+    bound = materialize(pts.join(first, ["px", "py"]).join(t, ["tx", "ty"]).groupBy("x", "y", "px", "py").agg(F.min(dist).alias("u")), "bound")
+    apart = [F.greatest(F.col(b) * BASE_M - F.col(v), F.col(v) - (F.col(b) + 1) * BASE_M, F.lit(0.0)) for b, v in (("tx", "x"), ("ty", "y"))]
+    closer = bound.join(leaf.select("px", "py", "tx", "ty"), ["px", "py"]).where(F.hypot(*apart) < F.col("u"))
+    better = closer.join(t, ["tx", "ty"]).groupBy("x", "y").agg(F.min(dist).alias("d"))
+    best = bound.join(better, ["x", "y"], "left").select("x", "y", F.least("u", "d").alias("distance"))
     return points.select(key, "x", "y").join(best, ["x", "y"], "left").select(key, "distance")
 
 
@@ -147,8 +156,7 @@ def network_distance(df: DataFrame, shapes: DataFrame, key: str, lat: str = "lat
 def share_near_network(origins: DataFrame, targets: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Share of origins (lat, lon, n) within the coverage distance; equal origins are looked up once."""
     x, y = project_xy("lat", "lon", p)
-    uniq = origins.groupBy("lat", "lon").agg(F.sum("n").alias("n")).withColumn(
-        "point", F.struct("lat", "lon"))
+    uniq = materialize(origins.groupBy("lat", "lon").agg(F.sum("n").alias("n")).withColumn("point", F.struct("lat", "lon")), "origins")
     d = nearest_distance(uniq.select("point", x.alias("x"), y.alias("y")), targets, "point")
     return uniq.join(d, "point").agg(
         (F.sum(F.when(F.col("distance") <= p.coverage_m, F.col("n")).otherwise(0)) / F.sum("n") * 100).alias("pct_near"))

@@ -25,8 +25,8 @@ def num(x: float) -> str:
 
 
 def celled(src: str, x: str, y: str, name: str, res: int = 8) -> str:
-    """Query that adds the hex cell of metres (x, y) to ``src``."""
-    edge = P.edge_m if res == 8 else P.edge_m * P.block_factor
+    """Query that adds the hex cell of metres (x, y) to ``src``, by rounding cube coordinates."""
+    edge = P.edge_m
     return f"""SELECT * EXCLUDE (_qf,_rf,_q0,_r0,_s0,_dq,_dr,_ds),
       CASE WHEN _qf IS NULL THEN NULL ELSE {res * STEP_RES}
         + (CASE WHEN _dq > _dr AND _dq > _ds THEN -_r0 - _s0 ELSE _q0 END + {HALF}) * {STEP_Q}
@@ -49,6 +49,18 @@ def r_of(c: str) -> str:
     return f"(({c}) % {STEP_Q} - {HALF})"
 
 
+def blocked(src: str) -> str:
+    """Query that adds the block of each cell: exact cube rounding of the zone position in block units."""
+    n = P.block_factor
+    return f"""SELECT * EXCLUDE (_q,_r,_q0,_r0,_s0,_dq,_dr,_ds), {P.block_res * STEP_RES}
+        + (CASE WHEN _dq > _dr AND _dq > _ds THEN -_r0 - _s0 ELSE _q0 END + {HALF}) * {STEP_Q}
+        + (CASE WHEN _dq > _dr AND _dq > _ds THEN _r0 WHEN _dr > _ds THEN -_q0 - _s0 ELSE _r0 END + {HALF}) AS block_id
+      FROM (SELECT *, abs({n} * _q0 - _q) AS _dq, abs({n} * _r0 - _r) AS _dr, abs({n} * _s0 + _q + _r) AS _ds
+      FROM (SELECT *, CAST(floor((2 * _q + {n}) / {2 * n}) AS BIGINT) AS _q0, CAST(floor((2 * _r + {n}) / {2 * n}) AS BIGINT) AS _r0,
+        CAST(floor((2 * (-_q - _r) + {n}) / {2 * n}) AS BIGINT) AS _s0
+      FROM (SELECT *, {q_of('cell')} AS _q, {r_of('cell')} AS _r FROM {src})))"""
+
+
 def cx(c: str) -> str:
     return f"(({q_of(c)} + {r_of(c)} / 2) * {num(S3 * P.edge_m)})"
 
@@ -216,10 +228,9 @@ CTE["period"] = ("SELECT cell, count(*) FILTER (CAST(ts AS DATE) < (SELECT gap_s
 CTE["zones"] = """SELECT z.cell, coalesce(query_count, 0) AS query_count, coalesce(user_count, 0) AS user_count, coalesce(population, 0) AS population,
     coalesce(query_count_before_gap, 0) AS query_count_before_gap, coalesce(query_count_after_gap, 0) AS query_count_after_gap
   FROM (SELECT cell FROM pop_in WHERE inside UNION SELECT cell FROM zcount) z LEFT JOIN zcount USING (cell) LEFT JOIN population USING (cell) LEFT JOIN period USING (cell)"""
-CTE["feat"] = celled(f"""(SELECT z.*, {clat('z.cell')} AS lat, {clon('z.cell')} AS lon,
+CTE["feat"] = blocked(f"""(SELECT z.*, {clat('z.cell')} AS lat, {clon('z.cell')} AS lon,
     coalesce((SELECT sum(population) FROM offs JOIN population p ON p.cell = z.cell + d WHERE ring = 1), 0)::BIGINT AS pop_ring1,
-    coalesce((SELECT sum(population) FROM offs JOIN population p ON p.cell = z.cell + d WHERE ring = 2), 0)::BIGINT AS pop_ring2 FROM zones z)""",
-    cx("cell"), cy("cell"), "block_id", 6)
+    coalesce((SELECT sum(population) FROM offs JOIN population p ON p.cell = z.cell + d WHERE ring = 2), 0)::BIGINT AS pop_ring2 FROM zones z)""")
 CTE["sxy"] = projected("shapes", "lat", "lon")
 CTE["sseg"] = """SELECT shape_id, seq, x, y, x0, y0, len, sum(len) OVER (PARTITION BY shape_id ORDER BY seq) AS upto FROM (
     SELECT *, coalesce(sqrt(pow(x - x0, 2) + pow(y - y0, 2)), 0.0) AS len FROM (
@@ -440,12 +451,13 @@ sel("cell_polygon", f"SELECT cell, {WKT} AS wkt, {GEO} AS geojson FROM populatio
 sel("grid_ring", "SELECT cell, cell + d AS dst FROM population, offs WHERE ring = 2")
 sel("grid_disk", "SELECT cell, CAST(ring AS INT) AS ring, cell + d AS dst FROM population, offs WHERE ring <= 2")
 sel("grid_distance", f"SELECT {ring_of('a', 'b')} AS rings, count(*) AS n FROM ({pointed('(' + pointed('trips', 'lat_orig', 'lon_orig', 'a') + ')', 'lat_dest', 'lon_dest', 'b')}) GROUP BY ALL")
-sel("cell_parent", f"SELECT cell, block_id FROM ({celled('population', cx('cell'), cy('cell'), 'block_id', 6)})")
+sel("cell_parent", f"SELECT cell, block_id FROM ({blocked('population')})")
 sel("check_resolution", f"SELECT count(*) FILTER (cell // {STEP_RES} <> {P.zone_res}) AS wrong, count(*) AS cells FROM population")
 sel("largest_component", "SELECT cell FROM main1")
 sel("convex_hull", "SELECT lon, lat FROM ring1")
 sel("study_area", "SELECT (SELECT count(*) FROM main1) AS cells, (SELECT count(*) FROM ring1) AS vertices, round(km2, 3) AS area_km2 FROM km1")
 sel("within_area", f"SELECT k AS point_id, inside FROM ({inside('points', 'point_id', 'lat', 'lon')})")
+sel("add_inside", f"SELECT inside, count(*) AS n FROM trips JOIN origin_in USING (lat_orig, lon_orig) WHERE {VALID} GROUP BY inside")
 sel("area_km2", "SELECT (SELECT count(*) FROM origins) AS origins, round(km2, 3) AS area_km2 FROM km1")
 sel("area_bounds", "SELECT min(lon) AS lon_min, min(lat) AS lat_min, max(lon) AS lon_max, max(lat) AS lat_max FROM origins JOIN main1 USING (cell)")
 sel("area_variants", " UNION ALL ".join(f"SELECT '{n}' AS variant, (SELECT count(*) FROM main{k}) AS cells, round(km2, 1) AS area_km2 FROM km{k}"

@@ -422,6 +422,12 @@ def _one(st: Stages, **values) -> DataFrame:
     return st.origins.agg(F.count(F.lit(1)).alias("origins")).select("origins", *[F.lit(v).alias(k) for k, v in values.items()])
 
 
+@query("add_inside")
+def _(st):
+    return geometry.add_inside(st.trips.where(S.valid_origin(P.bbox)), st.area, "lat_orig", "lon_orig", "inside", P).groupBy(
+        "inside").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("area_km2")
 def _(st):
     return _one(st, area_km2=round(geometry.area_km2(st.area), 3))
@@ -474,8 +480,9 @@ def _(st):
 
 @query("share_near_network")
 def _(st):
-    near = st.trips.where(S.valid_origin(P.bbox) & geometry.within_area(st.area, "lat_orig", "lon_orig", P)).groupBy(
-        F.col("lat_orig").alias("lat"), F.col("lon_orig").alias("lon")).agg(F.count(F.lit(1)).alias("n"))
+    spots = st.trips.where(S.valid_origin(P.bbox)).groupBy(F.col("lat_orig").alias("lat"), F.col("lon_orig").alias("lon")).agg(
+        F.count(F.lit(1)).alias("n"))
+    near = materialize(geometry.add_inside(spots, st.area, "lat", "lon", "inside", P), "spots").where("inside")
     return rounded(network.share_near_network(near, st.network, P), 4)
 
 

@@ -147,6 +147,15 @@ def test_area_closed_forms_against_sampling(spark, ring):
     assert abs(cx - gx[inside].mean()) < 60 and abs(cy - gy[inside].mean()) < 60
 
 
+def test_both_forms_of_the_area_test_agree(spark):
+    rnd = random.Random(8)
+    df = spark.createDataFrame([(rnd.uniform(-66.25, -66.05), rnd.uniform(-17.5, -17.3)) for _ in range(2000)], "lon double, lat double")
+    for ring in ([(-66.2, -17.4)], [(-66.2, -17.4), (-66.1, -17.4)], [(-66.2, -17.4), (-66.1, -17.45), (-66.1, -17.35)]):
+        area = geometry.make_area(ring, 1500.0)
+        out = geometry.add_inside(df, area, "lat", "lon", "a").withColumn("b", geometry.within_area(area))
+        assert out.where("a <> b").isEmpty() and 0 < out.where("a").count() < 2000
+
+
 def test_nearest_distance_is_exact_near_and_far(spark):
     rnd = random.Random(2)
     tgt = [(rnd.uniform(0, 5000), rnd.uniform(0, 5000)) for _ in range(300)] + [(1.0, 1.0)] * 5
