@@ -5,28 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapgrid.functions.ordering import union_all
+from gapgrid.functions.ordering import running, union_all
 from gapgrid.functions.projection import project_xy
 from gapgrid.params import DEFAULT, Params
 from gapgrid.session import materialize
 
 
+MAX_SHAPE = 1_000_000  # vertices of one polyline that a single window may hold
+
+
 def by_shape():
     return Window.partitionBy("shape_id").orderBy("seq")
 
 
-def segments(shapes: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def largest_shape(shapes: DataFrame) -> int:
+    n = shapes.groupBy("shape_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return n or 0
+
+
+def segments(shapes: DataFrame, p: Params = DEFAULT, max_shape: int = MAX_SHAPE) -> DataFrame:
     """Segments of each shape in metres with the arc length before and after (shape_id, seq, lat, lon).
 
-    A window per shape: a shape is one polyline, so its size does not grow with the feed.
+    Polylines of usual size use one window per shape. If the largest is beyond ``max_shape``, the vertices are
+    numbered over the whole table instead, neighbours meet by position, and lengths come from range sums.
     """
     x, y = project_xy("lat", "lon", p)
     xy = shapes.select("shape_id", "seq", x.alias("x"), y.alias("y"))
-    seg = xy.select("shape_id", "seq", F.lag("x").over(by_shape()).alias("x0"), F.lag("y").over(by_shape()).alias("y0"), "x", "y")
-    seg = seg.withColumn("len", F.coalesce(F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0")), F.lit(0.0)))
-    upto = F.sum("len").over(by_shape().rowsBetween(Window.unboundedPreceding, 0))
-    seg = seg.withColumn("upto", upto)
-    return seg.withColumn("before", F.coalesce(F.lag("upto").over(by_shape()), F.lit(0.0)))
+    length = F.coalesce(F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0")), F.lit(0.0))
+    if largest_shape(shapes) <= max_shape:
+        seg = xy.select("shape_id", "seq", F.lag("x").over(by_shape()).alias("x0"), F.lag("y").over(by_shape()).alias("y0"), "x", "y")
+        seg = seg.withColumn("len", length)
+        upto = F.sum("len").over(by_shape().rowsBetween(Window.unboundedPreceding, 0))
+        seg = seg.withColumn("upto", upto)
+        return seg.withColumn("before", F.coalesce(F.lag("upto").over(by_shape()), F.lit(0.0)))
+    placed = materialize(running(xy, ["shape_id", "seq"], row_number="pos"), "vertices")
+    prev = placed.select((F.col("pos") + 1).alias("pos"), "shape_id", F.col("x").alias("x0"), F.col("y").alias("y0"))
+    seg = materialize(placed.join(prev, ["pos", "shape_id"], "left").withColumn("len", length), "segments")
+    cum = running(seg, ["shape_id", "seq"], sums={"_all": "len"})
+    start = cum.groupBy("shape_id").agg(F.min(F.col("_all") - F.col("len")).alias("_start"))
+    out = cum.join(start, "shape_id").withColumn("upto", F.col("_all") - F.col("_start"))
+    return out.select("shape_id", "seq", "x0", "y0", "x", "y", "len", "upto", (F.col("upto") - F.col("len")).alias("before"))
 
 
 def running_length(shapes: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -44,16 +62,20 @@ def polyline_rings(shapes: DataFrame) -> DataFrame:
                                           .alias("points"))
 
 
-def densify_polyline(shapes: DataFrame, step_m: float, p: Params = DEFAULT) -> DataFrame:
+def densify_polyline(shapes: DataFrame, step_m: float, p: Params = DEFAULT, max_shape: int = MAX_SHAPE) -> DataFrame:
     """Points at equal arc length, ``n = max(2, int(L / step))`` per shape, both ends kept.
 
     Each segment generates the sample numbers that fall into it, so points and segments are never joined.
     A sample on a vertex belongs to the segment that ends there; shapes of one point give nothing.
     """
-    whole = Window.partitionBy("shape_id")
-    seg = segments(shapes, p).select("*", F.max("upto").over(whole).alias("total"), F.count(F.lit(1)).over(whole).alias("pts"),
-                                     F.max("seq").over(whole).alias("last"), F.min(F.when(F.col("x0").isNotNull(), F.col("seq")))
-                                     .over(whole).alias("first"))
+    seg = segments(shapes, p, max_shape)
+    facts = {"total": F.max("upto"), "pts": F.count(F.lit(1)), "last": F.max("seq"),
+             "first": F.min(F.when(F.col("x0").isNotNull(), F.col("seq")))}
+    if largest_shape(shapes) <= max_shape:
+        whole = Window.partitionBy("shape_id")  # same partitioning as the segments: no further shuffle
+        seg = seg.select("*", *[c.over(whole).alias(n) for n, c in facts.items()])
+    else:
+        seg = seg.join(seg.groupBy("shape_id").agg(*[c.alias(n) for n, c in facts.items()]), "shape_id")
     seg = seg.where((F.col("pts") > 1) & F.col("x0").isNotNull())
     n = F.greatest(F.lit(2), F.floor(F.col("total") / step_m)).cast("int")
     gap = F.col("total") / (n - 1)

@@ -205,6 +205,16 @@ def hull(k: int) -> None:
 
 for _k in (0, 1, 2, 3):
     hull(_k)
+B = num(P.buffer_m)
+CTE["turns"] = ("SELECT x, y, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2, vertex FROM ("
+                "SELECT vertex, x - first(x) OVER (ORDER BY vertex) AS x, y - first(y) OVER (ORDER BY vertex) AS y FROM (" + projected("ring1", "lat", "lon") + ")) WINDOW w AS (ORDER BY vertex)")
+CTE["angles"] = f"""SELECT *, sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) AS len, a - pa - floor((a - pa) / {num(2 * math.pi)}) * {num(2 * math.pi)} AS sweep, pa - {num(math.pi / 2)} AS a0 FROM (
+    SELECT *, coalesce(lag(a) OVER (ORDER BY vertex), last(a) OVER (ORDER BY vertex ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS pa FROM (SELECT *, atan2(y2 - y, x2 - x) AS a FROM turns))"""
+CTE["moments"] = f"""SELECT sum((x*y2 - x2*y) / 2 + len*{B} + sweep*{B}*{B} / 2) AS m0,
+    sum((x + x2)*(x*y2 - x2*y) / 6 + len*{B}*((x + x2) / 2 + (y2 - y) / len*{B} / 2) + x*sweep*{B}*{B} / 2 + pow({B}, 3) / 3*(sin(a0 + sweep) - sin(a0))) AS mx,
+    sum((y + y2)*(x*y2 - x2*y) / 6 + len*{B}*((y + y2) / 2 - (x2 - x) / len*{B} / 2) + y*sweep*{B}*{B} / 2 - pow({B}, 3) / 3*(cos(a0 + sweep) - cos(a0))) AS my FROM angles"""
+CTE["centroid"] = "SELECT lat2 AS clat, lon2 AS clon FROM (" + unprojected(
+    "(SELECT x + mx / m0 AS gx, y + my / m0 AS gy FROM moments, (SELECT x, y FROM (" + projected("ring1", "lat", "lon") + ") ORDER BY vertex LIMIT 1))", "gx", "gy") + ")"
 CTE["hull_edge"] = "SELECT * FROM edge1"
 CTE["uniq"] = f"SELECT {DATA}, min(source_file) AS source_file, count(*) AS copies FROM trips GROUP BY {DATA}"
 CTE["origin_in"] = "SELECT k.la AS lat_orig, k.lo AS lon_orig, inside FROM (" + inside(
@@ -459,6 +469,7 @@ sel("study_area", "SELECT (SELECT count(*) FROM main1) AS cells, (SELECT count(*
 sel("within_area", f"SELECT k AS point_id, inside FROM ({inside('points', 'point_id', 'lat', 'lon')})")
 sel("add_inside", f"SELECT inside, count(*) AS n FROM trips JOIN origin_in USING (lat_orig, lon_orig) WHERE {VALID} GROUP BY inside")
 sel("area_km2", "SELECT (SELECT count(*) FROM origins) AS origins, round(km2, 3) AS area_km2 FROM km1")
+sel("area_centroid", "SELECT (SELECT count(*) FROM origins) AS origins, round(clat, 5) AS lat, round(clon, 5) AS lon FROM centroid")
 sel("area_bounds", "SELECT min(lon) AS lon_min, min(lat) AS lat_min, max(lon) AS lon_max, max(lat) AS lat_max FROM origins JOIN main1 USING (cell)")
 sel("area_variants", " UNION ALL ".join(f"SELECT '{n}' AS variant, (SELECT count(*) FROM main{k}) AS cells, round(km2, 1) AS area_km2 FROM km{k}"
                                         for k, n in ((0, "all cells"), (1, "component k=1"), (2, "component k=2"), (3, "component k=3"))))
@@ -650,6 +661,9 @@ sel("local_moran", f"""SELECT m.cell, round(z * lag * (n - 1) / (n * s2), 6) AS
     FROM model m LEFT JOIN (SELECT a.cell, any_value(a.z) AS z, any_value(a.n) AS n, any_value(a.s2) AS s2, avg(b.z) AS lag FROM {_lz} a JOIN offs ON ring = 1 JOIN {_lz} b ON b.cell = a.cell + d GROUP BY a.cell) q USING (cell)""")
 sel("cliffs_delta", "SELECT round(avg(CASE WHEN a.gap_pearson > b.gap_pearson THEN 1.0 WHEN a.gap_pearson < b.gap_pearson THEN -1.0 ELSE 0 END), 6) AS delta FROM gapz a, gapz b WHERE a.covered = 0 AND b.covered = 1")
 
+_cc = f"(SELECT query_count, round({haversine(*CENTRE, 'lat', 'lon', 6371)}, 6) AS a, round({haversine('clat', 'clon', 'lat', 'lon', 6371)}, 6) AS b FROM model, centroid)"
+sel("centre_comparison", f"SELECT 'dist_centre_km' AS variable, 'query_count' AS target, round({rho(_cc, 'a', 'query_count')}, 3) AS spearman UNION ALL SELECT 'dist_centroid_km', 'query_count', round({rho(_cc, 'b', 'query_count')}, 3)")
+
 # ---- estimators ------------------------------------------------------------
 
 for _n, _i in (("rate_global", 0), ("rate_by_group", 1), ("rate_neighbourhood", 3), ("final_fit", 2)):

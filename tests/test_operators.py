@@ -179,6 +179,14 @@ def test_densify_keeps_both_ends_and_skips_single_points(spark):
     assert max(gaps) <= total / (len(out) - 1) + 1e-6
 
 
+def test_huge_shapes_take_the_range_path_with_the_same_result(stages):
+    a = network.densify_polyline(stages.shapes, 50.0)
+    b = network.densify_polyline(stages.shapes, 50.0, max_shape=0)
+    key = ["shape_id", "i"]
+    both = a.toDF(*key, "xa", "ya").join(b.toDF(*key, "xb", "yb"), key, "full")
+    assert both.where("xa IS NULL OR xb IS NULL OR abs(xa - xb) > 1e-5 OR abs(ya - yb) > 1e-5").isEmpty()
+
+
 def test_modal_label_ties_and_nulls(spark):
     rows = [(1, "b"), (1, "a"), (2, None), (2, "z"), (3, "x"), (3, "x"), (3, None)]
     out = {r.cell: (r.label, r.modal_queries, r.total_queries) for r in zones.modal_label(spark.createDataFrame(rows, "cell long, muni string")).collect()}
