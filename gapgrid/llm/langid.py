@@ -71,7 +71,7 @@ class Parser:
         return code[keep], total[offsets]
 
     def _dense(self, code: np.ndarray) -> np.ndarray:
-        """The next row's place, times 2, plus 1 if a phrase ends before this byte: for each state and code."""
+        """The next row's place, times 2, plus 1 if a phrase starts with this byte: for each state and code."""
         link, length, step, last = [-1], [0], [{}], 0
         for c in code.tolist():
             cur = len(step)
@@ -102,7 +102,9 @@ class Parser:
             if t:
                 table[s, list(t)] = list(t.values())
         root = np.maximum(table[0], 0)  # a byte that never occurs is a phrase of its own
-        return np.where(table >= 0, table * w * 2, root * w * 2 + 1).astype(np.int32).ravel()
+        out = np.where(table >= 0, table * w * 2, root * w * 2 + 1).astype(np.int32)
+        out[0] |= 1  # what leaves the root starts a phrase
+        return out.ravel()
 
     def parse(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(phrases of each text in each language, codes of each text)."""
@@ -123,7 +125,7 @@ class Parser:
             live = np.searchsorted(-n, -np.arange(wide), side="left")  # windows longer than each position
             for k, table in enumerate(self.tables):
                 state = np.zeros(len(mine), np.int32)
-                count = np.ones(len(mine), np.int64)
+                count = np.zeros(len(mine), np.int64)
                 for j in range(wide):
                     m = live[j]
                     x = table[state[:m] + block[j, :m]]

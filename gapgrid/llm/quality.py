@@ -225,3 +225,12 @@ def graded(docs: DataFrame, labels: DataFrame, least: float = 0.5, seed: int = 4
     out = docs.withColumn("__tail", tail_columns(model, F.col("text")))
     return (out.withColumn("expected_grade", F.col("__tail.expected")).withColumn("tail_probability", F.col("__tail.tail"))
             .withColumn("selected", F.col("__tail.tail") >= least).drop("__tail"))
+
+
+def select_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` whose top grade has a probability of ``least`` or more, all columns as they are; without labels of two grades, every row."""
+    model = fit_model(docs, labels, seed)
+    if model is None:
+        return docs
+    ship(docs.sparkSession)
+    return docs.where(tail_columns(model, F.col("text"))["tail"] >= least)

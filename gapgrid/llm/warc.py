@@ -225,6 +225,8 @@ def archive_round_trip(pages: DataFrame, least: int = 0, split: int = SPLIT) ->
     """
     spark = pages.sparkSession
     folder = shared_folder(spark, "warc")
+    store, root = open_store(folder)
+    store.create_dir(root, recursive=True)  # also without any task
     write_warc(with_revisits(pages, least=least), folder)
     back = read_warc(spark, folder, split).select(
         "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url")
