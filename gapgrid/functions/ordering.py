@@ -12,8 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapgrid.session import materialize
+
 SAMPLE_PER_RANGE = 64
-HASH_DIGITS = 2
+ROWS_PER_RANGE = 200_000  # rows that one range or slice should hold; their number follows from the counted rows
 
 
 def _before(keys: list[str], types: dict, bound: tuple) -> Column:
@@ -33,19 +35,18 @@ def _range_of(keys: list[str], types: dict, bounds: list[tuple], lo: int, hi: in
             .otherwise(_range_of(keys, types, bounds, mid + 1, hi)))
 
 
-def split_points(df: DataFrame, keys: list[str], ranges: int | None = None) -> list[tuple]:
-    """Bounds that cut ``df`` into about equal ranges of the key order.
+def split_points(df: DataFrame, keys: list[str], ranges: int, total: int | None = None) -> list[tuple]:
+    """Bounds that cut ``df`` into about ``ranges`` equal ranges of the key order.
 
-    At most ``ranges * SAMPLE_PER_RANGE`` keys reach the driver, chosen by hash. No bounds are returned when
-    that sample already holds the whole table, i.e. when the table is proven small.
+    About ``ranges * SAMPLE_PER_RANGE`` keys reach the driver, chosen by a hash threshold set from the row count.
     """
-    n = ranges or max(2, min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    limit = n * SAMPLE_PER_RANGE
-    rows = [tuple(r) for r in df.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(limit + 1).collect()]
-    if len(rows) <= limit:
+    total = df.count() if total is None else total
+    if ranges < 2 or total < 2:
         return []
-    rows.sort()
-    return sorted({rows[i * len(rows) // n] for i in range(1, n)})
+    below = min(1.0, ranges * SAMPLE_PER_RANGE / total) * (1 << 40)
+    some = df.select(*keys).where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < F.lit(below))
+    rows = sorted(tuple(r) for r in some.collect())
+    return sorted({rows[i * len(rows) // ranges] for i in range(1, ranges)}) if rows else []
 
 
 def running(df: DataFrame, keys: list[str], row_number: str | None = None, sums: dict[str, str] | None = None,
@@ -56,7 +57,11 @@ def running(df: DataFrame, keys: list[str], row_number: str | None = None, sums:
     """
     sums = sums or {}
     types = {f.name: f.dataType for f in df.schema.fields}
-    bounds = split_points(df, keys, ranges)
+    total = df.count()
+    ranges = ranges or -(-total // ROWS_PER_RANGE)
+    if ranges > 1:
+        df = materialize(df, "ordered")  # counted, sampled, ranked and totalled
+    bounds = split_points(df, keys, ranges, total)
     w = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     cut = df.withColumn("_range", _range_of(keys, types, bounds, 0, len(bounds)))
     local = cut.select("*", *([F.count(F.lit(1)).over(w).alias(row_number)] if row_number else []),
@@ -87,6 +92,31 @@ def average_ranks(df: DataFrame, value: str, rank: str = "rank") -> DataFrame:
             .select(value, "freq", (F.col("_cum") - (F.col("freq") - 1) / 2.0).alias(rank)))
 
 
+def quantiles(df: DataFrame, value: str, points: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """One row (per ``by`` group) with the linear quantile ``points[name]`` of ``value`` in each column ``name``.
+
+    Equal values are counted first, positions come from range sums, and the two neighbours of a quantile are minima:
+    no task holds a whole column. Nulls in ``value`` are left out; ``by`` columns must not be null.
+    """
+    by = by or []
+    freq = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cum = running(freq, [*by, "_v"], sums={"_cum": "_n"})
+    facts = [F.sum("_n").alias("_total"), F.min(F.col("_cum") - F.col("_n")).alias("_start")]
+    if by:
+        cum = cum.join(cum.groupBy(*by).agg(*facts), by)
+    else:
+        cum = cum.withColumn("_total", freq.agg(F.sum("_n").alias("t")).scalar()).withColumn("_start", F.lit(0))
+    upto = F.col("_cum") - F.col("_start")
+    out, parts = [], []
+    for i, (name, q) in enumerate(points.items()):
+        at = F.lit(float(q)) * (F.col("_total") - 1)
+        parts += [F.min(F.when(upto > F.floor(at), F.col("_v"))).alias(f"_a{i}"), F.min(F.when(upto > F.ceil(at), F.col("_v"))).alias(f"_b{i}")]
+        at = F.lit(float(q)) * (F.col("_total") - 1)
+        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
+        out.append(F.when(a == b, a).otherwise((F.ceil(at) - at) * a + (at - F.floor(at)) * b).alias(name))
+    return cum.groupBy(*by).agg(F.max("_total").alias("_total"), *parts).select(*by, *out)
+
+
 def seeded_hash(key, seed) -> Column:
     """md5 of ``key|seed``: an order that any engine can reproduce."""
     k = F.col(key) if isinstance(key, str) else key
@@ -98,10 +128,14 @@ def hash_rank(df: DataFrame, key: str, seed, out: str = "rn", by: list[str] | No
     """Position of each row in the seeded order of its ``by`` group, for groups of any size.
 
     md5 is uniform, so its leading digits cut every group into even slices; only the slice counts are
-    accumulated per group.
+    accumulated per group. The number of digits follows from the row count.
     """
     by = by or []
-    cut = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_slice", F.substring("_h", 1, HASH_DIGITS))
+    digits, slices = 1, 16
+    total = df.count()
+    while slices * ROWS_PER_RANGE < total:
+        digits, slices = digits + 1, slices * 16
+    cut = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_slice", F.substring("_h", 1, digits))
     prior = (Window.partitionBy(*(by or [F.lit(0)])).orderBy("_slice")
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = (cut.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))

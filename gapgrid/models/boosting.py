@@ -2,24 +2,30 @@
 
 Predictors are cut into at most 255 bins first. The Poisson loss of a zone depends on its bins, population and
 count only, so zones with equal bins, fold and reserve flag are summed into one row before any tree grows.
-Every boosting step is then an aggregation per (model, leaf, predictor, bin); all folds and all grid
-combinations share the same jobs under a ``model`` key. Trees grow level by level.
+A model's summed rows are bounded by the number of bins, whatever the number of zones, so each model (fold, grid
+combination) is one small group, and all models of a search grow side by side. Trees grow level by level.
 """
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapgrid.functions.ordering import hash_rank
+from gapgrid.functions.ordering import hash_rank, quantiles
 from gapgrid.functions.scalars import log1p_design
 from gapgrid.params import DEFAULT, PREDICTION_FLOOR, Params
 from gapgrid.session import materialize
 
-MAX_BINS, DEFAULT_DEPTH, PATIENCE, STOP_TOL = 255, 5, 10, 1e-7
+MAX_BINS, PATIENCE, STOP_TOL = 255, 10, 1e-7
+
+# the growing of one model runs in Python workers, which need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @dataclass
@@ -43,9 +49,8 @@ class Boosted:
 
 def bin_edges(rows: DataFrame, p: Params) -> dict[str, list[float]]:
     """Quantile edges of each predictor (at most 254 numbers each)."""
-    qs = F.array(*[F.lit(i / MAX_BINS) for i in range(1, MAX_BINS)])
-    r = rows.agg(*[F.percentile(log1p_design(c), qs).alias(c) for c in p.predictors]).first()
-    return {c: sorted(set(r[c])) for c in p.predictors}
+    points = {f"q{i}": i / MAX_BINS for i in range(1, MAX_BINS)}
+    return {c: sorted(set(quantiles(rows.select(log1p_design(c).alias("v")), "v", points).first())) for c in p.predictors}
 
 
 def binned(rows: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
@@ -58,10 +63,13 @@ def binned(rows: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
     return vals.select(*rows.columns, F.array(*[count_below(c, e) for c, e in edges.items()]).alias("bins"))
 
 
-def reserve_flag(rows: DataFrame, p: Params) -> DataFrame:
-    """Mark the early-stopping reserve: a seeded random tenth of the zones, not of the blocks."""
-    n = rows.agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * p.boosting_reserve, 0)).alias("n")).scalar()
-    return hash_rank(rows, "cell", f"reserve-{p.seed}", "_rn").withColumn("reserve", F.col("_rn") <= n).drop("_rn")
+def reserve_flag(rows: DataFrame, p: Params, by: list[str] | None = None) -> DataFrame:
+    """Mark the early-stopping reserve: a seeded random tenth of the zones (of each ``by`` group), not of the blocks."""
+    take = F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * p.boosting_reserve, 0))
+    ranked = hash_rank(rows, "cell", f"reserve-{p.seed}", "_rn", by)
+    if not by:
+        return ranked.withColumn("reserve", F.col("_rn") <= rows.agg(take.alias("n")).scalar()).drop("_rn")
+    return ranked.join(rows.groupBy(*by).agg(take.alias("_take")), by).withColumn("reserve", F.col("_rn") <= F.col("_take")).drop("_rn", "_take")
 
 
 def _tree_table(spark, trees: dict[int, list]) -> DataFrame:
@@ -87,46 +95,46 @@ def _score(depth: int) -> Column:
     return F.aggregate("trees", F.lit(0.0), lambda acc, t: acc + F.element_at(t["value"], _leaf(t, depth)))
 
 
-def _depth(s: dict) -> int:
-    return s["max_depth"] or DEFAULT_DEPTH
+def _depth(s: dict, p: Params = DEFAULT) -> int:
+    return s["max_depth"] or p.boosting_depth
+
+
+GROWN = ("model int, base double, trees array<struct<j:array<int>,cut:array<int>,value:array<double>>>, "
+         "train_loss array<double>, reserve_loss array<double>")
 
 
 def fit_boosting(rows: DataFrame, settings: dict[int, dict], target: str = "query_count", p: Params = DEFAULT,
                  max_iter: int | None = None) -> Boosted:
     """Fit one model per id; ``rows`` carries ``model``, ``cell``, the predictors and ``reserve``.
 
-    ``settings[model]`` has ``max_depth`` (None: five levels), ``min_leaf`` and ``learning_rate``.
+    ``settings[model]`` has ``max_depth`` (None: ``p.boosting_depth`` levels), ``min_leaf`` and ``learning_rate``.
     """
-    max_iter = max_iter or p.boosting_max_iter
-    spark, depth = rows.sparkSession, max(_depth(s) for s in settings.values())
+    limit = max_iter or p.boosting_max_iter
+    depth = {m: _depth(s, p) for m, s in settings.items()}
+    size = 2 ** (max(depth.values()) + 1) - 1
     edges = bin_edges(rows, p)
-    table = materialize(
-        binned(rows, edges).groupBy("model", "reserve", "bins").agg(
-            F.sum("population").cast("double").alias("pop"), F.sum(target).cast("double").alias("y"),
-            F.count(F.lit(1)).alias("rows")), "boost")
-    start = table.where("NOT reserve").groupBy("model").agg(F.log(F.greatest(F.sum("y"), F.lit(1e-9)) / F.sum("pop"))
-                                                            .alias("b")).collect()
-    fit = Boosted(edges, {r.model: r.b for r in start}, settings=settings)
-    for m in fit.base:
-        fit.trees[m], fit.train_loss[m], fit.reserve_loss[m] = [], [], []
-    base = spark.createDataFrame(pa.table({"model": pa.array(list(fit.base), pa.int32()), "f": pa.array(list(fit.base.values()))}))
-    state = table.join(F.broadcast(base), "model")
-    live = set(fit.base)
-    for it in range(max_iter):
-        if not live:
-            break
-        trees = _grow(state, live, settings, len(edges), depth)
-        step = F.broadcast(_tree_table(spark, {m: [t] for m, t in trees.items()}))
-        state = state.join(step, "model").withColumn("f", F.col("f") + _score(depth)).drop("trees")
-        if it % 3 == 2:
-            state = materialize(state, "boost")
-        loss = F.sum(F.col("pop") * F.exp("f") - F.col("y") * F.col("f")) / F.sum("pop")
-        for r in state.groupBy("model", "reserve").agg(loss.alias("loss")).collect():
-            (fit.reserve_loss if r.reserve else fit.train_loss)[r.model].append(r.loss)
-        for m in list(live):
-            fit.trees[m].append(trees[m])
-            if _stopped(fit.reserve_loss[m]):
-                live.discard(m)
+    table = binned(rows, edges).groupBy("model", "reserve", "bins").agg(
+        F.sum("population").cast("double").alias("pop"), F.sum(target).cast("double").alias("y"), F.count(F.lit(1)).alias("rows"))
+
+    def grow(group: pa.Table) -> pa.Table:
+        m = group["model"][0].as_py()
+        bins = group["bins"].combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+        out = grow_model(bins, *(group[c].to_numpy() for c in ("reserve", "pop", "y", "rows")), depth[m], settings[m]["min_leaf"],
+                         settings[m]["learning_rate"], limit, size)
+        base, trees, train, reserve = out
+        kind = pa.list_(pa.struct([("j", pa.list_(pa.int32())), ("cut", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))]))
+        return pa.table([pa.array([m], pa.int32()), pa.array([base]), pa.array([[{"j": j, "cut": c, "value": v} for j, c, v in trees]], kind),
+                         pa.array([train], pa.list_(pa.float64())), pa.array([reserve], pa.list_(pa.float64()))],
+                        names=["model", "base", "trees", "train_loss", "reserve_loss"])
+
+    fit = Boosted(edges, {}, settings=settings)
+    # models are few and long to grow: each gets a task of its own
+    for r in table.repartition(len(settings), "model").groupBy("model").applyInArrow(grow, GROWN).collect():
+        fit.base[r.model] = r.base
+        fit.trees[r.model] = [(list(t.j), list(t.cut), list(t.value)) for t in r.trees]
+        fit.train_loss[r.model], fit.reserve_loss[r.model] = list(r.train_loss), list(r.reserve_loss)
+    if not fit.base:
+        raise ValueError("boosting: there are no training rows")
     return fit
 
 
@@ -137,96 +145,132 @@ def _stopped(losses: list[float]) -> bool:
     return min(losses[-PATIENCE:]) > losses[-PATIENCE - 1] - STOP_TOL
 
 
-def _grow(state: DataFrame, live: set[int], settings: dict[int, dict], n_pred: int, depth: int) -> dict[int, tuple]:
-    """One tree per live model. Each level is one aggregation; its best splits (one row per leaf) come back.
+def grow_model(bins, reserve, pop, y, rows, depth: int, min_leaf: int, rate: float, max_iter: int, size: int):
+    """(base, trees, losses in training, losses in reserve) of one model from its summed rows."""
+    held = reserve.astype(bool)
+    own = ~held
+    base = float(np.log(max(y[own].sum(), 1e-9) / pop[own].sum())) if own.any() else 0.0
+    f = np.full(len(y), base)
+    trees, losses = [], ([], [])
+    for _ in range(max_iter if own.any() else 0):
+        h = pop * np.exp(f)
+        tree, leaf = _grow_tree(bins, own, h - y, h, rows, depth, min_leaf, rate, size)
+        trees.append(tree)
+        f = f + np.array(tree[2])[leaf - 1]
+        loss = pop * np.exp(f) - y * f
+        for part, into in ((own, losses[0]), (held, losses[1])):
+            if part.any():
+                into.append(float(loss[part].sum() / pop[part].sum()))
+        if _stopped(losses[1]):
+            break
+    return base, trees, *losses
+
 
-    The unfinished trees travel as a small table, so every level runs the same generated code.
-    """
-    size = 2 ** (depth + 1)
-    trees = {m: ([-1] * (size - 1), [0] * (size - 1), [0.0] * (size - 1)) for m in live}
-    fresh = {m: [1] for m in live}
-    limits = pa.table({"model": pa.array(sorted(live), pa.int32()),
-                       "small": pa.array([settings[m]["min_leaf"] for m in sorted(live)], pa.int64())})
-    limit = F.broadcast(state.sparkSession.createDataFrame(limits))
-    grads = state.where("NOT reserve").select(
-        "model", "bins", "rows", (F.col("pop") * F.exp("f") - F.col("y")).alias("g"), (F.col("pop") * F.exp("f")).alias("h"))
+def _grow_tree(bins, own, g, h, rows, depth: int, min_leaf: int, rate: float, size: int):
+    """One tree and every row's leaf. Of equal gains (nine digits) the first predictor and then the lowest cut wins."""
+    j, cut, value = [-1] * size, [0] * size, [0.0] * size
+    node, open_nodes = np.ones(len(g), np.int64), [1]
     for level in range(depth + 1):
-        growing = {m: [trees[m]] for m in live if fresh.get(m)}
-        if not growing:
+        order = np.array(open_nodes)
+        at = np.searchsorted(order, node)
+        mine = own & (at < len(order)) & (order[np.minimum(at, len(order) - 1)] == node)
+        k, n = at[mine], len(order)
+        sums = [np.bincount(k, x[mine], n) for x in (g, h, rows)]
+        for i, leaf in enumerate(open_nodes):
+            value[leaf - 1] = float(-rate * sums[0][i] / sums[1][i]) if sums[1][i] > 0 else 0.0
+        if level == depth:
+            break
+        best = [(1e-9, -1, 0)] * n
+        for c in range(bins.shape[1]):
+            cell = k * (MAX_BINS + 1) + bins[mine, c]
+            gl, hl, rl = (np.cumsum(np.bincount(cell, x[mine], n * (MAX_BINS + 1)).reshape(n, -1), 1) for x in (g, h, rows))
+            gt, ht, rt = (x[:, None] for x in sums)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                part = lambda a, b: np.where(b > 0, a * a / b, 0.0)
+                gain = np.round(part(gl, hl) + part(gt - gl, ht - hl) - part(gt, ht), 9)
+            gain[(rl < min_leaf) | (rt - rl < min_leaf)] = -np.inf
+            at_best = gain.argmax(1)
+            for i in range(n):
+                if gain[i, at_best[i]] > best[i][0]:
+                    best[i] = (gain[i, at_best[i]], c, int(at_best[i]))
+        grown = []
+        for leaf, (_, c, b) in zip(open_nodes, best):
+            if c >= 0:
+                j[leaf - 1], cut[leaf - 1] = c, b
+                here = node == leaf
+                node[here] = 2 * leaf + (bins[here, c] > b)
+                grown += [2 * leaf, 2 * leaf + 1]
+        if not grown:
             break
-        here = grads.join(F.broadcast(_tree_table(state.sparkSession, growing)), "model").withColumn(
-            "leaf", _leaf(F.col("trees")[0], depth)).where(F.col("leaf") >= 2 ** level)
-        cells = F.transform(F.sequence(F.lit(0), F.lit(n_pred - 1)),
-                            lambda j: F.struct(j.alias("j"), F.element_at(F.col("bins"), j + 1).alias("bin")))
-        hist = here.select("model", "leaf", "g", "h", "rows", F.inline(cells)).groupBy("model", "leaf", "j", "bin").agg(
-            F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("rows").alias("rows")).repartition("model", "leaf")
-        every = Window.partitionBy("model", "leaf", "j")  # at most 255 rows
-        w = every.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        cum = hist.select("model", "leaf", "j", "bin", *[F.sum(c).over(w).alias(f"{c}l") for c in ("g", "h", "rows")],
-                          *[F.sum(c).over(every).alias(f"{c}t") for c in ("g", "h", "rows")]).join(limit, "model")
-        gr, hr = F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl")
-        gain = (F.try_divide(F.col("gl") * F.col("gl"), F.col("hl")) + F.try_divide(gr * gr, hr)
-                - F.try_divide(F.col("gt") * F.col("gt"), F.col("ht")))
-        ok = (F.col("rowsl") >= F.col("small")) & (F.col("rowst") - F.col("rowsl") >= F.col("small"))
-        best = cum.groupBy("model", "leaf").agg(
-            F.max(F.when(ok, F.struct(F.round(gain, 9).alias("gain"), (-F.col("j")).alias("j"), (-F.col("bin")).alias("bin")))).alias("s"),
-            F.max("gt").alias("g"), F.max("ht").alias("h"))
-        fresh = {}
-        for r in best.collect():
-            j, cut, value = trees[r.model]
-            value[r.leaf - 1] = -settings[r.model]["learning_rate"] * r.g / r.h if r.h > 0 else 0.0
-            if level < _depth(settings[r.model]) and r.s is not None and r.s.gain is not None and r.s.gain > 1e-9:
-                j[r.leaf - 1], cut[r.leaf - 1] = -r.s.j, -r.s.bin
-                fresh.setdefault(r.model, []).append(r.leaf)
-    return trees
+        open_nodes = sorted(grown)
+    return (j, cut, value), node
 
 
 def predict_boosting(frame: DataFrame, fit: Boosted, p: Params = DEFAULT) -> DataFrame:
     """Expected count (rate times population) under the row's ``model``; one pass over the frame."""
     cols = frame.columns
-    depth = max(_depth(s) for s in fit.settings.values())
+    depth = max(_depth(s, p) for s in fit.settings.values())
     base = pa.table({"model": pa.array(list(fit.base), pa.int32()), "_f": pa.array(list(fit.base.values()))})
     model = _tree_table(frame.sparkSession, fit.trees).join(frame.sparkSession.createDataFrame(base), "model")
     out = binned(frame, fit.edges).join(F.broadcast(model), "model")
     return out.withColumn("expected", F.exp(F.col("_f") + _score(depth)) * F.col("population")).select(*cols, "expected")
 
 
-def grid_models(rows: DataFrame, grid: tuple[dict, ...], inner_folds: int) -> tuple[DataFrame, dict[int, dict]]:
-    """Rows of the inner search: one model per (combination, inner fold), each without its own fold.
+def grid_models(rows: DataFrame, grid: tuple[dict, ...], inner_folds: int, outer: list[int]) -> tuple[DataFrame, dict[int, dict]]:
+    """Rows of the search: one model per (outer fold, combination, inner fold), each without its own inner fold.
 
-    ``rows`` carries ``inner``; model id = combination · inner_folds + fold.
+    ``rows`` carries ``outer`` and ``inner``; model id = (outer · combinations + combination) · inner_folds + fold.
     """
-    ids = [(c * inner_folds + f, f) for c in range(len(grid)) for f in range(inner_folds)]
-    settings = {m: grid[m // inner_folds] for m, _ in ids}
-    models = F.filter(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(f).alias("f")) for m, f in ids]),
-                      lambda s: s["f"] != F.col("inner"))
-    return rows.withColumn("model", F.explode(F.transform(models, lambda s: s["m"]))), settings
+    size = len(grid) * inner_folds
+    settings = {o * size + i: grid[i // inner_folds] for o in outer for i in range(size)}
+    ids = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: i % inner_folds != F.col("inner"))
+    return rows.withColumn("model", F.explode(F.transform(ids, lambda i: (F.col("outer") * size + i).cast("int")))), settings
 
 
-def boosting_grid_search(rows: DataFrame, target: str = "query_count", p: Params = DEFAULT, max_iter: int | None = None,
-                         grid: tuple[dict, ...] | None = None) -> tuple[dict, DataFrame]:
-    """(chosen settings, table of inner deviance per combination). ``rows`` carries ``inner`` block folds."""
+def boosting_searches(rows: DataFrame, outer: list[int], target: str = "query_count", p: Params = DEFAULT, max_iter: int | None = None,
+                      grid: tuple[dict, ...] | None = None) -> tuple[dict[int, dict], DataFrame]:
+    """(chosen settings per outer fold, table of inner deviance per outer fold and combination); all searches grow side by side."""
     from gapgrid.models.validation import deviance
 
     grid = grid or p.boosting_grid
-    train, settings = grid_models(rows, grid, p.inner_folds)
-    parts = reserve_flag(rows, p).select("cell", "reserve")
-    fit = fit_boosting(train.join(parts, "cell"), settings, target, p, max_iter)
-    held = rows.withColumn("model", F.explode(F.array(*[F.lit(c * p.inner_folds) for c in range(len(grid))])))
-    held = held.withColumn("model", F.col("model") + F.col("inner"))
+    size = len(grid) * p.inner_folds
+    rows = materialize(rows, "search")
+    parts = reserve_flag(rows, p, ["outer"]).select("cell", "outer", "reserve")
+    train, settings = grid_models(rows.join(parts, ["cell", "outer"]), grid, p.inner_folds, outer)
+    fit = fit_boosting(train, settings, target, p, max_iter)
+    held = rows.withColumn("model", F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(grid) - 1)), lambda c: (
+        F.col("outer") * size + c * p.inner_folds + F.col("inner")).cast("int"))))
     pred = predict_boosting(held, fit, p).withColumn("expected", F.greatest("expected", F.lit(PREDICTION_FLOOR)))
-    per = pred.groupBy("model").agg(deviance(target, "expected").alias("dev"))
-    score = per.groupBy(F.floor(F.col("model") / p.inner_folds).cast("int").alias("combination")).agg(F.avg("dev").alias("inner_deviance"))
+    per = pred.groupBy("outer", "model").agg(deviance(target, "expected").alias("dev"))
+    score = per.groupBy("outer", F.floor(F.pmod(F.col("model"), F.lit(size)) / p.inner_folds).cast("int").alias("combination")).agg(
+        F.avg("dev").alias("inner_deviance"))
     names = F.array(*[F.struct(F.lit(i).alias("combination"), F.lit(g["max_depth"]).cast("int").alias("max_depth"),
                                F.lit(g["min_leaf"]).alias("min_leaf"), F.lit(g["learning_rate"]).alias("learning_rate"))
                       for i, g in enumerate(grid)])
     labels = rows.sparkSession.range(1).select(F.inline(names))
     scored = materialize(score.join(labels, "combination"), "grid")
-    best = scored.orderBy("inner_deviance", "combination").first()
-    return grid[best.combination], scored
+    best = scored.groupBy("outer").agg(F.min(F.struct("inner_deviance", "combination")).alias("b")).collect()
+    return {r.outer: grid[r.b.combination] for r in best}, scored
+
+
+def boosting_grid_search(rows: DataFrame, target: str = "query_count", p: Params = DEFAULT, max_iter: int | None = None,
+                         grid: tuple[dict, ...] | None = None) -> tuple[dict, DataFrame]:
+    """(chosen settings, table of inner deviance per combination). ``rows`` carries ``inner`` block folds."""
+    chosen, scored = boosting_searches(rows.withColumn("outer", F.lit(0)), [0], target, p, max_iter, grid)
+    if not chosen:
+        raise ValueError("boosting: there are no training rows")
+    return chosen[0], scored.drop("outer")
 
 
 def boosted_rows(spark, fit: Boosted) -> DataFrame:
     """Stored form: (model, base, trees)."""
     base = pa.table({"model": pa.array(list(fit.base), pa.int32()), "base": pa.array(list(fit.base.values()))})
     return _tree_table(spark, fit.trees).join(spark.createDataFrame(base), "model")
+
+
+def boosted_from_rows(rows: DataFrame, edges: dict[str, list[float]], settings: dict[int, dict]) -> Boosted:
+    """Read ``boosted_rows`` back (a bounded number of trees per model)."""
+    fit = Boosted(edges, {}, settings=settings)
+    for r in rows.collect():
+        fit.base[r.model], fit.trees[r.model] = r.base, [(list(t.j), list(t.cut), list(t.value)) for t in r.trees]
+    return fit

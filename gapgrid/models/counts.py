@@ -73,6 +73,8 @@ def fit_counts(rows: DataFrame, target: str = "query_count", p: Params = DEFAULT
                max_iter: int = 100, tol: float = 1e-8) -> dict[int, np.ndarray]:
     """Coefficients (intercept, predictors…, and alpha with ``dispersion``) per model id.
 
+    Without training rows, or if the passes do not settle, a ``ValueError`` says so; nothing unfinished is returned.
+
     ``rows`` carries ``model``. The NB2 fit starts at the Poisson solution and updates the coefficients and
     the dispersion from one aggregation per pass.
     """
@@ -81,8 +83,10 @@ def fit_counts(rows: DataFrame, target: str = "query_count", p: Params = DEFAULT
     try:
         first = {r.model: math.log(max(r.y, 1e-9) / r.pop) for r in data.groupBy("model").agg(
             F.sum("y").alias("y"), F.sum(F.exp("off")).alias("pop")).collect()}
+        if not first:
+            raise ValueError("count regression: there are no training rows")
         beta = {m: np.r_[b, np.zeros(len(names))] for m, b in first.items()}
-        beta = _passes(data, names, beta, None, max_iter, tol)
+        beta = _passes(data, names, beta, None, max_iter, 1e-3 if dispersion else tol)  # NB2 only needs a start
         if not dispersion:
             return beta
         theta = {m: 1.0 for m in beta}
@@ -136,6 +140,8 @@ def _passes(data: DataFrame, names: list[str], beta: dict, theta: dict | None, m
                 shift = max(shift, abs(move) if theta[r.model] < 1e8 else 0.0)
         if shift < tol:
             break
+    else:
+        raise ValueError(f"count regression: no convergence in {max_iter} passes (last change {shift:.3g}, wanted {tol:.3g})")
     return beta if theta is None else {m: np.r_[b, 1.0 / theta[m]] for m, b in beta.items()}
 
 

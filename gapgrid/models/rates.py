@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gapgrid.functions import grid
 from gapgrid.params import DEFAULT, Params
+from gapgrid.session import materialize
 
 GROUP_OF = {"B1": "municipality", "B2": "distance_ring"}
 
@@ -65,9 +66,9 @@ def neighbourhood_sums(frame: DataFrame, train: DataFrame, target: str, p: Param
         pairs = grid.neighbour_join(todo, table, hi)
         if outside:
             pairs = pairs.join(todo.withColumnRenamed("cell", "src"), "src").where(F.col("_other") != F.col(outside))
-        found = growing_disk_sum(pairs, p.neighbours_min)
+        found = materialize(growing_disk_sum(pairs, p.neighbours_min), "disks")
         parts.append(found)
-        todo = todo.join(found.select(F.col("src").alias("cell")), "cell", "left_anti")
+        todo = materialize(todo.join(found.select(F.col("src").alias("cell")), "cell", "left_anti"), "too-few")
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 

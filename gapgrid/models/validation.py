@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from gapgrid.functions import grid
 from gapgrid.functions.ordering import hash_rank, running, union_all
-from gapgrid.models.boosting import boosting_grid_search, fit_boosting, predict_boosting, reserve_flag
+from gapgrid.models.boosting import boosting_grid_search, boosting_searches, fit_boosting, predict_boosting, reserve_flag
 from gapgrid.models.counts import FULL_FIT, expected_counts, fit_counts, with_models
 from gapgrid.models.rates import GROUP_OF, oof_rates, rate_by_group, rate_global, rate_neighbourhood
 from gapgrid.operators.stats import spearman_by
 from gapgrid.params import DEFAULT, LADDER, PART_TEST, PART_TRAIN, PREDICTION_FLOOR, Params
+from gapgrid.session import materialize
 
 METRICS = ["deviance", "d2", "mae", "calibration", "spearman"]
 
@@ -128,15 +129,30 @@ def out_of_fold(rows: DataFrame, technique: str, target: str = "query_count", p:
         coefs = fit_counts(train, target, p, technique == "M2")
         return floored(expected_counts(rows.withColumn("model", F.col("fold")), coefs, p).drop("model"))
     train = with_models(rows, folds).where(F.col("model") != FULL_FIT)
-    chosen = {}
-    for f in folds:
-        inner = block_folds(rows.where(F.col("fold") != f), p.inner_folds, "inner")
-        chosen[f] = boosting_grid_search(inner, target, p, boosting_iter, boosting_grid)[0]
+    chosen, _ = outer_searches(rows, target, p, boosting_iter, boosting_grid)
     parts = reserve_flag(rows, p).select("cell", "reserve")
     fit = fit_boosting(train.join(parts, "cell"), chosen, target, p, boosting_iter)
     return floored(predict_boosting(rows.withColumn("model", F.col("fold")), fit, p).drop("model"))
 
 
+def outer_searches(rows: DataFrame, target: str = "query_count", p: Params = DEFAULT, boosting_iter: int | None = None,
+                   boosting_grid: tuple | None = None) -> tuple[dict[int, dict], DataFrame]:
+    """(settings chosen for each fold without its own rows, inner deviance of every combination per fold)."""
+    rows = materialize(rows, "outer")
+    folds = list(range(p.folds))
+    inner = [block_folds(rows.where(F.col("fold") != f), p.inner_folds, "inner").withColumn("outer", F.lit(f)) for f in folds]
+    return boosting_searches(union_all(inner), folds, target, p, boosting_iter, boosting_grid)
+
+
+def select_technique(oof: DataFrame, p: Params = DEFAULT) -> tuple[str, DataFrame]:
+    """(the technique that the one-standard-error rule chooses, the rule's table) from out-of-fold predictions."""
+    rule = materialize(one_se_rule(count_metrics(oof, by=["technique", "fold"]), p), "rule")
+    chosen = rule.where("is_chosen").first()
+    if chosen is None:
+        raise ValueError("selection: there are no out-of-fold predictions")
+    return chosen.technique, rule
+
+
 def final_fit(train: DataFrame, frame: DataFrame, technique: str, target: str = "query_count", p: Params = DEFAULT,
               boosting_iter: int | None = None, boosting_grid: tuple | None = None) -> DataFrame:
     """Fit on all training rows and predict ``frame``."""

@@ -61,10 +61,11 @@ def check_fold_integrity(oof: DataFrame, name: str = "fold_integrity") -> DataFr
     return _row(name, twice.unionByName(split), F.sum("v"))
 
 
-def check_no_leak(df: DataFrame, predictors: list[str], forbidden: list[str], fitted: list[str], name: str = "no_leak") -> DataFrame:
-    """Forbidden predictors, declared predictors that were not fitted and the reverse (column lists only)."""
-    bad = len(set(predictors) & set(forbidden)) + len(set(predictors) ^ set(fitted))
-    return _row(name, df.limit(0), F.count(F.lit(1)) + bad)
+def check_no_leak(coefficients: DataFrame, predictors: list[str], forbidden: list[str], name: str = "no_leak") -> DataFrame:
+    """Parameters of a stored fit (rows with ``parameter``) that are forbidden, not declared, or declared and missing."""
+    own = coefficients.where(~F.col("parameter").isin("const", "alpha")).select("parameter").distinct()
+    bad = F.count_if(F.col("parameter").isin(forbidden)) + F.count_if(~F.col("parameter").isin(predictors))
+    return _row(name, own, bad + len(predictors) - F.count_if(F.col("parameter").isin(predictors)))
 
 
 def check_domain(df: DataFrame, col: str, allowed: list, name: str | None = None) -> DataFrame:

@@ -39,8 +39,7 @@ def exclude_users(df: DataFrame, users: DataFrame, user: str = "user_id") -> Dat
 
 def valid_origins(trips: DataFrame, anomalous: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Distinct valid origins of users that are not anomalous, with their cell."""
-    pts = exclude_users(trips.where(S.valid_origin(p.bbox)).select("user_id", "lat_orig", "lon_orig").distinct(),
-                        anomalous)
+    pts = exclude_users(trips.where(S.valid_origin(p.bbox)).select("user_id", "lat_orig", "lon_orig"), anomalous)
     return (pts.select(F.col("lat_orig").alias("lat"), F.col("lon_orig").alias("lon")).distinct()
             .withColumn("cell", grid.point_to_cell("lat", "lon", p=p)))
 

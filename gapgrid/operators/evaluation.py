@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapgrid.functions import scalars as S
-from gapgrid.functions.ordering import running, union_all
+from gapgrid.functions.ordering import quantiles, running, union_all
 from gapgrid.models.validation import expected_by_zone
-from gapgrid.operators.stats import spearman
+from gapgrid.operators.stats import spearman, spearman_by
 from gapgrid.params import ACTION_MAP, DEFAULT, Params
+from gapgrid.session import materialize
 
+# Columns of the delivered tables.
 GAP_COLUMNS = ["cell", "municipality", "population", "query_count", "dist_centre_km", "dist_network_m", "covered", "lat", "lon"]
 PREDICTION_COLUMNS = ["cell", "lat", "lon", "municipality", "population", "observed", "expected", "observed_week",
                       "expected_week", "gap_pearson", "ratio_obs_exp", "unmet_demand", "covered", "dist_network_m",
@@ -93,14 +95,32 @@ def compare_rankings(base: DataFrame, variant: DataFrame, k: int) -> DataFrame:
 
 
 def sensitivity_table(gap: DataFrame, variants: dict[str, DataFrame], k: int) -> DataFrame:
-    """Agreement of every variant with the main gap, over all zones and over uncovered zones."""
-    open_cells = gap.where("covered = 0").select("cell")
-    parts = []
-    for name, v in variants.items():
-        for universe, pick in (("all", lambda d: d), ("uncovered", lambda d: d.join(open_cells, "cell", "left_semi"))):
-            parts.append(compare_rankings(pick(gap), pick(v), k).select(
-                F.lit(name).alias("variant"), F.lit(universe).alias("universe"), "*"))
-    return union_all(parts)
+    """Agreement of every variant with the main gap, over all zones and over uncovered zones.
+
+    All variants and both universes are ranked in one pass under the keys (variant, universe).
+    """
+    keys = ["variant", "universe"]
+    base = gap.select("cell", F.col("gap_pearson").alias("gap_x"), F.explode(
+        F.when(F.col("covered") == 0, F.array(F.lit("all"), F.lit("uncovered"))).otherwise(F.array(F.lit("all")))).alias("universe"))
+    base = materialize(base, "base-gap")
+    mine = union_all([v.select(F.lit(name).alias("variant"), "cell", F.col("gap_pearson").alias("gap_y")) for name, v in variants.items()])
+    flags = base.where("universe = 'uncovered'").select("cell", F.lit(True).alias("_open"))
+    mine = mine.join(flags, "cell", "left").withColumn("universe", F.explode(
+        F.when(F.col("_open"), F.array(F.lit("all"), F.lit("uncovered"))).otherwise(F.array(F.lit("all"))))).drop("_open")
+    mine = materialize(mine, "variant-gaps")
+    common = mine.join(base, ["cell", "universe"])
+    n = common.groupBy(*keys).agg(F.count(F.lit(1)).alias("common_zones"))
+    rho = spearman_by(common, "gap_x", "gap_y", keys).select(*keys, F.round("spearman", 3).alias("spearman"))
+    first = lambda df, by, value: df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(value, "cell"))).where(F.col("_rn") <= k)
+    names = F.explode(F.array(*[F.lit(v) for v in variants]))
+    a = first(base, ["universe"], "gap_x").select(names.alias("variant"), "universe", "cell", F.lit(1).alias("_a"))
+    b = first(mine, keys, "gap_y").select(*keys, "cell", F.lit(1).alias("_b"))
+    jac = a.join(b, [*keys, "cell"], "full").groupBy(*keys).agg(
+        F.round(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()) / F.count(F.lit(1)), 3).alias("jaccard"))
+    every = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(u).alias("universe")) for v in variants for u in ("all", "uncovered")])
+    rows = gap.sparkSession.range(1).select(F.inline(every))
+    return rows.join(n, keys, "left").join(rho, keys, "left").join(jac, keys, "left").select(
+        *keys, F.coalesce("common_zones", F.lit(0)).cast("bigint").alias("common_zones"), "spearman", "jaccard")
 
 
 def gap_summary(gap: DataFrame, k: int) -> DataFrame:
@@ -114,14 +134,16 @@ def gap_summary(gap: DataFrame, k: int) -> DataFrame:
 
 
 def coverage_contrast(gap: DataFrame) -> DataFrame:
-    return gap.groupBy("covered").agg(
-        F.count(F.lit(1)).alias("zones"), F.sum("population").alias("population"), F.percentile("gap_pearson", 0.5).alias("median_gap"),
+    facts = gap.groupBy("covered").agg(
+        F.count(F.lit(1)).alias("zones"), F.sum("population").alias("population"),
         (F.avg((F.col("gap_pearson") < 0).cast("int")) * 100).alias("pct_below"), F.sum("unmet_demand").alias("unmet"))
+    median = quantiles(gap, "gap_pearson", {"median_gap": 0.5}, ["covered"])
+    return facts.join(median, "covered").select("covered", "zones", "population", "median_gap", "pct_below", "unmet")
 
 
 def clamped_gap(gap: DataFrame) -> DataFrame:
     """Gap limited to ± its 95th percentile of absolute value (the colour scale of a map)."""
-    limit = gap.agg(F.percentile(F.abs("gap_pearson"), 0.95).alias("l")).scalar()
+    limit = quantiles(gap.select(F.abs("gap_pearson").alias("size")), "size", {"l": 0.95}).scalar()
     return gap.select("cell", limit.alias("limit"), S.clamp("gap_pearson", limit).alias("clamped"))
 
 

@@ -18,8 +18,8 @@ from gapgrid.functions.projection import project_xy, unproject_xy
 from gapgrid.params import DEFAULT, Params
 from gapgrid.session import materialize
 
-MAX_ROUNDS = 60
-FLAT = 1e-13  # turns below this (square degrees) are rounding noise of points on one line
+UNIT = 10_000_000  # coordinates are compared in whole 1e-7 degrees (about a centimetre), so turns are exact
+DIRECTIONS = 16
 
 # the partial hull below runs in Python workers, which need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -37,7 +37,8 @@ def component_labels(cells: DataFrame, k: int = 1) -> DataFrame:
     nodes = materialize(cells.select("cell").distinct(), "cells")
     edges = materialize(grid.neighbour_join(nodes, nodes, k).where("src < dst").select("src", "dst"), "edges")
     picks = []
-    for rnd in range(MAX_ROUNDS):
+    left = nodes.count()
+    for rnd in range(20 + 4 * max(1, left).bit_length()):  # rounds needed grow with the logarithm of the nodes
         if edges.isEmpty():
             break
         both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(
@@ -74,24 +75,24 @@ def largest_component(cells: DataFrame, k: int = 1) -> DataFrame:
 
 # ---- convex hull -----------------------------------------------------------
 
-def _turn(o, a, b) -> float:
+def _turn(o, a, b) -> int:
     return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 
 
 def hull_of(points: np.ndarray) -> list[tuple[float, float]]:
-    """Counter-clockwise hull vertices of (x, y) rows, starting at the leftmost lowest point."""
-    pts = sorted({(float(x), float(y)) for x, y in points})
-    if len(pts) < 3:
-        return pts
-    chains = []
-    for seq in (pts, pts[::-1]):
-        chain: list[tuple[float, float]] = []
-        for pt in seq:
-            while len(chain) > 1 and _turn(chain[-2], chain[-1], pt) <= FLAT:
-                chain.pop()
-            chain.append(pt)
-        chains.append(chain[:-1])
-    return chains[0] + chains[1]
+    """Counter-clockwise hull vertices of (x, y) rows in degrees, starting at the leftmost lowest point."""
+    pts = sorted({(int(x), int(y)) for x, y in np.rint(np.asarray(points, float).reshape(-1, 2) * UNIT)})
+    if len(pts) > 2:
+        chains = []
+        for seq in (pts, pts[::-1]):
+            chain: list[tuple[int, int]] = []
+            for pt in seq:
+                while len(chain) > 1 and _turn(chain[-2], chain[-1], pt) <= 0:
+                    chain.pop()
+                chain.append(pt)
+            chains.append(chain[:-1])
+        pts = chains[0] + chains[1]
+    return [(x / UNIT, y / UNIT) for x, y in pts]
 
 
 def _partial_hull(batches):
@@ -104,11 +105,22 @@ def _partial_hull(batches):
 def convex_hull(points: DataFrame) -> list[tuple[float, float]]:
     """Hull ring (lon, lat) of all points.
 
-    Every partition keeps only its own hull while it streams, then the hulls are merged in fewer tasks; the
-    driver receives the vertices of those, a few dozen points each.
+    The extreme points in a few directions, found by one aggregate, span a polygon; points strictly inside it
+    are no vertices and go first, by plain arithmetic. Every partition then keeps only the hull of what is left.
     """
+    pts = points.select("lon", "lat")
+    angles = [2 * math.pi * k / DIRECTIONS for k in range(DIRECTIONS)]
+    far = [F.max_by(F.struct("lon", "lat"), F.col("lon") * math.cos(a) + F.col("lat") * math.sin(a)).alias(f"p{k}") for k, a in enumerate(angles)]
+    corners = [tuple(v) for v in pts.agg(*far).first() if v is not None]
+    poly = hull_of(np.array(corners)) if corners else []
+    if len(poly) > 2:
+        inside = F.lit(True)
+        for (x1, y1), (x2, y2) in zip(poly, poly[1:] + poly[:1]):
+            clear = 4.0 / UNIT * math.hypot(x2 - x1, y2 - y1)  # farther inside than coordinates are rounded
+            inside = inside & ((x2 - x1) * (F.col("lat") - y1) - (y2 - y1) * (F.col("lon") - x1) > clear)
+        pts = pts.where(~inside)
     schema = "lon double, lat double"
-    partial = points.select("lon", "lat").mapInPandas(_partial_hull, schema)
+    partial = pts.mapInPandas(_partial_hull, schema)
     merged = partial.repartition(8, F.xxhash64("lon", "lat")).mapInPandas(_partial_hull, schema)
     return hull_of(np.array([tuple(r) for r in merged.collect()]).reshape(-1, 2))
 
@@ -138,13 +150,6 @@ def make_area(ring: list[tuple[float, float]], buffer_m: float, p: Params = DEFA
     return StudyArea(tuple(ring), tuple((r.x, r.y) for r in rows), buffer_m)
 
 
-def _edges(area: StudyArea) -> Column:
-    xy = area.ring_xy
-    pairs = [(a, b) for a, b in zip(xy, xy[1:] + xy[:1])]
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), (*a, *b))])
-                     for a, b in pairs])
-
-
 def _near(area: StudyArea, la: Column, lo: Column) -> Column:
     """Bounding box on plain degrees with room for the margin."""
     lons, lats = [v[0] for v in area.ring], [v[1] for v in area.ring]
@@ -157,61 +162,40 @@ def _left_of(e, px: Column, py: Column) -> Column:
     return (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"]) >= 0
 
 
+def _inside(area: StudyArea, px: Column, py: Column) -> Column:
+    """Point (projected metres) in the ring or closer to it than the margin; the edges are literals."""
+    solid, close = F.lit(len(area.ring_xy) > 2), F.lit(False)
+    for (x1, y1), (x2, y2) in zip(area.ring_xy, area.ring_xy[1:] + area.ring_xy[:1]):
+        solid = solid & _left_of({"x1": x1, "y1": y1, "x2": x2, "y2": y2}, px, py)
+        # distance to the segment: across it where the foot lies on it, else to its first end (the other end
+        # is the first end of the next edge)
+        ux, uy = x2 - x1, y2 - y1
+        length = math.hypot(ux, uy)
+        close = close | (F.hypot(px - x1, py - y1) < area.buffer_m)
+        if length > 0:
+            along = (px - x1) * (ux / length) + (py - y1) * (uy / length)
+            across = (px - x1) * (uy / length) - (py - y1) * (ux / length)
+            close = close | ((F.abs(across) < area.buffer_m) & along.between(0.0, length))
+    return solid | close
+
+
 def within_area(area: StudyArea, lat="lat", lon="lon", p: Params = DEFAULT) -> Column:
     """Inside the ring or closer to it than the margin; the outer boundary itself is outside.
 
     A bounding box settles far points before any projection is computed. As a single expression it can be used
-    in any filter; ``add_inside`` is the faster form for large tables.
+    in any filter; ``add_inside`` is the faster form for large tables, with the same test.
     """
     la, lo = (F.col(c) if isinstance(c, str) else c for c in (lat, lon))
     x, y = project_xy(la, lo, p)
-
-    def gap2(e: Column, px: Column, py: Column) -> Column:
-        ux, uy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        size = ux * ux + uy * uy
-        t = F.when(size == 0, 0.0).otherwise(((px - e["x1"]) * ux + (py - e["y1"]) * uy) / size)
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-        dx, dy = px - (e["x1"] + t * ux), py - (e["y1"] + t * uy)
-        return dx * dx + dy * dy
-
     # the point is projected once per row: it travels as the only element of an array
     point = F.array(F.struct(x.alias("px"), y.alias("py")))
-    edges = _edges(area)
-    solid = len(area.ring_xy) > 2
-    limit = area.buffer_m ** 2
-
-    def test(pt: Column) -> Column:
-        close = F.exists(edges, lambda e: gap2(e, pt["px"], pt["py"]) < limit)
-        return (F.forall(edges, lambda e: _left_of(e, pt["px"], pt["py"])) | close) if solid else close
-
-    return F.when(_near(area, la, lo), F.exists(point, test)).otherwise(F.lit(False))
-
-
-MAX_PLAIN_EDGES = 48
+    return F.when(_near(area, la, lo), F.exists(point, lambda pt: _inside(area, pt["px"], pt["py"]))).otherwise(F.lit(False))
 
 
 def add_inside(df: DataFrame, area: StudyArea, lat: str, lon: str, name: str, p: Params = DEFAULT) -> DataFrame:
-    """Column ``name`` with the test of ``within_area``, as plain arithmetic on once-projected metres.
-
-    The edges become literals in generated code; rings with very many vertices use the array form.
-    """
-    if len(area.ring_xy) > MAX_PLAIN_EDGES:
-        return df.withColumn(name, within_area(area, lat, lon, p))
+    """Column ``name`` with the test of ``within_area``, as plain arithmetic on once-projected metres."""
     x, y = project_xy(lat, lon, p)
-    px, py = F.col("_px"), F.col("_py")
-    solid, close = F.lit(len(area.ring_xy) > 2), F.lit(False)
-    for (x1, y1), (x2, y2) in zip(area.ring_xy, area.ring_xy[1:] + area.ring_xy[:1]):
-        solid = solid & _left_of({"x1": x1, "y1": y1, "x2": x2, "y2": y2}, px, py)
-        # distance to the segment: across it where the foot lies on it, else to its first end (the other end
-        # is the first end of the next edge)
-        ux, uy = x2 - x1, y2 - y1
-        length = math.hypot(ux, uy)
-        close = close | (F.hypot(px - x1, py - y1) < area.buffer_m)
-        if length > 0:
-            along = (px - x1) * (ux / length) + (py - y1) * (uy / length)
-            across = (px - x1) * (uy / length) - (py - y1) * (ux / length)
-            close = close | ((F.abs(across) < area.buffer_m) & along.between(0.0, length))
-    inside = F.when(_near(area, F.col(lat), F.col(lon)), solid | close).otherwise(F.lit(False))
+    inside = F.when(_near(area, F.col(lat), F.col(lon)), _inside(area, F.col("_px"), F.col("_py"))).otherwise(F.lit(False))
     return df.select("*", x.alias("_px"), y.alias("_py")).withColumn(name, inside).drop("_px", "_py")
 
 

@@ -5,46 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapgrid.functions.ordering import running, union_all
+from gapgrid.functions.ordering import quantiles, running, union_all
 from gapgrid.functions.projection import project_xy
 from gapgrid.params import DEFAULT, Params
 from gapgrid.session import materialize
 
 
-MAX_SHAPE = 1_000_000  # vertices of one polyline that a single window may hold
+SLICE = 4096  # vertices of a polyline that are summed together
 
 
-def by_shape():
-    return Window.partitionBy("shape_id").orderBy("seq")
-
-
-def largest_shape(shapes: DataFrame) -> int:
-    n = shapes.groupBy("shape_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return n or 0
-
-
-def segments(shapes: DataFrame, p: Params = DEFAULT, max_shape: int = MAX_SHAPE) -> DataFrame:
+def segments(shapes: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Segments of each shape in metres with the arc length before and after (shape_id, seq, lat, lon).
 
-    Polylines of usual size use one window per shape. If the largest is beyond ``max_shape``, the vertices are
-    numbered over the whole table instead, neighbours meet by position, and lengths come from range sums.
+    Vertices are numbered over the whole table, neighbours meet by position, and lengths are summed per shape
+    in slices of positions and then over the slices, so a polyline of any size is never whole in one task.
     """
     x, y = project_xy("lat", "lon", p)
     xy = shapes.select("shape_id", "seq", x.alias("x"), y.alias("y"))
-    length = F.coalesce(F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0")), F.lit(0.0))
-    if largest_shape(shapes) <= max_shape:
-        seg = xy.select("shape_id", "seq", F.lag("x").over(by_shape()).alias("x0"), F.lag("y").over(by_shape()).alias("y0"), "x", "y")
-        seg = seg.withColumn("len", length)
-        upto = F.sum("len").over(by_shape().rowsBetween(Window.unboundedPreceding, 0))
-        seg = seg.withColumn("upto", upto)
-        return seg.withColumn("before", F.coalesce(F.lag("upto").over(by_shape()), F.lit(0.0)))
     placed = materialize(running(xy, ["shape_id", "seq"], row_number="pos"), "vertices")
     prev = placed.select((F.col("pos") + 1).alias("pos"), "shape_id", F.col("x").alias("x0"), F.col("y").alias("y0"))
-    seg = materialize(placed.join(prev, ["pos", "shape_id"], "left").withColumn("len", length), "segments")
-    cum = running(seg, ["shape_id", "seq"], sums={"_all": "len"})
-    start = cum.groupBy("shape_id").agg(F.min(F.col("_all") - F.col("len")).alias("_start"))
-    out = cum.join(start, "shape_id").withColumn("upto", F.col("_all") - F.col("_start"))
-    return out.select("shape_id", "seq", "x0", "y0", "x", "y", "len", "upto", (F.col("upto") - F.col("len")).alias("before"))
+    length = F.coalesce(F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0")), F.lit(0.0))
+    seg = placed.join(prev, ["pos", "shape_id"], "left").withColumn("len", length).withColumn("slice", F.floor(F.col("pos") / SLICE))
+    w = Window.partitionBy("shape_id", "slice").orderBy("seq")
+    seg = seg.withColumn("in_slice", F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    seg = materialize(seg.withColumn("earlier", F.coalesce(F.lag("in_slice").over(w), F.lit(0.0))), "segments")
+    # a slice's total is its last running sum, so that a vertex starts exactly where the one before it ends
+    prior = Window.partitionBy("shape_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = seg.groupBy("shape_id", "slice").agg(F.max("in_slice").alias("t")).select(
+        "shape_id", "slice", F.coalesce(F.sum("t").over(prior), F.lit(0.0)).alias("base"))
+    return seg.join(base, ["shape_id", "slice"]).select(
+        "shape_id", "seq", "x0", "y0", "x", "y", "len", (F.col("base") + F.col("in_slice")).alias("upto"), (F.col("base") + F.col("earlier")).alias("before"))
 
 
 def running_length(shapes: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -62,20 +52,16 @@ def polyline_rings(shapes: DataFrame) -> DataFrame:
                                           .alias("points"))
 
 
-def densify_polyline(shapes: DataFrame, step_m: float, p: Params = DEFAULT, max_shape: int = MAX_SHAPE) -> DataFrame:
+def densify_polyline(shapes: DataFrame, step_m: float, p: Params = DEFAULT) -> DataFrame:
     """Points at equal arc length, ``n = max(2, int(L / step))`` per shape, both ends kept.
 
     Each segment generates the sample numbers that fall into it, so points and segments are never joined.
     A sample on a vertex belongs to the segment that ends there; shapes of one point give nothing.
     """
-    seg = segments(shapes, p, max_shape)
-    facts = {"total": F.max("upto"), "pts": F.count(F.lit(1)), "last": F.max("seq"),
-             "first": F.min(F.when(F.col("x0").isNotNull(), F.col("seq")))}
-    if largest_shape(shapes) <= max_shape:
-        whole = Window.partitionBy("shape_id")  # same partitioning as the segments: no further shuffle
-        seg = seg.select("*", *[c.over(whole).alias(n) for n, c in facts.items()])
-    else:
-        seg = seg.join(seg.groupBy("shape_id").agg(*[c.alias(n) for n, c in facts.items()]), "shape_id")
+    seg = materialize(segments(shapes, p), "arc-lengths")
+    facts = seg.groupBy("shape_id").agg(F.max("upto").alias("total"), F.count(F.lit(1)).alias("pts"), F.max("seq").alias("last"),
+                                        F.min(F.when(F.col("x0").isNotNull(), F.col("seq"))).alias("first"))
+    seg = seg.join(facts, "shape_id")
     seg = seg.where((F.col("pts") > 1) & F.col("x0").isNotNull())
     n = F.greatest(F.lit(2), F.floor(F.col("total") / step_m)).cast("int")
     gap = F.col("total") / (n - 1)
@@ -169,19 +155,21 @@ def network_points(shapes: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return densify_polyline(shapes, p.network_step_m, p).select("x", "y").distinct()
 
 
-def network_distance(df: DataFrame, shapes: DataFrame, key: str, lat: str = "lat", lon: str = "lon",
-                     p: Params = DEFAULT) -> DataFrame:
-    x, y = project_xy(lat, lon, p)
-    return nearest_distance(df.select(key, x.alias("x"), y.alias("y")), network_points(shapes, p), key)
-
-
 def share_near_network(origins: DataFrame, targets: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Share of origins (lat, lon, n) within the coverage distance; equal origins are looked up once."""
+    """Share of origins (lat, lon, n) within the coverage distance; equal origins are looked up once.
+
+    Origins look into the nine boxes of the coverage distance around them: one equality join, which stops at the first hit.
+    """
+    side = p.coverage_m
     x, y = project_xy("lat", "lon", p)
-    uniq = materialize(origins.groupBy("lat", "lon").agg(F.sum("n").alias("n")).withColumn("point", F.struct("lat", "lon")), "origins")
-    d = nearest_distance(uniq.select("point", x.alias("x"), y.alias("y")), targets, "point")
-    return uniq.join(d, "point").agg(
-        (F.sum(F.when(F.col("distance") <= p.coverage_m, F.col("n")).otherwise(0)) / F.sum("n") * 100).alias("pct_near"))
+    box = lambda c: F.floor(F.col(c) / side).cast("bigint")
+    uniq = materialize(origins.groupBy("lat", "lon").agg(F.sum("n").alias("n")).select("lat", "lon", "n", x.alias("x"), y.alias("y")), "origins")
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    seek = uniq.select("lat", "lon", "x", "y", F.explode(around).alias("o")).withColumn("bx", box("x") + F.col("o.a")).withColumn("by", box("y") + F.col("o.b"))
+    t = targets.select(F.col("x").alias("tx"), F.col("y").alias("ty"), box("x").alias("bx2"), box("y").alias("by2"))
+    hit = seek.join(t, (F.col("bx") == F.col("bx2")) & (F.col("by") == F.col("by2")) & (F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty")) <= side), "left_semi")
+    near = uniq.join(hit.select("lat", "lon").distinct(), ["lat", "lon"], "left_semi").agg(F.sum("n").alias("n")).scalar()
+    return uniq.agg((F.coalesce(near, F.lit(0)) / F.sum("n") * 100).alias("pct_near"))
 
 
 def feed_summary(tables: dict[str, DataFrame], p: Params = DEFAULT) -> DataFrame:
@@ -189,11 +177,13 @@ def feed_summary(tables: dict[str, DataFrame], p: Params = DEFAULT) -> DataFrame
     parts = [df.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(f"rows_{name}").alias("measure"), "value")
              for name, df in sorted(tables.items())]
     km = polyline_length_km(tables["shapes"], p)
-    one = km.agg(F.count(F.lit(1)).cast("double").alias("shapes"), F.round(F.median("length_km"), 2).alias("shape_median_km"),
-                 F.round(F.sum("length_km"), 1).alias("shapes_total_km"))
+    km = materialize(km, "lengths")
+    median = quantiles(km, "length_km", {"m": 0.5}).scalar()
+    one = km.agg(F.count(F.lit(1)).cast("double").alias("shapes"), F.round(F.sum("length_km"), 1).alias("shapes_total_km")).select(
+        "shapes", F.round(median, 2).alias("shape_median_km"), "shapes_total_km")
     parts.append(one.unpivot([], ["shapes", "shape_median_km", "shapes_total_km"], "measure", "value"))
     if "frequencies" in tables:
         head = F.col("headway_secs").cast("double") / 60
-        parts.append(tables["frequencies"].agg(F.round(F.median(head), 1).alias("value"))
-                     .select(F.lit("headway_median_min").alias("measure"), "value"))
+        parts.append(quantiles(tables["frequencies"].select(head.alias("h")), "h", {"m": 0.5})
+                     .select(F.lit("headway_median_min").alias("measure"), F.round("m", 1).alias("value")))
     return union_all(parts)

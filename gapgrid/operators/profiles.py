@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapgrid.functions import scalars as S
-from gapgrid.functions.ordering import seeded_hash, union_all
+from gapgrid.functions.ordering import hash_rank, quantiles, union_all
 from gapgrid.operators.cleaning import data_columns
 from gapgrid.params import DEFAULT, Params
 
@@ -110,18 +110,23 @@ def coordinate_problems(trips: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, n: int, seed, key: str) -> DataFrame:
-    """``n`` rows in the seeded order of a unique key; each task keeps at most ``n``."""
-    return df.withColumn("_h", seeded_hash(key, seed)).orderBy("_h", key).limit(n).drop("_h")
+    """``n`` rows in the seeded order of a unique key: those ranked first, whatever ``n`` is."""
+    return hash_rank(df, key, seed, "_rank").where(F.col("_rank") <= n).drop("_rank")
 
 
-def distance_unit_check(trips: DataFrame, n: int, seed, key: str = "event_id", dist: str = "dist_m") -> DataFrame:
-    """Unit of the distance column: the one with the smaller median relative error against the great circle."""
+def distance_unit_check(trips: DataFrame, n: int | None = None, seed=None, key: str = "event_id", dist: str = "dist_m") -> DataFrame:
+    """Unit of the distance column: the one with the smaller median relative error against the great circle.
+
+    Every row counts; ``n`` takes a seeded sample instead.
+    """
     ok = trips.where(F.col(dist).isNotNull() & (F.col("lat_orig") != 0) & (F.col("lat_dest") != 0))
-    geo = seeded_sample(ok, n, seed, key).withColumn(
-        "geo", S.haversine_m("lat_orig", "lon_orig", "lat_dest", "lon_dest")).where("geo > 0")
-    err_m = F.median(F.abs(F.col(dist) - F.col("geo")) / F.col("geo")) * 100
-    err_km = F.median(F.abs(F.col(dist) - F.col("geo") / 1000) / (F.col("geo") / 1000)) * 100
-    return geo.agg(err_m.alias("m"), err_km.alias("km")).select(
+    ok = ok if n is None else seeded_sample(ok, n, seed, key)
+    geo = ok.select(dist, S.haversine_m("lat_orig", "lon_orig", "lat_dest", "lon_dest").alias("geo")).where("geo > 0")
+    errors = geo.select(F.inline(F.array(
+        F.struct(F.lit("m").alias("unit"), (F.abs(F.col(dist) - F.col("geo")) / F.col("geo") * 100).alias("error")),
+        F.struct(F.lit("km").alias("unit"), (F.abs(F.col(dist) - F.col("geo") / 1000) / (F.col("geo") / 1000) * 100).alias("error")))))
+    q = quantiles(errors, "error", {"median": 0.5}, ["unit"])
+    return q.agg(F.max(F.when(F.col("unit") == "m", F.col("median"))).alias("m"), F.max(F.when(F.col("unit") == "km", F.col("median"))).alias("km")).select(
         F.when(F.col("m") < F.col("km"), "metres").otherwise("km").alias("unit"),
         F.round(F.least("m", "km"), 3).alias("median_error_pct"))
 
@@ -129,11 +134,12 @@ def distance_unit_check(trips: DataFrame, n: int, seed, key: str = "event_id", d
 def value_percentiles(df: DataFrame, value: str, points: list[float], names: list[str], above: float | None = None
                       ) -> DataFrame:
     """Exact linear percentiles from value frequencies, and the share above a limit."""
-    freq = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    cols = [F.percentile("v", q, F.col("n")).alias(nm) for q, nm in zip(points, names)]
+    out = quantiles(df, value, dict(zip(names, points)))
     if above is not None:
-        cols.append((F.sum(F.when(F.col("v") > above, F.col("n")).otherwise(0)) / F.sum("n") * 100).alias("pct_above"))
-    return freq.agg(*cols)
+        v = F.col(value)
+        share = df.agg((F.count_if(v > above) / F.count(v) * 100).alias("p")).scalar()
+        out = out.withColumn("pct_above", share)
+    return out
 
 
 def distance_percentiles(trips: DataFrame, p: Params = DEFAULT) -> DataFrame:

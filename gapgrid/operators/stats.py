@@ -187,12 +187,16 @@ def moran_permutations(df: DataFrame, value: str, k_max: int, perms: int, seed)
     z = materialize(running(_centred(df, value), ["cell"], row_number="idx"), "zi")
     draws = z.select("cell").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
     order = hash_rank(draws, "cell", F.concat_ws("-", F.lit(str(seed)), F.col("perm").cast("string")), "idx", ["perm"])
-    shuffled = materialize(order.join(z.select("idx", "z"), "idx").select("perm", "cell", "z"), "perm")
+    # a cell carries its values under all shuffles as one array: neighbour joins have no row per shuffle
+    values = F.transform(F.array_sort(F.collect_list(F.struct("perm", "z"))), lambda v: v["z"])
+    shuffled = materialize(order.join(z.select("idx", "z"), "idx").groupBy("cell").agg(values.alias("zs")), "perm")
     w = materialize(_ring_weights(z, k_max), "w")
-    lag = (w.join(shuffled.toDF("perm", "dst", "zj"), "dst").groupBy("src", "ring", "perm")
-           .agg(F.sum(F.col("w") * F.col("zj")).alias("lag")))
-    num = lag.join(shuffled.toDF("perm", "src", "z"), ["src", "perm"]).groupBy("ring", "perm").agg(
-        F.sum(F.col("z") * F.col("lag")).alias("num"), F.count(F.lit(1)).alias("s0"))
+    zero = F.array_repeat(F.lit(0.0), perms)
+    total = F.aggregate(F.collect_list("zj"), zero, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))  # a ring has few cells
+    lag = w.join(shuffled.toDF("dst", "zj"), "dst").groupBy("src", "ring").agg(total.alias("sums"), F.first("w").alias("w"))
+    each = F.posexplode(F.zip_with("sums", "zs", lambda a, b: a * b))
+    num = (lag.join(shuffled.toDF("src", "zs"), "src").select("ring", "w", each).groupBy("ring", (F.col("pos") + 1).alias("perm"))
+           .agg(F.sum(F.col("w") * F.col("col")).alias("num"), F.count(F.lit(1)).alias("s0")))
     tot = z.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("z") * F.col("z")).alias("ss"))
     return num.select("ring", "perm", (tot.select("n").scalar() / F.col("s0") * F.col("num") / tot.select("ss").scalar())
                       .alias("moran_i"))
@@ -208,7 +212,7 @@ def moran_correlogram(df: DataFrame, value: str, k_max: int, perms: int, seed) -
     obs = moran_rings(df, value, k_max)
     sim = moran_permutations(df, value, k_max, perms, seed).withColumnRenamed("moran_i", "sim")
     larger = sim.join(F.broadcast(obs), "ring").groupBy("ring").agg(  # one row per ring
-        F.count_if(F.col("sim") >= F.col("moran_i")).alias("larger"))
+        F.count_if(F.round("sim", 9) >= F.round("moran_i", 9)).alias("larger"))
     return obs.join(larger, "ring").select(F.col("ring").alias("k"), F.round(F.col("ring") * 0.92, 2).alias("approx_km"),
                                            F.round("moran_i", 4).alias("moran_i"),
                                            F.round(folded_p(F.col("larger"), perms), 4).alias("p_value"))
@@ -241,7 +245,7 @@ def local_moran(df: DataFrame, value: str) -> DataFrame:
 
 
 def _distinct_draws(n: Column, count: Column, h) -> Column:
-    """``count`` different numbers in [0, n) from hashes ``h(i)``: each draw skips the earlier ones in order."""
+    """``count`` different numbers in [0, n) from whole numbers ``h(i)``: each draw skips the earlier ones in order."""
     def add(done: Column, i: Column) -> Column:
         first = F.pmod(h(i), n - i)
         lifted = F.aggregate(F.array_sort(done), first, lambda acc, e: acc + (acc >= e).cast("bigint"))
@@ -261,13 +265,19 @@ def lisa_clusters(df: DataFrame, value: str, perms: int, seed, alpha: float = 0.
     inner = materialize(running(base.where(F.col("degree").isNotNull()).select("cell", "degree", "z", "lag"), ["cell"],
                                 row_number="idx"), "lisa-idx")
     others = inner.agg((F.count(F.lit(1)) - 1).alias("n")).scalar()
+
+    def digits(i: Column) -> Column:
+        """Twelve md5 digits as a number: a draw that any engine can reproduce."""
+        return F.conv(F.substring(F.md5(F.concat_ws("|", "cell", "perm", i, F.lit(str(seed)))), 1, 12), 16, 10).cast("bigint")
+
     draws = inner.withColumn("others", others).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms)))).withColumn(
-        "pick", _distinct_draws(F.col("others"), F.col("degree"), lambda i: F.xxhash64("cell", "perm", i, F.lit(seed))))
+        "pick", _distinct_draws(F.col("others"), F.col("degree"), digits))
     pos = draws.select("cell", "perm", "z", "lag", "degree", F.col("idx").alias("own"), F.explode("pick").alias("d"))
     pos = pos.withColumn("idx", F.col("d") + 1 + (F.col("d") + 1 >= F.col("own")).cast("bigint"))
     sim = (pos.join(inner.select("idx", F.col("z").alias("zj")), "idx").groupBy("cell", "perm")
            .agg((F.first("z") * F.sum("zj") / F.first("degree")).alias("sim"), (F.first("z") * F.first("lag")).alias("obs")))
-    p = sim.groupBy("cell").agg(folded_p(F.count_if(F.col("sim") >= F.col("obs")), perms).alias("p_value"))
+    # nine digits: sums of equal values in another order are equal
+    p = sim.groupBy("cell").agg(folded_p(F.count_if(F.round("sim", 9) >= F.round("obs", 9)), perms).alias("p_value"))
     sig = F.when(F.col("degree").isNull(), NO_NEIGHBOURS).when(F.col("p_value") < alpha, F.col("quadrant")).otherwise(NOT_SIGNIFICANT)
     return base.join(p, "cell", "left").select("cell", "quadrant", "p_value", sig.alias("cluster"))
 

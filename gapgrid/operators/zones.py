@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from gapgrid.functions import grid
 from gapgrid.functions import scalars as S
-from gapgrid.functions.ordering import hash_rank
+from gapgrid.functions.ordering import hash_rank, quantiles
 from gapgrid.operators.geometry import StudyArea, within_area
-from gapgrid.operators.network import network_distance
+from gapgrid.functions.projection import project_xy
+from gapgrid.operators.network import nearest_distance
 from gapgrid.params import DEFAULT, UNKNOWN_LABEL, Params
+from gapgrid.session import materialize
 
+# Columns of the modelling table.
 MODEL_COLUMNS = ["cell", "query_count", "user_count", "query_count_before_gap", "query_count_after_gap", "population",
                  "pop_ring1", "pop_ring2", "dist_centre_km", "dist_network_m", "covered", "municipality",
                  "distance_ring", "block_id", "in_model", "in_test", "lat", "lon"]
@@ -87,9 +90,10 @@ def zone_features(zones: DataFrame, population: DataFrame, p: Params = DEFAULT)
             .withColumn("block_id", grid.cell_parent("cell", p)))
 
 
-def network_contrast(zones: DataFrame, shapes: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Distance to the mapped network and coverage flag: for reading the gap, never predictors."""
-    d = network_distance(zones, shapes, "cell", p=p)
+def network_contrast(zones: DataFrame, network: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Distance to the mapped network (its sampled points) and coverage flag: for reading the gap, never predictors."""
+    x, y = project_xy("lat", "lon", p)
+    d = nearest_distance(zones.select("cell", x.alias("x"), y.alias("y")), network, "cell")
     return (zones.join(d, "cell").withColumn("covered", S.coverage_flag("distance", p.coverage_m))
             .withColumn("dist_network_m", F.round("distance", 1)).drop("distance"))
 
@@ -97,8 +101,12 @@ def network_contrast(zones: DataFrame, shapes: DataFrame, p: Params = DEFAULT) -
 # ---- labels ----------------------------------------------------------------
 
 def modal_label(clean: DataFrame, label: str = "muni") -> DataFrame:
-    """Most frequent label of each zone's queries with its count and the total; ties alphabetical, null first."""
+    """Most frequent label of each zone's queries with its count and the total; ties alphabetical, null first.
+
+    Labels that were decoded wrongly are repaired before they are counted.
+    """
     counts = clean.groupBy("cell", label).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.groupBy("cell", S.repair_mojibake(F.col(label).cast("string")).alias(label)).agg(F.sum("n").alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("neg"), F.col(label).alias("label")))
     return counts.groupBy("cell").agg(best.alias("m"), F.sum("n").alias("total")).select(
         "cell", F.col("m.label").alias("label"), (-F.col("m.neg")).alias("modal_queries"), F.col("total").alias("total_queries"))
@@ -118,9 +126,9 @@ def nearest_label(cells: DataFrame, labelled: DataFrame, k_max: int) -> DataFram
     for hi in sorted({min(h, k_max) for h in (1, 4, 12, k_max)}):
         votes = grid.neighbour_join(todo, known, hi, lo).groupBy("src", "ring", "label").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy("src").agg(F.min(F.struct("ring", (-F.col("n")).alias("neg"), "label")).alias("m"))
-        found = best.select(F.col("src").alias("cell"), F.col("m.label").alias("label"))
+        found = materialize(best.select(F.col("src").alias("cell"), F.col("m.label").alias("label")), "labelled")
         parts.append(found)
-        todo, lo = todo.join(found, "cell", "left_anti"), hi + 1
+        todo, lo = materialize(todo.join(found, "cell", "left_anti"), "unlabelled"), hi + 1
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -233,10 +241,10 @@ def population_class_counts(zones: DataFrame, p: Params = DEFAULT) -> DataFrame:
 def describe_zones(zones: DataFrame, variables: list[str]) -> DataFrame:
     """n, mean, sample std, min, quartiles and max of each variable, one row per variable."""
     long = zones.select([F.col(v).cast("double").alias(v) for v in variables]).unpivot([], variables, "variable", "x")
-    return long.where(F.col("x").isNotNull()).groupBy("variable", "x").agg(F.count(F.lit(1)).alias("f")).groupBy("variable").agg(
-        F.sum("f").alias("n"), (F.sum(F.col("x") * F.col("f")) / F.sum("f")).alias("mean"), _std_from_freq(),
-        F.min("x").alias("min"), *[F.percentile("x", q, F.col("f")).alias(nm) for q, nm in ((.25, "p25"), (.5, "median"), (.75, "p75"))],
-        F.max("x").alias("max"))
+    facts = long.where(F.col("x").isNotNull()).groupBy("variable", "x").agg(F.count(F.lit(1)).alias("f")).groupBy("variable").agg(
+        F.sum("f").alias("n"), (F.sum(F.col("x") * F.col("f")) / F.sum("f")).alias("mean"), _std_from_freq(), F.min("x").alias("min"), F.max("x").alias("max"))
+    q = quantiles(long, "x", {"p25": .25, "median": .5, "p75": .75}, ["variable"])
+    return facts.join(q, "variable").select("variable", "n", "mean", "std", "min", "p25", "median", "p75", "max")
 
 
 def _std_from_freq() -> Column:

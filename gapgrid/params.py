@@ -19,6 +19,8 @@ LINEAGE = ("source_file", "source_batch", "source_encoding")
 PREDICTION_FLOOR = 1e-6
 
 
+# The box, thresholds and settings below.
+
 @dataclass(frozen=True)
 class BBox:
     lat_min: float = -23.0
@@ -64,7 +66,7 @@ class Params:
     correlogram_k: int = 5
     permutations: int = 499
     lisa_alpha: float = 0.05
-    unit_sample: int = 200_000
+    unit_sample: int | None = None  # every row
     test_fraction: float = 0.20
     n_rings: int = 4
     predictors: tuple[str, ...] = ("dist_centre_km", "pop_ring1")
@@ -76,6 +78,7 @@ class Params:
     neighbours_k_max: int = 10
     label_k_max: int = 30
     boosting_max_iter: int = 300
+    boosting_depth: int = 5  # levels of a tree where a setting names no limit
     boosting_reserve: float = 0.10
     boosting_grid: tuple = tuple(
         {"max_depth": d, "min_leaf": m, "learning_rate": r}

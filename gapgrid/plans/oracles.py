@@ -10,6 +10,7 @@ import re
 
 from gapgrid.functions.grid import HALF, STEP_Q, STEP_RES, metres_per_degree
 from gapgrid.functions.projection import ALPHA, BETA, DELTA, ECC, FALSE_EAST, FALSE_NORTH, RADIUS, SCALE
+from gapgrid.operators.zones import MODEL_COLUMNS
 from gapgrid.plans.views import FILE_A, FILE_B, FIXTURE_PARAMS as P
 
 KX, KY = metres_per_degree(P)
@@ -144,7 +145,8 @@ CTE["trips"] = f"""SELECT *, {BATCH} AS source_batch FROM (
     CASE WHEN event_id % 97 = 0 THEN 0E0 ELSE (-6615701 + hy*40 + jy*25) / 1E5 END AS lon_orig,
     (-1739358 + hx*40 + dx*60) / 1E5 AS lat_dest, (-6615701 + hy*40 + dy*60) / 1E5 AS lon_dest,
     CASE WHEN event_id % 101 = 0 THEN NULL WHEN event_id % 71 = 0 THEN 60000E0 ELSE value * 100 END AS dist_m,
-    CASE WHEN user_id % 7 = 0 THEN NULL ELSE CAST((user_id + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END) % 5 AS VARCHAR) END AS muni,
+    CASE WHEN user_id % 7 = 0 THEN NULL ELSE coalesce(nullif(CAST((user_id + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END) % 5 AS VARCHAR), '3'),
+      CASE WHEN event_id % 3 = 0 THEN 'Chimor\u00c3\u00a9' ELSE 'Chimor\u00e9' END) END AS muni,
     unnest(CASE WHEN event_id % 20 = 0 THEN ['{FILE_A}', '{FILE_B}'] ELSE ['{FILE_A}'] END) AS source_file
   FROM (SELECT *, (user_id*7919) % 401 - 200 AS hx, (user_id*6101) % 401 - 200 AS hy, (event_id*104729) % 41 - 20 AS jx,
     (event_id*7907) % 41 - 20 AS jy, (event_id*15485863) % 61 - 30 AS dx, (event_id*32452843) % 61 - 30 AS dy FROM events))"""
@@ -267,7 +269,7 @@ def nearest(src: str, key: str) -> str:
 
 CTE["znet"] = "SELECT k AS cell, distance FROM (" + nearest(projected("(SELECT cell, lat, lon FROM feat)", "lat", "lon"), "cell") + ")"
 CTE["modal"] = """SELECT cell, label, n AS modal_queries, total AS total_queries FROM (SELECT *, sum(n) OVER (PARTITION BY cell)::BIGINT AS total,
-    row_number() OVER (PARTITION BY cell ORDER BY n DESC, label ASC NULLS FIRST) AS rn FROM (SELECT cell, muni AS label, count(*) AS n FROM clean GROUP BY ALL)) WHERE rn = 1"""
+    row_number() OVER (PARTITION BY cell ORDER BY n DESC, label ASC NULLS FIRST) AS rn FROM (SELECT cell, replace(muni, '\u00c3\u00a9', '\u00e9') AS label, count(*) AS n FROM clean GROUP BY ALL)) WHERE rn = 1"""
 CTE["near_label"] = """SELECT cell, label FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY ring, n DESC, label) AS rn FROM (
     SELECT z.cell, ring, m.label, count(*) AS n FROM zones z JOIN offs ON ring >= 1 JOIN modal m ON m.cell = z.cell + d AND m.label IS NOT NULL
     WHERE z.cell NOT IN (SELECT cell FROM modal WHERE label IS NOT NULL) GROUP BY ALL)) WHERE rn = 1"""
@@ -384,10 +386,12 @@ sel("priority_zones", f"""SELECT cell, population, query_count, {rr('expected')}
     SELECT cell, population, coalesce(n, 0) AS query_count FROM population LEFT JOIN (SELECT cell, count(*) AS n FROM (
     {pointed(f"(SELECT lat_orig, lon_orig FROM trips WHERE {VALID})", 'lat_orig', 'lon_orig', 'cell')}) GROUP BY cell) USING (cell)))) ORDER BY gap_pearson, cell LIMIT {P.top_k}""")
 sel("read_trip_exports", """SELECT count(*) AS n, count(user_id) AS users, count(ts) AS times, count(dist_m) AS distances, round(sum(lat_orig), 4) AS sum_lat,
-    round(sum(dist_m), 2) AS sum_dist, date_trunc('second', min(ts)) AS first_ts, date_trunc('second', max(ts)) AS last_ts, CAST(sum(week(ts)) AS BIGINT) AS sum_week FROM trips""")
-sel("detect_encoding", "SELECT DISTINCT 'utf-8' AS encoding FROM trips")
+    round(sum(dist_m), 2) AS sum_dist, date_trunc('second', min(ts)) AS first_ts, date_trunc('second', max(ts)) AS last_ts, CAST(sum(week(ts)) AS BIGINT) AS sum_week,
+    count(*) FILTER (muni = 'Chimor\u00e9') AS named, count(*) FILTER (source_file = '%s') AS notes FROM trips""" % FILE_B)
+sel("detect_encoding", f"SELECT DISTINCT CASE WHEN source_file = '{FILE_B}' THEN 'latin-1' ELSE 'utf-8' END AS encoding FROM trips")
 sel("batch_of_file", f"SELECT source_file, {BATCH} AS batch, count(*) AS n FROM trips GROUP BY ALL")
-sel("file_registry", "SELECT source_file, source_batch, 'utf-8' AS source_encoding, count(*) AS rows FROM trips GROUP BY ALL")
+sel("file_registry", f"""SELECT CASE WHEN source_file = '{FILE_B}' THEN 'latin-1' ELSE 'utf-8' END AS source_encoding, CASE WHEN source_file = '{FILE_B}' THEN 10 ELSE 9 END AS columns, count(*) AS rows
+    FROM trips GROUP BY ALL UNION ALL SELECT 'utf-8', 2, 0""")
 _cols = [c.strip() for c in DATA.split(",")]
 sel("schema_groups", "SELECT file, dense_rank() OVER (ORDER BY first) - 1 AS schema_id FROM (SELECT file, cols, min(file) OVER (PARTITION BY cols) AS first FROM (SELECT source_file AS file, "
     + " || ".join(f"CASE WHEN count({c}) > 0 THEN '{c},' ELSE '' END" for c in sorted(_cols)) + " AS cols FROM trips GROUP BY source_file))")
@@ -400,7 +404,7 @@ sel("write_report_csv", "SELECT cell::VARCHAR AS cell, observed::VARCHAR AS obse
 _counters = f"""(SELECT count(*) AS zones, count(*) FILTER (query_count > 0) AS with_queries, count(*) FILTER (population > 0 AND query_count = 0) AS populated_without_queries,
     count(*) FILTER (population >= {P.pop_min}) AS above_minimum, CAST(sum(population) AS BIGINT) AS population FROM zones)"""
 _names = ["above_minimum", "populated_without_queries", "population", "with_queries", "zones"]
-sel("write_metrics", "SELECT '{' || " + " || ',' || ".join(f"'\"{n}\":\"' || {n} || '\"'" for n in _names) + " || '}' AS value FROM " + _counters)
+sel("write_metrics", "SELECT '{' || " + " || ',' || ".join(f"'\"{n}\":' || {n}" for n in _names) + " || '}' AS value FROM " + _counters)
 sel("read_metrics", " UNION ALL ".join(f"SELECT '{n}' AS metric, {n}::VARCHAR AS value FROM {_counters}" for n in _names))
 
 
@@ -552,8 +556,7 @@ sel("duplicate_profile", " UNION ALL ".join(
     f"SELECT '{n}' AS definition, '{c}' AS columns, CAST(sum(n - 1) AS BIGINT) AS surplus, round(sum(n - 1) / sum(n) * 100, 4) AS pct FROM (SELECT count(*) AS n FROM trips GROUP BY {c})"
     for n, c in (("exact", DATA), ("od_ts", _od + ", ts"), ("user_ts", "user_id, ts"), ("od_ts_user", _od + ", ts, user_id"))))
 sel("distance_unit_check", f"""SELECT CASE WHEN m < km THEN 'metres' ELSE 'km' END AS unit, round(least(m, km), 3) AS median_error_pct FROM (SELECT median(abs(dist_m - g) / g) * 100 AS m, median(abs(dist_m - g / 1000) / (g / 1000)) * 100 AS km
-    FROM (SELECT dist_m, {haversine('lat_orig', 'lon_orig', 'lat_dest', 'lon_dest', 6371000)} AS g FROM (SELECT * FROM trips WHERE source_file = '{FILE_A}' AND dist_m IS NOT NULL AND lat_orig <> 0 AND lat_dest <> 0
-    ORDER BY md5(event_id::VARCHAR || '|{P.seed}'), event_id LIMIT {P.unit_sample})) WHERE g > 0)""")
+    FROM (SELECT dist_m, {haversine('lat_orig', 'lon_orig', 'lat_dest', 'lon_dest', 6371000)} AS g FROM trips WHERE dist_m IS NOT NULL AND lat_orig <> 0 AND lat_dest <> 0) WHERE g > 0)""")
 
 
 def gini(src: str) -> str:
@@ -649,9 +652,9 @@ _y = "(SELECT cell, ln(1 + query_count / population * 1000) AS y FROM model)"
 _z = f"(SELECT cell, y - avg(y) OVER () AS z, row_number() OVER (ORDER BY cell) AS idx FROM {_y})"
 _w = "(SELECT a.cell AS src, b.cell AS dst, ring, 1 / count(*) OVER (PARTITION BY a.cell, ring) AS w FROM model a JOIN offs ON ring BETWEEN 1 AND 5 JOIN model b ON b.cell = a.cell + d)"
 _obs = f"(SELECT ring, (SELECT count(*) FROM {_z}) / sum(w) * sum(w * a.z * b.z) / (SELECT sum(z * z) FROM {_z}) AS i FROM {_w} e JOIN {_z} a ON a.cell = src JOIN {_z} b ON b.cell = dst GROUP BY ring)"
-_perm = f"(SELECT perm, s.cell, v.z FROM (SELECT perm, cell, row_number() OVER (PARTITION BY perm ORDER BY md5(cell::VARCHAR || '|' || '{P.seed}-' || perm), cell) AS idx FROM {_z}, range(1, 20) g(perm)) s JOIN {_z} v USING (idx))"
+_perm = f"(SELECT perm, s.cell, v.z FROM (SELECT perm, cell, row_number() OVER (PARTITION BY perm ORDER BY md5(cell::VARCHAR || '|' || '{P.seed}-' || perm), cell) AS idx FROM {_z}, range(1, {P.permutations + 1}) g(perm)) s JOIN {_z} v USING (idx))"
 _simi = f"(SELECT ring, a.perm, (SELECT count(*) FROM {_z}) / sum(w) * sum(w * a.z * b.z) / (SELECT sum(z * z) FROM {_z}) AS sim FROM {_w} e JOIN {_perm} a ON a.cell = src JOIN {_perm} b ON b.cell = dst AND b.perm = a.perm GROUP BY ring, a.perm)"
-_corr = f"(SELECT CAST(ring AS INT) AS k, round(CAST(ring * 0.92 AS DOUBLE), 2) AS approx_km, round(any_value(i), 4) AS moran_i, round((least(count(*) FILTER (sim >= i), 19 - count(*) FILTER (sim >= i)) + 1) / 20, 4) AS p_value FROM {_obs} JOIN {_simi} USING (ring) GROUP BY ring)"
+_corr = f"(SELECT CAST(ring AS INT) AS k, round(CAST(ring * 0.92 AS DOUBLE), 2) AS approx_km, round(any_value(i), 4) AS moran_i, round((least(count(*) FILTER (round(sim, 9) >= round(i, 9)), {P.permutations} - count(*) FILTER (round(sim, 9) >= round(i, 9))) + 1) / {P.permutations + 1}, 4) AS p_value FROM {_obs} JOIN {_simi} USING (ring) GROUP BY ring)"
 sel("moran_i", f"SELECT CAST(ring AS INT) AS ring, round(i, 6) AS moran_i FROM {_obs} WHERE ring = 1")
 sel("moran_permutation_p", f"SELECT k, moran_i, p_value FROM {_corr} WHERE k = 1")
 sel("moran_correlogram", f"SELECT k, approx_km, moran_i, p_value FROM {_corr}")
@@ -659,6 +662,20 @@ _linked = "(SELECT y.* FROM " + _y + " y WHERE EXISTS (SELECT 1 FROM offs JOIN m
 _lz = f"(SELECT cell, y - avg(y) OVER () AS z, var_pop(y) OVER () AS s2, count(*) OVER () AS n FROM {_linked})"
 sel("local_moran", f"""SELECT m.cell, round(z * lag * (n - 1) / (n * s2), 6) AS local_i, CASE WHEN z IS NULL THEN 'sin vecinas' WHEN z > 0 AND lag > 0 THEN 'HH' WHEN lag > 0 THEN 'LH' WHEN z > 0 THEN 'HL' ELSE 'LL' END AS quadrant
     FROM model m LEFT JOIN (SELECT a.cell, any_value(a.z) AS z, any_value(a.n) AS n, any_value(a.s2) AS s2, avg(b.z) AS lag FROM {_lz} a JOIN offs ON ring = 1 JOIN {_lz} b ON b.cell = a.cell + d GROUP BY a.cell) q USING (cell)""")
+_li = (f"(SELECT a.cell, any_value(a.z) AS z, avg(b.z) AS lag, count(*) AS degree, any_value(a.n) - 1 AS others FROM {_lz} a JOIN offs ON ring = 1 JOIN {_lz} b ON b.cell = a.cell + d GROUP BY a.cell)")
+_pos = f"(SELECT *, row_number() OVER (ORDER BY cell) AS idx FROM {_li})"
+_draw = f"(SELECT cell, z, lag, degree, idx, others, perm, [CAST('0x' || substr(md5(cell::VARCHAR || '|' || perm || '|' || i || '|{P.seed}'), 1, 12) AS BIGINT) % (others - i) for i in range(degree)] AS h FROM {_pos}, range(1, {P.permutations + 1}) g(perm))"
+_pick = _draw
+for _i in range(6):
+    # draw i goes past the earlier ones in order
+    _skip = f"list_reduce(list_prepend(h[{_i + 1}], list_sort(p)), lambda acc, e: acc + CASE WHEN acc >= e THEN 1 ELSE 0 END)"
+    _pick = f"(SELECT * EXCLUDE (p), CASE WHEN degree > {_i} THEN list_append(p, {_skip}) ELSE p END AS p FROM {_pick if _i else '(SELECT *, CAST([] AS BIGINT[]) AS p FROM ' + _draw + ')'})"
+_sim = (f"(SELECT q.cell, perm, round(any_value(q.z) * sum(v.z) / any_value(q.degree), 9) >= round(any_value(q.z) * any_value(q.lag), 9) AS larger FROM "
+        f"(SELECT *, unnest(p) AS d FROM {_pick}) q JOIN {_pos} v ON v.idx = q.d + 1 + CASE WHEN q.d + 1 >= q.idx THEN 1 ELSE 0 END GROUP BY q.cell, perm)")
+sel("lisa_clusters", f"""SELECT m.cell, quadrant, round(p, 6) AS p_value, CASE WHEN p IS NULL THEN 'sin vecinas' WHEN p < {P.lisa_alpha} THEN quadrant ELSE 'no significativo' END AS cluster
+    FROM model m LEFT JOIN (SELECT cell, CASE WHEN z > 0 AND lag > 0 THEN 'HH' WHEN lag > 0 THEN 'LH' WHEN z > 0 THEN 'HL' ELSE 'LL' END AS quadrant,
+      (least(count(*) FILTER (larger), {P.permutations} - count(*) FILTER (larger)) + 1) / {P.permutations + 1} AS p FROM {_pos} JOIN {_sim} USING (cell) GROUP BY cell, z, lag) USING (cell)""".replace(
+    "SELECT m.cell, quadrant,", "SELECT m.cell, coalesce(quadrant, 'sin vecinas') AS quadrant,"))
 sel("cliffs_delta", "SELECT round(avg(CASE WHEN a.gap_pearson > b.gap_pearson THEN 1.0 WHEN a.gap_pearson < b.gap_pearson THEN -1.0 ELSE 0 END), 6) AS delta FROM gapz a, gapz b WHERE a.covered = 0 AND b.covered = 1")
 
 _cc = f"(SELECT query_count, round({haversine(*CENTRE, 'lat', 'lon', 6371)}, 6) AS a, round({haversine('clat', 'clon', 'lat', 'lon', 6371)}, 6) AS b FROM model, centroid)"
@@ -692,9 +709,23 @@ sel("cv_summary", f"SELECT technique, {', '.join(rr(c) + ' AS ' + c for c in _cv
 sel("one_se_rule", f"""SELECT technique, round(mean, 6) AS mean, round(sd, 6) AS sd, folds, round(se, 6) AS se, mean <= thr AS within, round(thr, 6) AS threshold, technique = best AS is_best,
     technique = min(technique) FILTER (mean <= thr) OVER () AS is_chosen FROM (SELECT *, arg_min(technique, mean) OVER () AS best, min(mean) OVER () + {P.tolerance_se} * arg_min(se, mean) OVER () AS thr
     FROM (SELECT technique, avg(deviance) AS mean, stddev_samp(deviance) AS sd, count(*) AS folds, stddev_samp(deviance) / sqrt(count(*)) AS se FROM {_fm} GROUP BY technique))""")
-sel("pearson_dispersion", "SELECT round(sum(pow(observed - expected, 2) / expected) / (count(*) - 3), 6) AS dispersion FROM oof WHERE technique = 'B2'")
-sel("expected_zeros", " UNION ALL ".join(f"SELECT '{t}' AS technique, o AS observed_zeros, round({e}, 5) AS expected_zeros, round({e} / o, 5) AS ratio, b AS zones_below_half FROM (SELECT count(*) FILTER (observed = 0) AS o, sum(exp(-expected)) AS p, "
-    "sum(pow(1 + 0.5 * expected, -2)) AS nb, count(*) FILTER (expected < 0.5) AS b FROM oof WHERE technique = 'B2')" for t, e in (("B3", "CAST(NULL AS DOUBLE)"), ("M1", "p"), ("M2", "nb"))))
+_x = [f"ln(1 + {c})" if c.startswith("pop_") else f"CAST({c} AS DOUBLE)" for c in P.predictors]
+CTE["xy"] = f"SELECT cell, CAST(query_count AS DOUBLE) AS y, CAST(population AS DOUBLE) AS pop, {_x[0]} AS x1, {_x[1]} AS x2 FROM train"
+_det = "(a00 * (a11 * a22 - a12 * a12) - a01 * (a01 * a22 - a12 * a02) + a02 * (a01 * a12 - a11 * a02))"
+CTE["pois"] = f"""SELECT 0 AS it, ln(sum(y) / sum(pop)) AS b0, 0E0 AS b1, 0E0 AS b2 FROM xy
+  UNION ALL SELECT it + 1, (r0 * (a11 * a22 - a12 * a12) - a01 * (r1 * a22 - a12 * r2) + a02 * (r1 * a12 - a11 * r2)) / {_det},
+    (a00 * (r1 * a22 - a12 * r2) - r0 * (a01 * a22 - a12 * a02) + a02 * (a01 * r2 - r1 * a02)) / {_det},
+    (a00 * (a11 * r2 - r1 * a12) - a01 * (a01 * r2 - r1 * a02) + r0 * (a01 * a12 - a11 * a02)) / {_det}
+  FROM (SELECT max(it) AS it, sum(w) AS a00, sum(w * x1) AS a01, sum(w * x2) AS a02, sum(w * x1 * x1) AS a11, sum(w * x1 * x2) AS a12, sum(w * x2 * x2) AS a22,
+      sum(w * t) AS r0, sum(w * x1 * t) AS r1, sum(w * x2 * t) AS r2
+    FROM (SELECT *, lin + (y - w) / w AS t FROM (SELECT it, y, x1, x2, b0 + b1 * x1 + b2 * x2 AS lin, pop * exp(b0 + b1 * x1 + b2 * x2) AS w FROM pois, xy WHERE it < 40))) WHERE it IS NOT NULL"""
+CTE["mu1"] = "SELECT cell, y, pop * exp(b0 + b1 * x1 + b2 * x2) AS mu FROM xy, (SELECT * FROM pois WHERE it = 40)"
+_m1 = " UNION ALL ".join(f"SELECT 'M1' AS technique, -1 AS model, '{n}' AS parameter, b{k} AS value FROM pois WHERE it = 40" for k, n in enumerate(["const", *P.predictors]))
+sel("poisson_glm", f"SELECT technique, CAST(model AS INT) AS model, parameter, round(value, 6) AS value FROM ({_m1})")
+sel("pearson_dispersion", "SELECT round(sum(pow(y - mu, 2) / mu) / (count(*) - 3), 5) AS dispersion FROM mu1")
+sel("expected_zeros", """SELECT 'B3' AS technique, count(*) FILTER (observed = 0) AS observed_zeros, CAST(NULL AS DOUBLE) AS expected_zeros, CAST(NULL AS DOUBLE) AS ratio,
+    count(*) FILTER (expected < 0.5) AS zones_below_half FROM oof WHERE technique = 'B3'
+  UNION ALL SELECT 'M1', count(*) FILTER (y = 0), round(sum(exp(-mu)), 4), round(sum(exp(-mu)) / nullif(count(*) FILTER (y = 0), 0), 4), count(*) FILTER (mu < 0.5) FROM mu1""")
 sel("expected_by_zone", "SELECT cell, round(expected, 6) AS expected, partition FROM exp1")
 sel("holdout_leak_share", f"""SELECT round(avg(pct), 6) AS pct_leak FROM (SELECT draw, avg(CASE WHEN out THEN 100.0 ELSE 0 END) AS pct FROM (SELECT a.draw, a.cell, bool_or(m.cell IS NOT NULL AND b.cell IS NULL) AS out
     FROM res a JOIN offs ON ring = 1 LEFT JOIN train m ON m.cell = a.cell + d LEFT JOIN res b ON b.draw = a.draw AND b.cell = a.cell + d GROUP BY ALL) GROUP BY draw)""")
@@ -750,12 +781,15 @@ CTE["v_b3"] = f"SELECT * FROM {_b3gap}"
 CTE["v_global"] = "SELECT cell, gap_pearson_global AS gap_pearson FROM gapz"
 CTE["v_before"] = f"SELECT * FROM {variant(2, 'query_count_before_gap')}"
 CTE["v_larger"] = f"SELECT * FROM {variant(2, 'query_count', P.pop_min_sensitivity)}"
+CTE["best"] = f"SELECT arg_min(technique, mean) AS technique FROM (SELECT technique, avg(deviance) AS mean FROM {_fm} GROUP BY technique)"
+CTE["v_best"] = (f"SELECT cell, {gaps('query_count', 'expected')} FROM (" + " UNION ALL ".join(f"SELECT 'B{i}' AS technique, cell, expected FROM exp{i}" for i in range(4))
+                 + ") JOIN best USING (technique) JOIN model USING (cell)")
 ORDER = list(CTE)
 sel("compare_rankings", compare("gapz", "v_b3"))
 _unc = "(SELECT * FROM {} WHERE cell IN (SELECT cell FROM gapz WHERE covered = 0))"
 sel("sensitivity_table", " UNION ALL ".join(
     compare(u.format("gapz") if u else "gapz", u.format(t) if u else t, f"'{n}' AS variant, '{un}' AS universe, ")
-    for n, t in (("best_mean_technique", "v_b3"), ("global_rate", "v_global"), ("before_gap", "v_before"), ("larger_minimum_population", "v_larger"))
+    for n, t in (("best_mean_technique", "v_best"), ("global_rate", "v_global"), ("before_gap", "v_before"), ("larger_minimum_population", "v_larger"))
     for un, u in (("all", ""), ("uncovered", _unc))))
 sel("prioritise", f"SELECT cell, round(gap_pearson, 6) AS gap_pearson, action, pr AS priority_rank FROM acted LEFT JOIN (SELECT cell, row_number() OVER (ORDER BY gap_pearson, cell) AS pr FROM acted WHERE gap_pearson < 0 ORDER BY gap_pearson, cell LIMIT {P.top_k}) USING (cell)")
 sel("zone_predictions", "SELECT * FROM pred")
@@ -769,7 +803,7 @@ sel("edition_monitor", f"""SELECT 'ranking_agreement' AS "check", round(v, 6) AS
 
 sel("check_unique", check("zone", "SELECT count(*) FROM (SELECT cell FROM zones GROUP BY cell HAVING count(*) > 1)") + " UNION ALL "
     + check("event", "SELECT count(*) FROM (SELECT event_id FROM trips GROUP BY event_id HAVING count(*) > 1)"))
-sel("check_no_nulls", check("table", "SELECT count(*) FILTER (municipality IS NULL OR distance_ring IS NULL OR dist_network_m IS NULL) FROM tab") + " UNION ALL "
+sel("check_no_nulls", check("table", "SELECT " + " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in MODEL_COLUMNS) + " FROM tab") + " UNION ALL "
     + check("trips", "SELECT count(*) FILTER (user_id IS NULL) + count(*) FILTER (dist_m IS NULL) FROM trips"))
 sel("check_range", check("population", "SELECT count(*) FROM tab WHERE population < 0") + " UNION ALL " + check("purity", "SELECT count(*) FROM modal WHERE NOT (modal_queries / total_queries > 0 AND modal_queries / total_queries <= 1)")
     + " UNION ALL " + check("expected", "SELECT count(*) FROM gapz WHERE expected <= 0"))
@@ -778,6 +812,8 @@ sel("check_disjoint", check("blocks", "SELECT count(*) FROM (SELECT block_id FRO
     + check("users", "SELECT count(*) FROM (SELECT user_id FROM clean INTERSECT SELECT user_id FROM anomalous)"))
 sel("check_same_as_phase", check("same_metrics", "SELECT ((SELECT count(*) FROM zones) <> (SELECT count(*) FROM tab))::INT + ((SELECT sum(population) FROM zones) <> (SELECT sum(population) FROM tab))::INT"))
 sel("check_fold_integrity", check("fold_integrity", "SELECT (SELECT count(*) FROM (SELECT technique, cell FROM oof GROUP BY ALL HAVING count(*) > 1)) + (SELECT count(*) FROM (SELECT block_id FROM oof GROUP BY block_id HAVING count(DISTINCT fold) > 1))"))
+sel("check_no_leak", check("no_leak", f"SELECT count(*) FILTER (parameter NOT IN ('const', {', '.join(repr(c) for c in P.predictors)})) + {1 + len(P.predictors)} - count(*) FROM ({_m1})"))
+sel("check_roundtrip", check("roundtrip", "SELECT count(*) FROM (SELECT * FROM tab EXCEPT SELECT * FROM tab)"))
 sel("check_domain", check("action", "SELECT count(*) FROM pred WHERE action NOT IN ('mapear', 'revisar', 'sin_brecha')") + " UNION ALL " + check("technique", "SELECT count(*) FROM oof WHERE technique NOT LIKE 'B_'"))
 sel("check_ranking", check("ranking", "SELECT count(*) FROM prior WHERE priority_rank IS NULL AND action = 'mapear' AND gap_pearson < (SELECT max(gap_pearson) FROM prior WHERE priority_rank IS NOT NULL)"))
 

@@ -72,14 +72,17 @@ QUERIES["priority_zones"] = priority_zones
 # ---- sources and sinks -----------------------------------------------------
 
 def _export_files(st: Stages) -> str:
-    """The trips written back as CSV exports, one folder per source file, to be read by the export reader."""
-    path = scratch(st.trips, "exports")
+    """The trips written back as CSV exports: UTF-8 and Latin-1 files, two headers, and a file with a header only."""
+    path, spark = scratch(st.trips, "exports"), st.trips.sparkSession
     t = st.trips.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("date"), F.col("user_id").alias("userID"),
                         F.col("lat_orig").alias("origin_latitude"), F.col("lon_orig").alias("origin_longitude"),
                         F.col("lat_dest").alias("destination_latitude"), F.col("lon_dest").alias("destination_longitude"),
                         F.col("dist_m").alias("distancia"), "event_id", F.col("muni").alias("origin_municipio"), "source_file")
-    t.write.partitionBy("source_file").csv(path, header=True)
-    return f"{path}/*/*.csv"
+    t.where(F.col("source_file") == views.FILE_A).drop("source_file").write.csv(f"{path}/a", header=True)
+    b = t.where(F.col("source_file") == views.FILE_B).drop("source_file").withColumnRenamed("userID", "user_id").withColumn("nota", F.lit("é"))
+    b.write.csv(f"{path}/b", header=True, encoding="ISO-8859-1")
+    spark.createDataFrame([("date,userID",)], "value string").coalesce(1).write.text(f"{path}/c")
+    return f"{path}/*/part*"
 
 
 @query("read_trip_exports")
@@ -88,7 +91,7 @@ def _(st):
     return trips.agg(F.count(F.lit(1)).alias("n"), F.count("user_id").alias("users"), F.count("ts").alias("times"),
                      F.count("dist_m").alias("distances"), F.round(F.sum("lat_orig"), 4).alias("sum_lat"),
                      F.round(F.sum("dist_m"), 2).alias("sum_dist"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-                     F.sum("week").alias("sum_week"))
+                     F.sum("week").alias("sum_week"), F.count_if(F.col("muni") == views.NAME).alias("named"), F.count("nota").alias("notes"))
 
 
 @query("detect_encoding")
@@ -104,7 +107,9 @@ def _(st):
 
 @query("file_registry")
 def _(st):
-    return exports.file_registry(st.trips.withColumn("source_encoding", F.lit("utf-8")))
+    """Rows by encoding and width over the registry of all written files."""
+    _, registry = exports.read_trip_exports(st.trips.sparkSession, _export_files(st))
+    return registry.groupBy("source_encoding", "columns").agg(F.sum("rows").alias("rows"))
 
 
 @query("schema_groups")
@@ -122,7 +127,7 @@ def _(st):
     path = scratch(st.trips, "feed")
     st.shapes.select("shape_id", F.col("seq").alias("shape_pt_sequence"), F.col("lat").alias("shape_pt_lat"),
                      F.col("lon").alias("shape_pt_lon")).write.csv(f"{path}/shapes.txt", header=True)
-    feed = tables.read_feed_tables(spark, path, ["shapes"])
+    feed = tables.read_feed_tables(spark, path)
     typed = tables.feed_shapes(feed["shapes"])
     return typed.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("shape_id").alias("shapes"), F.round(F.sum("lat"), 4).alias("sum_lat"),
                      F.round(F.sum("lon"), 4).alias("sum_lon"), F.sum("seq").alias("sum_seq"))
@@ -703,7 +708,7 @@ def _(st):
 
 @query("distance_unit_check")
 def _(st):
-    return profiles.distance_unit_check(st.trips.where(F.col("source_file") == views.FILE_A), P.unit_sample, P.seed)
+    return profiles.distance_unit_check(st.trips)
 
 
 @query("gini")
@@ -935,7 +940,7 @@ def _(st):
 @query("network_contrast")
 def _(st):
     f = st.featured.drop("covered", "dist_network_m")
-    return zones.network_contrast(f, st.shapes, P).select("cell", "dist_network_m", F.col("covered").cast("int").alias("covered"))
+    return zones.network_contrast(f, st.network, P).select("cell", "dist_network_m", F.col("covered").cast("int").alias("covered"))
 
 
 @query("zone_municipality")
@@ -986,12 +991,12 @@ def _(st):
 
 @query("moran_permutation_p")
 def _(st):
-    return stats.moran_permutation_p(_rates(st), "y", 1, 19, P.seed)
+    return stats.moran_permutation_p(_rates(st), "y", 1, P.permutations, P.seed)
 
 
 @query("moran_correlogram")
 def _(st):
-    return stats.moran_correlogram(_rates(st), "y", P.correlogram_k, 19, P.seed)
+    return stats.moran_correlogram(_rates(st), "y", P.correlogram_k, P.permutations, P.seed)
 
 
 @query("local_moran")
@@ -1001,7 +1006,7 @@ def _(st):
 
 @query("lisa_clusters")
 def _(st):
-    return stats.lisa_clusters(_rates(st), "y", 99, P.seed, P.lisa_alpha)
+    return rounded(stats.lisa_clusters(_rates(st), "y", P.permutations, P.seed, P.lisa_alpha))
 
 
 @query("cliffs_delta")
@@ -1050,15 +1055,14 @@ def _(st):
 
 @query("poisson_boosting")
 def _(st):
-    rows = boosting.reserve_flag(st.train, P).withColumn("model", F.lit(counts.FULL_FIT))
-    fit = boosting.fit_boosting(rows, {counts.FULL_FIT: {"max_depth": 3, "min_leaf": 20, "learning_rate": 0.1}}, p=P, max_iter=10)
-    return rounded(boosting.predict_boosting(st.test.withColumn("model", F.lit(counts.FULL_FIT)), fit, P).select("cell", "expected"))
+    """The searched settings, all iterations, every training zone."""
+    return rounded(V.final_fit(st.train, st.test, "M3", p=P).select("cell", "expected"))
 
 
 @query("boosting_grid_search")
 def _(st):
     inner = V.block_folds(st.train, P.inner_folds, "inner")
-    return rounded(boosting.boosting_grid_search(inner, p=P, max_iter=3)[1])
+    return rounded(boosting.boosting_grid_search(inner, p=P)[1])
 
 
 @query("block_folds")
@@ -1086,9 +1090,41 @@ def _(st):
     return rounded(V.one_se_rule(V.count_metrics(st.oof, by=["technique", "fold"]), P))
 
 
+@query("ladder_summary")
+def _(st):
+    """All seven techniques, boosting with its whole search."""
+    return rounded(V.cv_summary(V.count_metrics(st.oof_ladder, by=["technique", "fold"]), V.count_metrics(st.oof_ladder, by=["technique"])))
+
+
+@query("select_technique")
+def _(st):
+    return rounded(st.selection[1])
+
+
+@query("boosting_choices")
+def _(st):
+    """Inner deviance of every combination for each outer fold."""
+    return rounded(V.outer_searches(st.train, p=P)[1])
+
+
+@query("selected_gap_table")
+def _(st):
+    """The gap under the technique that the rule chooses among all seven."""
+    model, technique = st.table.where("in_model"), st.selection[0]
+    e, g = (V.expected_by_zone(st.train, st.test, t, p=P) for t in (technique, "B0"))
+    return rounded(evaluation.gap_table(model, e, g, st.observed_weeks, P).withColumn("technique", F.lit(technique)))
+
+
+def _fitted(st: Stages, dispersion: bool) -> tuple[DataFrame, float | None]:
+    """Training rows under their own fit, and alpha."""
+    train = st.train.withColumn("model", F.lit(counts.FULL_FIT))
+    coefs = counts.fit_counts(train, p=P, dispersion=dispersion)
+    return counts.expected_counts(train, coefs, P), float(coefs[counts.FULL_FIT][-1]) if dispersion else None
+
+
 @query("pearson_dispersion")
 def _(st):
-    return rounded(counts.pearson_dispersion(st.oof.where("technique = 'B2'").withColumnRenamed("observed", "query_count"), 3))
+    return rounded(counts.pearson_dispersion(_fitted(st, False)[0], 1 + len(P.predictors)), 5)
 
 
 @query("coefficient_table")
@@ -1098,8 +1134,14 @@ def _(st):
 
 @query("expected_zeros")
 def _(st):
-    pred = st.oof.where("technique = 'B2'").withColumnRenamed("observed", "query_count")
-    return rounded(ordering.union_all([counts.expected_zeros(pred, t, alpha=0.5) for t in ("B3", "M1", "M2")]), 5)
+    near = st.oof.where("technique = 'B3'").withColumnRenamed("observed", "query_count")
+    return rounded(counts.expected_zeros(near, "B3").unionByName(counts.expected_zeros(_fitted(st, False)[0], "M1")), 4)
+
+
+@query("expected_zeros_negbin")
+def _(st):
+    pred, alpha = _fitted(st, True)
+    return rounded(counts.expected_zeros(pred, "M2", alpha=alpha), 4)
 
 
 @query("expected_by_zone")
@@ -1168,7 +1210,8 @@ def _(st):
 
 @query("sensitivity_table")
 def _(st):
-    v = {"best_mean_technique": evaluation.gap_of_variant(st.train, st.test, "B3", p=P),
+    best = V.one_se_rule(V.count_metrics(st.oof, by=["technique", "fold"]), P).where("is_best").first()
+    v = {"best_mean_technique": evaluation.gap_of_variant(st.train, st.test, best.technique, p=P) if best else st.gap_zones.where(F.lit(False)),
          "global_rate": st.gap_zones.select("cell", F.col("gap_pearson_global").alias("gap_pearson")),
          "before_gap": evaluation.gap_of_variant(st.train, st.test, "B2", "query_count_before_gap", P),
          "larger_minimum_population": evaluation.gap_of_variant(st.train, st.test, "B2", p=P, min_population=P.pop_min_sensitivity)}
@@ -1248,8 +1291,9 @@ def _(st):
 
 @query("check_no_leak")
 def _(st):
-    fitted = [c[2:] for c in counts.design(st.train, P).columns if c.startswith("x_")]
-    return checks.check_no_leak(st.train, list(P.predictors), [*P.contrast, "query_count"], fitted)
+    path = scratch(st.train, "coefficients")
+    tables.save_estimator(_coef_rows(st, False), path)
+    return checks.check_no_leak(tables.load_estimator(st.train.sparkSession, path), list(P.predictors), [*P.contrast, "query_count"])
 
 
 @query("check_domain")

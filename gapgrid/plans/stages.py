@@ -21,10 +21,17 @@ from gapgrid.sources.tables import population_cells
 
 
 class Stages:
-    """Trips, population points and polylines in; zone, model and gap tables out."""
+    """Trips, population points and polylines in; zone, model and gap tables out.
 
-    def __init__(self, trips: DataFrame, points: DataFrame, shapes: DataFrame, p: Params, technique: str = "B2"):
-        self.trips, self.points, self.shapes, self.p, self.technique = trips, points, shapes, p, technique
+    The expected demand comes from the technique that the selection rule chooses among the seven, or from ``technique``.
+    """
+
+    def __init__(self, trips: DataFrame, points: DataFrame, shapes: DataFrame, p: Params, technique: str | None = None):
+        self.trips, self.points, self.shapes, self.p, self._technique = trips, points, shapes, p, technique
+
+    @property
+    def technique(self) -> str:
+        return self._technique or self.selection[0]
 
     # ---- cleaning
     @cached_property
@@ -129,6 +136,16 @@ class Stages:
         """Rate techniques and both count regressions."""
         return materialize(self.oof.unionByName(V.cross_validate(self.train, ["M1", "M2"], p=self.p)), "oof-all")
 
+    @cached_property
+    def oof_ladder(self) -> DataFrame:
+        """All seven techniques, boosting with its whole search."""
+        return materialize(self.oof_all.unionByName(V.cross_validate(self.train, ["M3"], p=self.p)), "oof-ladder")
+
+    @cached_property
+    def selection(self):
+        """(chosen technique, the rule's table)."""
+        return V.select_technique(self.oof_ladder, self.p)
+
     @cached_property
     def gap_zones(self) -> DataFrame:
         model = self.table.where("in_model")
@@ -149,5 +166,5 @@ def stages_for(spark: SparkSession, sf_dir: str) -> Stages:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _OPEN:
         _OPEN[key] = Stages(views.trips(spark, sf_dir), views.population_points(spark, sf_dir), views.shapes(spark, sf_dir),
-                            views.FIXTURE_PARAMS)
+                            views.FIXTURE_PARAMS, technique="B2")  # the technique that the SQL follows; see ``selected_gap_table``
     return _OPEN[key]

@@ -14,6 +14,9 @@ from gapgrid.params import Params, UserThresholds
 
 FILE_A, FILE_B = "2024-01-01_to_2024-01-14_a_2024-10.csv", "2024-01-15_to_2024-01-30_b_2024-20.csv"
 
+NAME = "Chimoré"
+BROKEN = NAME.encode().decode("latin-1")  # a name that an export decoded wrongly
+
 # Thresholds that mark some of the synthetic users.
 FIXTURE_PARAMS = Params(users=UserThresholds(volume=77, per_active_day=3.65, origin_cells=5, burst=10, repeated_share=0.33,
                                              repeated_min_queries=50, fast_seconds=13_500, min_signals=2))
@@ -32,6 +35,7 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     jx, jy = _offset("event_id", 104729, 41, 20), _offset("event_id", 7907, 41, 20)
     dx, dy = _offset("event_id", 15485863, 61, 30), _offset("event_id", 32452843, 61, 30)
     far = F.when(u % 50 == 9, 300000).otherwise(0)
+    label = (u + F.when(e % 11 == 0, 1).otherwise(0)) % 5
     base = ev.select(
         "event_id", F.when(e % 103 != 0, u).alias("user_id"),
         F.when(gap, F.col("ts") + F.expr("interval 7 days")).otherwise(F.col("ts")).alias("ts"),
@@ -39,7 +43,7 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e % 97 == 0, 0.0).otherwise((-6615701 + hy * 40 + jy * 25) / 1e5).alias("lon_orig"),
         ((-1739358 + hx * 40 + dx * 60) / 1e5).alias("lat_dest"), ((-6615701 + hy * 40 + dy * 60) / 1e5).alias("lon_dest"),
         F.when(e % 101 != 0, F.when(e % 71 == 0, 60000.0).otherwise(F.col("value") * 100)).alias("dist_m"),
-        F.when(u % 7 != 0, (u + F.when(e % 11 == 0, 1).otherwise(0)) % 5).cast("string").alias("muni"),
+        F.when(u % 7 != 0, F.when(label != 3, label.cast("string")).when(e % 3 == 0, BROKEN).otherwise(NAME)).alias("muni"),
         F.explode(F.when(e % 20 == 0, F.array(F.lit(FILE_A), F.lit(FILE_B))).otherwise(F.array(F.lit(FILE_A)))).alias("source_file"))
     return base.withColumn("source_batch", batch_of_file("source_file"))
 

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapgrid.functions import scalars as S
-from gapgrid.operators.joins import union_relaxed
-from gapgrid.params import LINEAGE
+from gapgrid.session import materialize
 
 # Header variants of the exports and their common names.
 RENAMES = {
@@ -16,6 +15,8 @@ RENAMES = {
     "hora": "hour", "dia_de_semana": "day_of_week", "dia_de_mes": "day_of_month", "fin_de_semana": "weekend",
     "userID": "user_id", "distancia": "dist_m", "origin_municipio": "muni",
 }
+TYPES = {"lat_orig": "double", "lon_orig": "double", "lat_dest": "double", "lon_dest": "double", "dist_m": "double",
+         "hour": "int", "day_of_week": "int", "day_of_month": "int"}
 DATE_COLUMN = "date"
 SORT_KEYS = ["source_file", "ts", "user_id", "lat_orig", "lon_orig", "lat_dest", "lon_dest"]
 
@@ -24,22 +25,31 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def detect_encoding(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, source_file, encoding): UTF-8 when every line is valid, otherwise Latin-1.
+def _lines(spark: SparkSession, glob: str) -> DataFrame:
+    return spark.read.text(glob).select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias("_at"),
+                                        F.monotonically_increasing_id().alias("_i"))
+
+
+def file_facts(spark: SparkSession, glob: str) -> DataFrame:
+    """(path, source_file, encoding, header, columns, rows) of every file, header-only files too, from one pass over the lines.
 
-    Lines are tested as they stream from splits, so no file has to fit in a task.
+    A file is UTF-8 when every line is valid, otherwise Latin-1; the header is the first line of its first split.
     """
-    lines = spark.read.text(glob).select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("ok"))
-    return lines.groupBy("path").agg(F.bool_and("ok").alias("ok")).select(
-        "path", base_name(F.col("path")).alias("source_file"), F.when(F.col("ok"), "utf-8").otherwise("latin-1").alias("encoding"))
+    first = F.min(F.when(F.col("_at") == 0, F.struct("_i", "value")))
+    facts = _lines(spark, glob).groupBy("path").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("ok"), first.alias("f"), F.count_if(F.trim("value") != "").alias("lines"))
+    text = F.when(F.col("ok"), F.col("f.value")).otherwise(_latin(F.col("f.value")))
+    return facts.select("path", base_name(F.col("path")).alias("source_file"), F.when(F.col("ok"), "utf-8").otherwise("latin-1").alias("encoding"),
+                        text.alias("header"), F.size(F.split(text, ",")).alias("columns"), (F.col("lines") - 1).alias("rows"))
 
 
-def file_headers(spark: SparkSession, glob: str, sep: str = ",") -> DataFrame:
-    """(path, header): the first line of every file."""
-    first = (F.col("_metadata.file_block_start") == 0)
-    lines = spark.read.text(glob).where(first).select(F.col("_metadata.file_path").alias("path"), "value",
-                                                      F.monotonically_increasing_id().alias("i"))
-    return lines.groupBy("path").agg(F.min_by("value", "i").alias("header"))
+def _latin(text: Column) -> Column:
+    return F.decode(text.cast("binary"), "ISO-8859-1")
+
+
+def detect_encoding(spark: SparkSession, glob: str) -> DataFrame:
+    """(path, source_file, encoding) of every file."""
+    return file_facts(spark, glob).select("path", "source_file", "encoding")
 
 
 def declared_period(files: DataFrame, name: str = "source_file") -> DataFrame:
@@ -49,28 +59,35 @@ def declared_period(files: DataFrame, name: str = "source_file") -> DataFrame:
     return files.agg(F.min(F.when(start != "", start)).alias("period_start"), F.max(F.when(end != "", end)).alias("period_end"))
 
 
-def read_trip_exports(spark: SparkSession, glob: str, renames: dict[str, str] = RENAMES) -> tuple[DataFrame, DataFrame]:
+def read_trip_exports(spark: SparkSession, glob: str, renames: dict[str, str] = RENAMES, types: dict[str, str] = TYPES) -> tuple[DataFrame, DataFrame]:
     """(trips, registry): all exports as one table with common names, lineage, ``ts`` and ISO year and week.
 
-    Files are grouped by (header, encoding), a handful of combinations, and each group is one distributed scan.
-    The registry has one row per file.
+    Two passes: one for the facts of the files, one for the rows. Every line is parsed once, and a header only says which
+    field has which name; names come from the distinct headers (a handful). Columns without a declared type stay text.
+    The registry has one row per file. Rows are not sorted; see ``stable_sort``.
     """
-    enc = detect_encoding(spark, glob)
-    head = file_headers(spark, glob).join(enc, "path")
-    groups = head.groupBy("header", "encoding").agg(F.collect_list("path").alias("paths")).collect()
-    frames = []
-    for g in sorted(groups, key=lambda r: (r.encoding, r.header)):
-        charset = "UTF-8" if g.encoding == "utf-8" else "ISO-8859-1"
-        df = spark.read.csv(g.paths, header=True, inferSchema=True, encoding=charset, timestampFormat="'keep as text'",
-                            dateFormat="'keep as text'")
-        file = base_name(F.col("_metadata.file_path"))
-        cols = [F.col(c).alias(renames.get(c, c)) for c in df.columns]
-        frames.append(df.select(*cols, file.alias("source_file"), S.batch_of_file(file).alias("source_batch"),
-                                F.lit(g.encoding).alias("source_encoding")))
-    trips = union_relaxed(frames).withColumn("ts", S.parse_ts_lenient(F.col(DATE_COLUMN).cast("string")))
-    trips = trips.withColumn("year", S.iso_year("ts")).withColumn("week", S.iso_week("ts"))
-    widths = head.select("source_file", F.size(F.split("header", ",")).alias("columns"))
-    return stable_sort(trips), file_registry(trips).join(widths, "source_file")
+    facts = materialize(file_facts(spark, glob), "file-facts")
+    heads = [r.header for r in facts.select("header").distinct().collect() if r.header]
+    names = {h: [renames.get(c.strip(), c.strip()) for c in h.split(",")] for h in sorted(heads)}
+    every = list(dict.fromkeys(c for cols in names.values() for c in cols))
+    width = max([len(c) for c in names.values()], default=1)
+    text = F.when(F.col("encoding") == "utf-8", F.col("value")).otherwise(_latin(F.col("value")))
+    rows = _lines(spark, glob).join(facts.select("path", "encoding", "header", "source_file"), "path").withColumn("value", text)
+    rows = rows.where((F.col("value") != F.col("header")) & (F.trim("value") != ""))
+    rows = rows.withColumn("_f", F.from_csv("value", ", ".join(f"f{k} string" for k in range(width))))
+    cols = []
+    for c in every:
+        field = F.lit(None).cast("string")
+        for h, own in names.items():
+            if c in own:
+                field = F.when(F.col("header") == h, F.col(f"_f.f{own.index(c)}")).otherwise(field)
+        cols.append((field.try_cast(types[c]) if c in types else field).alias(c))
+    file = F.col("source_file")
+    trips = rows.select(*cols, file, S.batch_of_file(file).alias("source_batch"), F.col("encoding").alias("source_encoding"))
+    if DATE_COLUMN not in every:
+        trips = trips.withColumn(DATE_COLUMN, F.lit(None).cast("string"))
+    trips = trips.withColumn("ts", S.parse_ts_lenient(F.col(DATE_COLUMN)))
+    return trips.withColumn("year", S.iso_year("ts")).withColumn("week", S.iso_week("ts")), file_registry(facts)
 
 
 def stable_sort(trips: DataFrame) -> DataFrame:
@@ -79,5 +96,6 @@ def stable_sort(trips: DataFrame) -> DataFrame:
     return trips.orderBy(*keys)
 
 
-def file_registry(trips: DataFrame) -> DataFrame:
-    return trips.groupBy(*LINEAGE).agg(F.count(F.lit(1)).alias("rows"))
+def file_registry(facts: DataFrame) -> DataFrame:
+    """One row per file, header-only files with 0 rows: batch, encoding, columns and rows."""
+    return facts.select("path", "source_file", S.batch_of_file("source_file").alias("source_batch"), F.col("encoding").alias("source_encoding"), "columns", "rows")

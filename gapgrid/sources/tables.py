@@ -17,15 +17,15 @@ def read_columns(spark: SparkSession, path: str, cols: list[str]) -> DataFrame:
     return spark.read.parquet(path).select(*cols)
 
 
-def read_feed_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
-    """The named feed tables, every column as text."""
-    return {n: spark.read.csv(f"{folder}/{n}.txt", header=True, inferSchema=False) for n in names}
+def read_feed_tables(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """The named feed tables, or all of the folder, every column as text."""
+    return {n: spark.read.csv(f"{folder}/{n}.txt", header=True, inferSchema=False) for n in names or feed_table_names(spark, folder)}
 
 
 def feed_table_names(spark: SparkSession, folder: str) -> list[str]:
     """Names of the ``.txt`` tables of a feed (a dozen files)."""
-    rows = spark.read.format("binaryFile").load(f"{folder}/*.txt").select("path").collect()
-    return sorted(r.path.rsplit("/", 1)[-1].removesuffix(".txt") for r in rows)
+    rows = spark.read.format("binaryFile").load([f"{folder}/*.txt"]).select(F.regexp_extract("path", r"/([^/]+)\.txt(/|$)", 1).alias("n")).distinct().collect()
+    return sorted(r.n for r in rows)
 
 
 def feed_shapes(shapes: DataFrame) -> DataFrame:
@@ -78,9 +78,16 @@ def write_report_csv(df: DataFrame, root: str, phase: str, name: str) -> str:
 
 
 def metrics_json(metrics: DataFrame) -> DataFrame:
-    """(metric, value) rows as one JSON object with sorted keys; values are JSON text or plain strings."""
-    entries = F.array_sort(F.collect_list(F.struct("metric", F.col("value").cast("string").alias("value"))))
-    return metrics.agg(F.to_json(F.map_from_entries(entries)).alias("value"))
+    """(metric, value) rows as one JSON object with sorted keys.
+
+    Numbers, true, false, null and text that holds an object or a list stay what they are; other text is quoted.
+    """
+    text = F.col("value").cast("string")
+    bare = text.rlike(r"^(-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?|true|false|null|[\[{].*[\]}])$")
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    value = F.when(text.isNull(), F.lit("null")).when(bare, text).otherwise(quoted(text))
+    entries = F.array_sort(F.collect_list(F.struct("metric", F.concat(quoted(F.col("metric")), F.lit(":"), value).alias("entry"))))
+    return metrics.agg(F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: e["entry"]), ","), F.lit("}")).alias("value"))
 
 
 def write_metrics(metrics: DataFrame, root: str, phase: str) -> str:

@@ -72,6 +72,49 @@ def test_boosting_loss_falls_and_respects_leaf_size(rows):
     assert per_rate >= 1
 
 
+def test_boosting_leaves_and_stop_rule(rows):
+    data = boosting.reserve_flag(rows, DEFAULT).withColumn("model", F.lit(3))
+    fit = boosting.fit_boosting(data, {3: {"max_depth": None, "min_leaf": 25, "learning_rate": 0.1}})
+    n = fit.n_iter(3)
+    assert n == DEFAULT.boosting_max_iter or boosting._stopped(fit.reserve_loss[3])
+    assert not any(boosting._stopped(fit.reserve_loss[3][:k]) for k in range(n))
+    # the first tree: leaf sizes, and leaf values from the sums of its zones
+    j, cut, value = fit.trees[3][0]
+    own = boosting.binned(data, fit.edges).where("NOT reserve").toPandas()
+    rate = own.query_count.sum() / own.population.sum()
+    leaves = {}
+    for b, y, pop in zip(own.bins, own.query_count, own.population):
+        node = 1
+        while j[node - 1] >= 0:
+            node = 2 * node + int(b[j[node - 1]] > cut[node - 1])
+        s = leaves.setdefault(node, [0, 0.0, 0.0])
+        s[0] += 1
+        s[1] += y
+        s[2] += pop * rate
+    for node, (size, y, h) in leaves.items():
+        assert size >= 25 and math.isclose(value[node - 1], 0.1 * (y - h) / h, rel_tol=1e-9)
+
+
+def test_boosting_survives_storage(rows, tmp_path):
+    from gapgrid.sources import tables
+
+    data = boosting.reserve_flag(rows, DEFAULT).withColumn("model", F.lit(0))
+    setting = {0: {"max_depth": 2, "min_leaf": 20, "learning_rate": 0.1}}
+    fit = boosting.fit_boosting(data, setting, max_iter=5)
+    tables.save_estimator(boosting.boosted_rows(rows.sparkSession, fit), str(tmp_path / "t"))
+    back = boosting.boosted_from_rows(tables.load_estimator(rows.sparkSession, str(tmp_path / "t")), fit.edges, setting)
+    frame = rows.withColumn("model", F.lit(0))
+    a, b = (boosting.predict_boosting(frame, x).agg(F.sum("expected")).first()[0] for x in (fit, back))
+    assert a == b
+
+
+def test_regressions_say_when_they_fail(rows):
+    with pytest.raises(ValueError, match="no training rows"):
+        counts.fit_counts(rows.limit(0).withColumn("model", F.lit(0)))
+    with pytest.raises(ValueError, match="no convergence"):
+        counts.fit_counts(rows.withColumn("model", F.lit(0)), max_iter=2)
+
+
 def greedy(sizes, n):
     load, out = [0] * n, {}
     for b, s in sorted(sizes.items(), key=lambda kv: (-kv[1], -kv[0])):

@@ -179,12 +179,53 @@ def test_densify_keeps_both_ends_and_skips_single_points(spark):
     assert max(gaps) <= total / (len(out) - 1) + 1e-6
 
 
-def test_huge_shapes_take_the_range_path_with_the_same_result(stages):
-    a = network.densify_polyline(stages.shapes, 50.0)
-    b = network.densify_polyline(stages.shapes, 50.0, max_shape=0)
-    key = ["shape_id", "i"]
-    both = a.toDF(*key, "xa", "ya").join(b.toDF(*key, "xb", "yb"), key, "full")
-    assert both.where("xa IS NULL OR xb IS NULL OR abs(xa - xb) > 1e-5 OR abs(ya - yb) > 1e-5").isEmpty()
+def test_lengths_do_not_depend_on_the_slices(stages, monkeypatch):
+    key = ["shape_id", "seq"]
+    a = network.segments(stages.shapes).select(*key, "upto", "before").collect()
+    monkeypatch.setattr(network, "SLICE", 3)
+    b = {(r.shape_id, r.seq): r for r in network.segments(stages.shapes).collect()}
+    assert len(a) == len(b)
+    for r in a:
+        o = b[r.shape_id, r.seq]
+        assert math.isclose(r.upto, o.upto, abs_tol=1e-6) and math.isclose(r.before, o.before, abs_tol=1e-6)
+    last = None
+    for r in sorted(b.values(), key=lambda r: (r.shape_id, r.seq)):
+        assert r.before == (last.upto if last and last.shape_id == r.shape_id else 0.0)
+        last = r
+
+
+def test_repaired_labels_are_counted_together(spark):
+    rows = [(1, "Chimor\u00c3\u00a9")] * 2 + [(1, "Chimor\u00e9")] * 2 + [(1, "Sacaba")] * 3
+    r = zones.modal_label(spark.createDataFrame(rows, "cell long, muni string")).first()
+    assert (r.label, r.modal_queries, r.total_queries) == ("Chimor\u00e9", 4, 7)
+
+
+@pytest.mark.parametrize("per_range", [5, 10_000])
+def test_quantiles_equal_numpy(spark, monkeypatch, per_range):
+    import numpy as np
+
+    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", per_range)
+    rnd = random.Random(8)
+    rows = [(rnd.choice("abc"), rnd.choice([None, 1.0, 2.5, rnd.gauss(0, 9)])) for _ in range(400)] + [("d", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = {"lo": 0.0, "q1": 0.25, "m": 0.5, "p9": 0.987, "hi": 1.0}
+    for r in ordering.quantiles(df, "v", qs, ["g"]).collect():
+        own = [v for g, v in rows if g == r.g and v is not None]
+        assert all(math.isclose(r[n], np.quantile(own, q), abs_tol=1e-9) for n, q in qs.items())
+    r = ordering.quantiles(df, "v", qs).first()
+    assert all(math.isclose(r[n], np.quantile([v for _, v in rows if v is not None], q), abs_tol=1e-9) for n, q in qs.items())
+
+
+def test_share_near_network_by_brute_force(spark):
+    rnd = random.Random(3)
+    x, y = network.project_xy("lat", "lon", DEFAULT)
+    o = [(-17.39 + rnd.uniform(-.03, .03), -66.15 + rnd.uniform(-.03, .03), rnd.randint(1, 5)) for _ in range(150)]
+    t = spark.createDataFrame([(-17.39 + rnd.uniform(-.03, .03), -66.15 + rnd.uniform(-.03, .03)) for _ in range(25)], "lat double, lon double")
+    targets = t.select(x.alias("x"), y.alias("y"))
+    df = spark.createDataFrame(o, "lat double, lon double, n long")
+    pts, tgt = df.select(x.alias("x"), y.alias("y"), "n").collect(), targets.collect()
+    near = sum(p.n for p in pts if min(math.hypot(p.x - q.x, p.y - q.y) for q in tgt) <= DEFAULT.coverage_m)
+    assert math.isclose(network.share_near_network(df, targets).first()[0], near / sum(p.n for p in pts) * 100)
 
 
 def test_modal_label_ties_and_nulls(spark):
@@ -264,7 +305,7 @@ def test_checks_see_violations(spark):
     assert checks.check_domain(df, "s", ["x"]).first().violations == 1
     assert checks.check_disjoint(df, df, ["k"]).first().violations == 1
     assert checks.set_equal(df, df.limit(1), ["v"]).first().violations == 1
-    assert checks.check_no_leak(df, ["v"], ["v"], ["v"]).first().violations == 1
+    assert checks.check_no_leak(df.selectExpr("'v' AS parameter"), ["v"], ["v"]).first().violations == 1
     assert checks.check_roundtrip(df, df.limit(1)).first().violations == 1
 
 

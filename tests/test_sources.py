@@ -16,14 +16,15 @@ def test_mixed_exports_become_one_table(spark, tmp_path):
     b = "date,userID,origin_latitude,origin_longitude,destination_latitude,destination_longitude,distancia,hour,origin_municipio,extra\n"
     write(tmp_path / "2023-01-02_to_2023-01-08_2023-01.csv", a + "2023-01-02 10:00:00,7,-17.4,-66.1,-17.5,-66.2,1200.5,10,Quillacollo\nbad,8,-17.4,-66.1,-17.5,-66.2,900,11,Tiquipaya\n", "utf-8")
     write(tmp_path / "2024-05-06_to_2024-05-12_2024-19.csv", b + "2024-05-06 08:00:00,u9,-17.4,-66.1,-17.5,-66.2,800,8,Chimoré,x\n", "latin-1")
+    write(tmp_path / "2024-05-13_to_2024-05-19_2024-20.csv", "date,userID\n", "utf-8")
     trips, registry = exports.read_trip_exports(spark, f"{tmp_path}/*.csv")
     rows = {r.user_id: r for r in trips.collect()}
     assert set(rows) == {"7", "8", "u9"}
     assert rows["8"].ts is None and str(rows["7"].ts) == "2023-01-02 10:00:00"
     assert rows["u9"].muni == "Chimoré" and rows["u9"].source_encoding == "latin-1" and rows["u9"].source_batch == "lote_2024"
     assert rows["7"].extra is None and rows["7"].hour == 10 and rows["u9"].week == 19
-    reg = {r.source_encoding: (r.rows, r.columns) for r in registry.collect()}
-    assert reg == {"utf-8": (2, 9), "latin-1": (1, 10)}
+    reg = {(r.source_encoding, r.columns): r.rows for r in registry.collect()}
+    assert reg == {("utf-8", 9): 2, ("latin-1", 10): 1, ("utf-8", 2): 0}
 
 
 def test_six_significant_digits(spark):
@@ -33,10 +34,11 @@ def test_six_significant_digits(spark):
 
 
 def test_metrics_round_trip_sorted(spark, tmp_path):
-    df = spark.createDataFrame([("b", "2"), ("a", "1")], "metric string, value string")
+    df = spark.createDataFrame([("b", "2"), ("a", "-1.5e3"), ("c", 'x "y"'), ("d", None), ("e", "[1, 2]"), ("f", "007")], "metric string, value string")
     path = tables.write_metrics(df, str(tmp_path), "02")
-    assert list(json.loads(spark.read.text(path).first().value)) == ["a", "b"]
-    assert {r.metric: r.value for r in tables.read_metrics(spark, str(tmp_path), "02").collect()} == {"a": "1", "b": "2"}
+    assert list(json.loads(spark.read.text(path).first().value).items()) == [("a", -1500.0), ("b", 2), ("c", 'x "y"'), ("d", None), ("e", [1, 2]), ("f", "007")]
+    got = {r.metric: r.value for r in tables.read_metrics(spark, str(tmp_path), "02").collect()}
+    assert got["b"] == "2" and got["c"] == 'x "y"' and got["f"] == "007"
 
 
 def test_zone_features_are_valid_geojson(stages, tmp_path):
