@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapgrid.llm.common import ship, slices_of, text_bytes
+from gapgrid.llm.common import map_batches, ship, slices_of, text_bytes
 
 BITS = 17
 STEM = 5
@@ -103,12 +103,17 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds - score[:, None], -500, 500)))
 
 
-def fit(data: np.ndarray, offsets: np.ndarray, grade: np.ndarray, grades: int = 3, l2: float = 3.0, steps: int = 200, share_of_texts: float = 1 / 300) -> Ordinal:
+def fit(data: np.ndarray, offsets: np.ndarray, grade: np.ndarray) -> Ordinal:
+    """``fit_features`` on the features of texts given as bytes and n + 1 offsets."""
+    return fit_features(*features(data, offsets), grade)
+
+
+def fit_features(text: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int = 3, l2: float = 3.0, steps: int = 200,
+                 share_of_texts: float = 1 / 300) -> Ordinal:
     """Maximum penalised likelihood by limited-memory quasi-Newton steps; thresholds are a first one plus positive gaps.
 
     Features that less than ``share_of_texts`` of the texts have keep the weight 0.
     """
-    text, feature, value = features(data, offsets)
     often = np.bincount(feature, minlength=1 << BITS) >= share_of_texts * len(grade)
     name = np.flatnonzero(often)
     column = np.cumsum(often) - 1
@@ -177,8 +182,8 @@ def grades_of(labels: DataFrame) -> DataFrame:
 def fit_model(docs: DataFrame, labels: DataFrame, seed: int = 42, rows: int = FIT_ROWS) -> Ordinal | None:
     """Fit on about ``rows`` labelled documents; None if they don't show at least two grades.
 
-    The sample is what a seeded hash lets through at the rate ``rows`` / labelled rows: at most about ``rows`` times ``FIT_BYTES`` bytes reach
-    the driver, whatever the tables hold.
+    The sample is what a seeded hash lets through at the rate ``rows`` / labelled rows. Tasks turn its texts into features, so
+    only the features of about ``rows`` texts of ``FIT_BYTES`` bytes at most reach the driver, whatever the tables hold.
     """
     graded = grades_of(labels)
     n = labels.count()
@@ -187,13 +192,27 @@ def fit_model(docs: DataFrame, labels: DataFrame, seed: int = 42, rows: int = FI
     h = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40))
     some = graded.where(h < F.lit(rows / n * (1 << 40)))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(text, 1, FIT_BYTES).alias("t")).join(F.broadcast(some), "doc_id").toArrow()
-    order = sorted(range(len(got)), key=lambda i: (got["doc_id"][i].as_py(), got["t"][i].as_py()))
-    grade = got["grade"].to_numpy()[order].astype(np.int64)
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(text, 1, FIT_BYTES).alias("t")).join(F.broadcast(some), "doc_id")
+
+    def run(batches):
+        for batch in batches:
+            data, off = text_bytes(batch.column(2))
+            for i, j in slices_of(off, SLICE):
+                who, feature, value = features(data[off[i]:off[j]], off[i:j + 1] - off[i])
+                cut = pa.array(np.searchsorted(who, np.arange(j - i + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.ListArray.from_arrays(cut, pa.array(feature.astype(np.int32))),
+                     pa.ListArray.from_arrays(cut, pa.array(value.astype(np.float32)))], ["doc_id", "grade", "feature", "value"])
+
+    got = map_batches(sample.select("doc_id", "grade", "t"), run, "doc_id long, grade int, feature array<int>, value array<float>").toArrow()
+    if got.num_rows:
+        got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy(), kind="stable")))
+    grade = got["grade"].to_numpy().astype(np.int64)
     if len(np.unique(grade)) < 2:
         return None
-    raw = [got["t"][i].as_py() for i in order]
-    return fit(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]), grade)
+    lists = [got[c].combine_chunks() for c in ("feature", "value")]
+    size = np.diff(lists[0].offsets.to_numpy())
+    return fit_features(np.repeat(np.arange(len(size)), size), *(x.flatten().to_numpy() for x in lists), grade)
 
 
 def tail_columns(model: Ordinal, text: Column) -> Column:
