@@ -16,7 +16,7 @@ from gapgrid.functions import grid
 from gapgrid.functions.ordering import union_all
 from gapgrid.functions.projection import project_xy, unproject_xy
 from gapgrid.params import DEFAULT, Params
-from gapgrid.session import materialize
+from gapgrid.session import discard, materialize
 
 UNIT = 10_000_000  # coordinates are compared in whole 1e-7 degrees (about a centimetre), so turns are exact
 DIRECTIONS = 16
@@ -53,16 +53,19 @@ def component_labels(cells: DataFrame, k: int = 1) -> DataFrame:
         pick = materialize(pick, "pick")
         picks.append(pick)
         a, b = pick.toDF("src", "a"), pick.toDF("dst", "b")
-        edges = materialize(
+        done, edges = edges, materialize(
             edges.join(a, "src").join(b, "dst").where("a <> b")
             .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "edges")
+        discard(done)
     else:
         raise RuntimeError("components did not settle")
     labels = nodes.withColumn("label", F.col("cell"))
     for pick in picks:
         labels = (labels.join(pick, F.col("label") == F.col("node"), "left")
                   .select("cell", F.coalesce("to", "label").alias("label")))
-    return materialize(labels, "labels")
+    labels = materialize(labels, "labels")
+    discard(nodes, edges, *picks)
+    return labels
 
 
 def largest_component(cells: DataFrame, k: int = 1) -> DataFrame:
