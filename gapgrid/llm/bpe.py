@@ -27,7 +27,7 @@ ENDINGS_1, ENDINGS_2 = "stmd", ("re", "ve", "ll")
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 SHORT = 64
-SLICE = 4 << 20
+SLICE = 2 << 20
 NONE = np.int32(np.iinfo(np.int32).max)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -221,8 +221,8 @@ class Ranks:
         first[order] = np.concatenate([[0], np.cumsum(counts[order])[:-1]])
         return flat[spread(first, counts)], counts
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of UTF-8 texts (bytes and n + 1 offsets), flat in order, and the number of ids of each text."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray, only_count: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of UTF-8 texts (bytes and n + 1 offsets), flat in order (none with ``only_count``), and the number of ids of each text."""
         cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         head = np.concatenate([np.flatnonzero((data & 0xC0) != 0x80), [len(data)]])
         starts = np.flatnonzero(piece_starts(cp, np.searchsorted(head, offsets)))
@@ -235,7 +235,8 @@ class Ranks:
         first = np.concatenate([[0], np.cumsum(n)[:-1]])
         size = n[which]
         total = np.concatenate([[0], np.cumsum(size)])
-        return ids[spread(first[which], size)], np.diff(total[np.searchsorted(begin, offsets)])
+        counts = np.diff(total[np.searchsorted(begin, offsets)])
+        return (ids[:0] if only_count else ids[spread(first[which], size)]), counts
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of flat ids, and the n + 1 offsets of the texts they make."""
@@ -252,15 +253,28 @@ def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (total - size), size) + np.arange(total[-1])
 
 
+_POWERS = np.ones(1, np.uint64)
+
+
+def powers(n: int) -> np.ndarray:
+    """The first ``n`` powers of the hash's base; those of a usual slice are kept."""
+    global _POWERS
+    if n > len(_POWERS):
+        p = np.full(max(n, 1 << 16), _ODD)
+        p[0] = 1
+        np.multiply.accumulate(p, out=p)
+        if n > 2 * SLICE:
+            return p[:n]
+        _POWERS = p
+    return _POWERS[:n]
+
+
 def distinct(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of one piece for each distinct content, and for each piece its place among them.
 
     Pieces are grouped by a polynomial hash and then compared byte by byte; a piece that only shares a hash stands alone.
     """
-    power = np.empty(len(data) + 1, np.uint64)
-    power[0] = 1
-    power[1:] = _ODD
-    np.multiply.accumulate(power, out=power)
+    power = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(power[:-1] * (data.astype(np.uint64) + np.uint64(1)), out=sums[1:])
     # the same power for equal content: times the power that is left to the end
@@ -286,11 +300,11 @@ def ranks_of(path: str) -> Ranks:
     return Ranks(path)
 
 
-def encode_batches(path: str, data: np.ndarray, offsets: np.ndarray):
+def encode_batches(path: str, data: np.ndarray, offsets: np.ndarray, only_count: bool = False):
     """(first, last, ids, counts) for runs of rows of bounded size."""
     ranks = ranks_of(path)
     for i, j in slices_of(offsets, SLICE):
-        yield i, j, *ranks.encode(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+        yield i, j, *ranks.encode(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], only_count)
 
 
 def _encoded(df: DataFrame, path: str, key: str, text: str, keep_ids: bool) -> DataFrame:

@@ -1,8 +1,12 @@
 """Training-order materialisation: token ids packed into sequences, permuted by a keyed Feistel network, written as fixed-stride shards.
 
-The corpus is one stream of ids (texts in the order of the input's splits, each followed by an end mark), cut every
-``length`` ids. Sequence s goes to slot perm(s); slot t stands at byte (t mod shard) * stride of shard t // shard, so any slot
-range can be read with one seek per shard, and a stopped run resumes at its slot.
+Each split of the input is a stream of ids (its texts in order, each followed by an end mark), cut every ``length`` ids; its
+last sequence is filled up. A split with b bytes can't hold more than a known number of sequences, since an id stands for a byte
+at least, so every sequence has a number of its own before anything is encoded. A keyed permutation of these numbers
+(Feistel network, walked until it falls below their count) gives each sequence its key, and its global slot is its
+rank by key: ranges of keys are the partitions that write the shards, and the slots of a shard follow from the sizes of those
+before it. Slot t of a shard stands at byte (t - first slot) * stride, so any slot range is one seek and one sequential
+read per shard, and a stopped run resumes at its slot. Texts are encoded once and shuffled once, nothing is stored in between.
 """
 
 from __future__ import annotations
@@ -83,120 +87,117 @@ class Layout:
         return 2 * self.length
 
 
-def token_stream(df: DataFrame, ranks: str, layout: Layout, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(part, start, key, ids): ids of each text and its end mark, and where they start in their part of the stream.
+def _texts(df: DataFrame, text: str) -> DataFrame:
+    return df.select(utf8_column(text))
 
-    Texts that are null or empty add nothing. Written once: a repeated task reads the same split and gives the same rows.
+
+def part_bounds(df: DataFrame, layout: Layout, text: str = "text") -> np.ndarray:
+    """Where the sequence numbers of every split start, and their count: one number per task reaches the driver.
+
+    A text of b bytes has at most b ids and an end mark.
     """
-    def run(batches):
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            data, off = text_bytes(batch.column(1))
-            for i, j, ids, n in encode_batches(ranks, data, off):
-                if len(ids) and ids.max() >= layout.end:
-                    raise ValueError("ids reach the end mark")
-                some = n > 0
-                m = n + some
-                flat = np.full(int(m.sum()), layout.end, "<u2")
-                last = np.zeros(len(flat), bool)
-                last[np.cumsum(m)[some] - 1] = True
-                flat[~last] = ids
-                end = np.concatenate([[0], np.cumsum(m)])
-                raw = flat.tobytes()
-                rows = np.flatnonzero(some)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), part), pa.int32()), pa.array(at + end[:-1][rows], pa.int64()), batch.column(0).slice(i, j - i).take(pa.array(rows)),
-                     pa.array([raw[2 * end[r]:2 * end[r + 1]] for r in rows], pa.binary())], ["part", "start", "key", "ids"])
-                at += len(flat)
-
-    src = df.select(F.col(key).cast("long").alias("key"), utf8_column(text))
-    return materialize(map_batches(src, run, "part int, start long, key long, ids binary"), "token-stream")
-
-
-def parts_of(stream: DataFrame) -> DataFrame:
-    """(part, base): where each part of the stream starts. One row per task that made the stream."""
-    size = stream.groupBy("part").agg(F.sum(F.octet_length("ids") / 2).cast("long").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return materialize(size.select("part", "n", before.alias("base")), "stream-parts")
-
-
-def write_shards(stream: DataFrame, folder: str, layout: Layout, key: int) -> tuple[DataFrame, int]:
-    """Write the shards; (manifest, number of sequences). Manifest: shard, path, first_slot, n_sequences, sha256."""
-    parts = parts_of(stream)
-    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_seq = -(-total // layout.length)
-    perm = Permutation(n_seq, key)
+    n = F.octet_length(F.col(text))
+    rows = _texts(df, text).groupBy(F.spark_partition_id().alias("part")).agg(F.sum(n + (n > 0).cast("int")).cast("long").alias("n")).collect()
+    most = np.zeros(max([r.part for r in rows], default=-1) + 1, np.int64)
+    for r in rows:
+        most[r.part] = -(-r.n // layout.length)
+    return np.concatenate([[0], np.cumsum(most)])
+
+
+def write_shards(df: DataFrame, ranks: str, folder: str, layout: Layout, key: int, text: str = "text") -> DataFrame:
+    """Write the shards; manifest: shard, path, first_slot, n_sequences, sha256, sequences (their numbers in order).
+
+    Texts that are null or empty add nothing. Both passes over the input read the same splits; a split that outgrows its numbers is an error.
+    """
+    base = part_bounds(df, layout, text)
+    total = int(base[-1])
+    perm = Permutation(total, key)
     length, shard = layout.length, layout.shard
+    n_parts = max(1, -(-total // (2 * shard)))  # an id stands for two bytes or more as a rule
 
     def cut(batches):
-        """Pieces (shard, slot, at, ids) of sequences; neighbouring texts are cut as one stretch."""
+        """(place, key, sequence, ids) of the sequences of this split."""
+        part = TaskContext.get().partitionId()
+        number, end = (int(base[part]), int(base[part + 1])) if part < len(base) - 1 else (0, 0)
+        rest = np.empty(0, "<u2")
+
+        def rows(flat: np.ndarray):
+            nonlocal number
+            n = len(flat) // length
+            if number + n > end:
+                raise ValueError(f"split {part} has changed between the two passes")
+            numbers = np.arange(number, number + n)
+            number += n
+            keys = perm.slot(numbers)
+            ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), n, [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array((keys * n_parts // total).astype(np.int32)), pa.array(keys), pa.array(numbers), ids], ["place", "key", "sequence", "ids"])
+
         for batch in batches:
-            start = batch.column(0).to_numpy()
-            data, off = text_bytes(batch.column(1))
-            flat, end = data.view("<u2"), off // 2
-            joint = np.flatnonzero(start[1:] != start[:-1] + np.diff(end)[:-1]) + 1
-            rows = []
-            for a, b in zip([0, *joint], [*joint, len(start)]):
-                lo, n, base = int(end[a]), int(end[b] - end[a]), int(start[a])
-                marks = np.unique(np.concatenate([[base], np.arange((base // length + 1) * length, base + n, length), [base + n]]))
-                rows += [(int(x), flat[lo + x - base:lo + y - base].tobytes()) for x, y in zip(marks, marks[1:])]
-            if not rows:
-                continue
-            at = np.array([r[0] for r in rows])
-            slot = perm.slot(at // length)
-            yield pa.RecordBatch.from_arrays([pa.array(slot // shard), pa.array(slot), pa.array((at % length).astype(np.int32)), pa.array([r[1] for r in rows], pa.binary())],
-                                             ["shard", "slot", "at", "ids"])
+            data, off = text_bytes(batch.column(0))
+            for _, _, ids, n in encode_batches(ranks, data, off):
+                if not len(ids):
+                    continue
+                if ids.max() >= layout.end:
+                    raise ValueError("ids reach the end mark")
+                m = n + (n > 0)
+                flat = np.full(len(rest) + int(m.sum()), layout.end, "<u2")
+                flat[:len(rest)] = rest
+                own = np.ones(len(flat) - len(rest), bool)
+                own[np.cumsum(m)[n > 0] - 1] = False
+                flat[len(rest):][own] = ids
+                whole = len(flat) // length * length
+                rest = flat[whole:]
+                if whole:
+                    yield rows(flat[:whole])
+        if len(rest):
+            yield rows(np.concatenate([rest, np.full(length - len(rest), layout.pad, "<u2")]))
 
     def write(batches):
         store, root = open_store(folder)
         store.create_dir(root, recursive=True)
-        now, out, done, digest, attempt = None, None, 0, None, ""
-        row, filled, slot_now = None, 0, None
-
-        def put():
-            nonlocal done
-            if row is not None:
-                raw = row.tobytes()
-                out.write(raw)
-                digest.update(raw)
-                done += 1
+        place, out, n_files, attempt, digest, held = None, None, 0, "", None, []
 
         def close():
+            nonlocal out, n_files
             out.close()
-            final = f"{root}/shard-{now:06d}.bin"
+            out = None
+            final = f"{root}/shard-{place:06d}-{n_files:04d}.bin"
+            n_files += 1
             publish(store, attempt, final)
-            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([final]), pa.array([now * shard]), pa.array([done], pa.int64()), pa.array([digest.hexdigest()])],
-                                              ["shard", "path", "first_slot", "n_sequences", "sha256"])
+            return pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([n_files - 1], pa.int32()), pa.array([final]), pa.array([len(held)], pa.int64()),
+                                               pa.array([digest.hexdigest()]), pa.array([list(held)], pa.list_(pa.int64()))], ["place", "file", "path", "n_sequences", "sha256", "sequences"])
 
         for batch in batches:
-            for s, slot, at, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                if slot != slot_now:
-                    put()
-                    if s != now:
-                        if out is not None:
-                            yield close()
-                        now, done, digest = s, 0, hashlib.sha256()
-                        attempt = f"{root}/_attempt-{TaskContext.get().taskAttemptId()}-{s}"
-                        out = store.open_output_stream(attempt, compression=None)
-                    row, slot_now = np.full(length, layout.pad, "<u2"), slot
-                row[at:at + len(ids) // 2] = np.frombuffer(ids, "<u2")
+            for at, number, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if out is not None and (at != place or len(held) == shard):
+                    yield close()
+                if at != place:
+                    place, n_files = at, 0
+                if out is None:
+                    attempt = f"{root}/_attempt-{TaskContext.get().taskAttemptId()}-{place}-{n_files}"
+                    out, digest, held = store.open_output_stream(attempt, compression=None), hashlib.sha256(), []
+                raw = ids.as_buffer()
+                out.write(raw)
+                digest.update(raw)
+                held.append(number)
         if out is not None:
-            put()
             yield close()
 
-    placed = stream.join(parts.select("part", "base"), "part").select((F.col("base") + F.col("start")).alias("start"), "ids")
-    pieces = map_batches(placed, cut, "shard long, slot long, at int, ids binary")
-    n_shards = max(1, -(-n_seq // shard))
-    ordered = pieces.repartitionByRange(n_shards, "shard").sortWithinPartitions("slot", "at")
-    manifest = map_batches(ordered, write, "shard long, path string, first_slot long, n_sequences long, sha256 string")
-    return materialize(manifest, "manifest"), n_seq
+    pieces = map_batches(_texts(df, text), cut, "place int, key long, sequence long, ids binary")
+    ordered = pieces.repartitionById(n_parts, F.col("place")).sortWithinPartitions("key").select("place", "sequence", "ids")
+    written = materialize(map_batches(ordered, write, "place int, file int, path string, n_sequences long, sha256 string, sequences array<long>"), "shards")
+    # one row per shard: the slots of a shard follow those before it
+    w = Window.orderBy("place", "file")
+    before = F.coalesce(F.sum("n_sequences").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    index = written.select("path", (F.row_number().over(w) - 1).cast("long").alias("shard"), before.cast("long").alias("first_slot"))
+    return materialize(written.join(index, "path").select("shard", "path", "first_slot", "n_sequences", "sha256", "sequences"), "manifest")
 
 
 def read_slots(manifest: DataFrame, layout: Layout, first: int = 0, end: int | None = None) -> DataFrame:
-    """(slot, shard, byte_offset, ids) of the slots from ``first`` to before ``end``; shards outside are not opened."""
+    """(slot, sequence, shard, byte_offset, ids) of the slots from ``first`` to before ``end``; shards outside are not opened."""
     def run(batches):
         for batch in batches:
-            for shard, path, slot, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, path, slot, n, numbers in zip(*(c.to_pylist() for c in batch.columns)):
                 store, name = open_store(path)
                 a, b = max(first, slot), slot + n if end is None else min(end, slot + n)
                 with store.open_input_file(name) as f:
@@ -206,34 +207,31 @@ def read_slots(manifest: DataFrame, layout: Layout, first: int = 0, end: int | N
                         raw = f.read(k * layout.stride)
                         at = np.arange(a, a + k)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(at), pa.array(np.full(k, shard)), pa.array((at - slot) * layout.stride),
-                             pa.array([raw[i * layout.stride:(i + 1) * layout.stride] for i in range(k)], pa.binary())], ["slot", "shard", "byte_offset", "ids"])
+                            [pa.array(at), pa.array(numbers[a - slot:a - slot + k], pa.int64()), pa.array(np.full(k, shard)), pa.array((at - slot) * layout.stride),
+                             pa.array([raw[i * layout.stride:(i + 1) * layout.stride] for i in range(k)], pa.binary())], ["slot", "sequence", "shard", "byte_offset", "ids"])
                         a += k
 
     rows = manifest.where(F.col("first_slot") + F.col("n_sequences") > first)
     if end is not None:
         rows = rows.where(F.col("first_slot") < end)
-    return map_batches(rows.select("shard", "path", "first_slot", "n_sequences"), run, "slot long, shard long, byte_offset long, ids binary")
+    return map_batches(rows.select("shard", "path", "first_slot", "n_sequences", "sequences"), run, "slot long, sequence long, shard long, byte_offset long, ids binary")
 
 
-def training_order(df: DataFrame, ranks: str, layout: Layout = Layout(), key: int = 42, folder: str | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def training_order(df: DataFrame, ranks: str, layout: Layout = Layout(), key: int = 42, folder: str | None = None, text: str = "text") -> DataFrame:
     """Write the shards and read them back: slot, sequence, shard, byte_offset, n_tokens, ids_sha256 (of the stride's bytes).
 
-    Every id of every text stands in exactly one slot; the last sequence is filled with ``pad``. Repeated rows and null keys
-    count like any other; null and empty texts add nothing; without any id there are no shards. Other columns are ignored.
+    Every id of every text stands in exactly one slot; the last sequence of a split is filled with ``pad``. Repeated rows count
+    like any other; null and empty texts add nothing; without any id there are no shards. Other columns are ignored.
     """
     spark: SparkSession = df.sparkSession
-    stream = token_stream(df, ranks, layout, id_column, text)
-    manifest, n = write_shards(stream, folder or shared_folder(spark, "shards"), layout, key)
-    perm = Permutation(n, key)
+    manifest = write_shards(df, ranks, folder or shared_folder(spark, "shards"), layout, key, text)
 
     def run(batches):
         for batch in batches:
-            slot = batch.column(0).to_numpy()
-            raw = batch.column(3).to_pylist()
+            raw = batch.column(4).to_pylist()
             n_tokens = [int((np.frombuffer(x, "<u2") != layout.pad).sum()) for x in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(perm.sequence(slot)), batch.column(1), batch.column(2), pa.array(n_tokens, pa.int32()),
-                                              pa.array([hashlib.sha256(x).hexdigest() for x in raw])], ["slot", "sequence", "shard", "byte_offset", "n_tokens", "ids_sha256"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n_tokens, pa.int32()), pa.array([hashlib.sha256(x).hexdigest() for x in raw])],
+                                             ["slot", "sequence", "shard", "byte_offset", "n_tokens", "ids_sha256"])
 
     # shards are few rows; deal them out evenly
     shards = manifest.repartition(max(1, spark.sparkContext.defaultParallelism))

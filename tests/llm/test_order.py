@@ -26,20 +26,23 @@ def test_every_id_has_one_place(spark):
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(texts)] + [(None, "a", "x", 0), (2, "a", "x", 0)], "doc_id long, text string, part string, start int").repartition(3).cache()
     layout = training_order.Layout(length=16, shard=5)
     folder = shared_folder(spark, "t")
-    out = {r.sequence: r for r in training_order.training_order(df, PATH, layout, 9, folder).collect()}
+    out = {r.slot: r for r in training_order.training_order(df, PATH, layout, 9, folder).collect()}
     n = len(out)
-    assert sorted(out) == list(range(n)) and sorted(r.slot for r in out.values()) == list(range(n))
-    assert all(r.shard == r.slot // 5 and r.byte_offset == r.slot % 5 * 32 for r in out.values())
-    assert all(out[s].n_tokens == 16 for s in range(n - 1))
+    assert sorted(out) == list(range(n)) and len({r.sequence for r in out.values()}) == n
     with open(PATH, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    stream = training_order.token_stream(df, PATH, layout)
-    manifest, n2 = training_order.write_shards(stream, shared_folder(spark, "t"), layout, 9)
-    assert n2 == n
-    perm = training_order.Permutation(n, 9)
+    manifest = training_order.write_shards(df, PATH, shared_folder(spark, "t"), layout, 9)
+    sizes = {r.shard: (r.first_slot, r.n_sequences) for r in manifest.collect()}
+    assert all(r.byte_offset == (r.slot - sizes[r.shard][0]) * 32 and sizes[r.shard][1] <= 5 for r in out.values())
+    # slots are ranks by the permuted number
+    perm = training_order.Permutation(int(training_order.part_bounds(df, layout)[-1]), 9)
+    keys = perm.slot(np.array([out[t].sequence for t in range(n)]))
+    assert (np.diff(keys) > 0).all()
     back = {r.slot: bytes(r.ids) for r in training_order.read_slots(manifest, layout).collect()}
-    flat = np.concatenate([np.frombuffer(back[int(perm.slot(np.array([s]))[0])], "<u2") for s in range(n)])
+    order = sorted(range(n), key=lambda t: out[t].sequence)
+    flat = np.concatenate([np.frombuffer(back[t], "<u2") for t in order])
+    assert sum(x == layout.pad for x in flat) < 3 * 16  # three splits
     flat = flat[flat != layout.pad].tolist()
     docs, now = [], []
     for x in flat:
@@ -51,7 +54,7 @@ def test_every_id_has_one_place(spark):
     assert not now and sorted(docs) == sorted([t for t in texts if t] + ["a", "a"])
     some = {r.slot: bytes(r.ids) for r in training_order.read_slots(manifest, layout, 3, 12).collect()}
     assert some == {k: v for k, v in back.items() if 3 <= k < 12}
-    assert all(hashlib.sha256(v).hexdigest() == next(r.ids_sha256 for r in out.values() if r.slot == k) for k, v in back.items())
+    assert all(hashlib.sha256(v).hexdigest() == out[k].ids_sha256 for k, v in back.items())
     assert training_order.training_order(df.limit(0), PATH, layout).count() == 0
 
 
