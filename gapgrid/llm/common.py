@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapgrid.session import checkpoint_root, materialize
+from gapgrid.session import checkpoint_root, discard, materialize
 
-__all__ = ["checkpoint_root", "map_batches", "materialize", "read_table", "ship", "slices_of", "text_bytes", "utf8_column"]
+__all__ = ["checkpoint_root", "discard", "map_batches", "materialize", "read_table", "ship", "slices_of", "text_bytes", "utf8_column"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapgrid.llm.common import materialize
+from gapgrid.llm.common import discard, materialize
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
@@ -27,13 +27,16 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         to = materialize(best.select(F.col("a").alias("node"), F.least("m", own)["b"].alias("to")), f"{name}-to-{seed}")
         t = to.select(F.col("node").alias("b"), F.col("to").alias("b2"))
         moved = left.join(to.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a").join(t, "b")
-        left = materialize(moved.where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), f"{name}-{seed}")
+        done, left = left, materialize(moved.where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), f"{name}-{seed}")
+        old = [done, to]
         if label is None:
-            label = to.withColumnRenamed("to", "component")
+            new = to.withColumnRenamed("to", "component")
         else:
             step = to.select(F.col("node").alias("component"), "to")
-            label = label.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        label = materialize(label, f"{name}-label-{seed}")
+            new = label.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+            old.append(label)
+        label = materialize(new, f"{name}-label-{seed}")
+        discard(*old)
     if label is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return label
