@@ -27,7 +27,7 @@ ENDINGS_1, ENDINGS_2 = "stmd", ("re", "ve", "ll")
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 SHORT = 64
-SLICE = 2 << 20
+SLICE = 1 << 20
 NONE = np.int32(np.iinfo(np.int32).max)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

@@ -22,7 +22,7 @@ REFERENCE = 32 << 10
 PIECES, PIECE = 96, 1 << 10
 #: Texts are parsed in windows of this many bytes; a phrase ends with its window.
 WINDOW = 512
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def reference_texts(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", seed: int = 42) -> dict[str, bytes]:

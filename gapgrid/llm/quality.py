@@ -22,7 +22,7 @@ BITS = 17
 STEM = 5
 #: Labelled rows that the fit uses at most, about; which, a seeded hash decides. Of each text it reads ``FIT_BYTES`` at most, scoring reads all.
 FIT_ROWS, FIT_BYTES = 6000, 1 << 14
-SLICE = 2 << 20
+SLICE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _KIND = np.zeros(256, np.uint8)  # 0 white space, 1 part of a word, 2 mark
