@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapgrid.functions.ordering import hash_rank, quantiles
+from gapgrid.functions.ordering import hash_rank, running
 from gapgrid.functions.scalars import log1p_design
 from gapgrid.params import DEFAULT, PREDICTION_FLOOR, Params
 from gapgrid.session import materialize
@@ -49,8 +49,26 @@ class Boosted:
 
 def bin_edges(rows: DataFrame, p: Params) -> dict[str, list[float]]:
     """Quantile edges of each predictor (at most 254 numbers each)."""
-    points = {f"q{i}": i / MAX_BINS for i in range(1, MAX_BINS)}
-    return {c: sorted(set(quantiles(rows.select(log1p_design(c).alias("v")), "v", points).first())) for c in p.predictors}
+    return {c: _quantile_edges(rows.select(log1p_design(c).alias("v")).where(F.col("v").isNotNull())) for c in p.predictors}
+
+
+def _quantile_edges(values: DataFrame) -> list[float]:
+    """Linear quantiles i / MAX_BINS of ``v``: every counted value tells which quantiles it is a neighbour of."""
+    total = values.count()
+    if total < 2:
+        return sorted(r.v for r in values.collect())
+    cum = running(values.groupBy("v").agg(F.count(F.lit(1)).alias("n")), ["v"], sums={"_cum": "n"})
+    start, end = F.col("_cum") - F.col("n"), F.col("_cum") - 1
+    first = F.greatest(F.lit(1), F.floor((start - 1) * MAX_BINS / (total - 1)))
+    last = F.least(F.lit(MAX_BINS - 1), F.ceil((end + 1) * MAX_BINS / (total - 1)))
+    near = cum.select("v", start.alias("s"), end.alias("e"), F.explode(F.when(first <= last, F.sequence(first, last))).alias("i"))
+    at = F.col("i") * (total - 1)
+    low, over = F.floor(at / MAX_BINS), F.pmod(at, F.lit(MAX_BINS))
+    high = low + (over > 0).cast("int")
+    edges = near.groupBy("i").agg(F.max(F.when(low.between(F.col("s"), F.col("e")), F.col("v"))).alias("a"),
+                                  F.max(F.when(high.between(F.col("s"), F.col("e")), F.col("v"))).alias("b"))
+    out = edges.select((F.col("a") + (F.col("b") - F.col("a")) * over / MAX_BINS).alias("x")).where("x IS NOT NULL").collect()
+    return sorted({r.x for r in out})
 
 
 def binned(rows: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
