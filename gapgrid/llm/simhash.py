@@ -89,8 +89,8 @@ def xxh64_ranges(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed:
     return out
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> np.ndarray:
-    """Fingerprint of each text (bytes and n + 1 offsets)."""
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE):
+    """(hashes, their texts) of all word shingles, in order and in slices; a text of fewer words is one shingle, one without words none."""
     n_docs = len(offsets) - 1
     white = _WHITE[data]
     first = np.zeros(len(data) + 1, bool)
@@ -112,11 +112,19 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE)
     sh_doc = np.repeat(np.arange(n_docs), n_sh)
     a = np.arange(len(sh_doc)) - np.repeat(np.cumsum(n_sh) - n_sh, n_sh) + first_word[sh_doc]
     b = np.minimum(a + width, first_word[sh_doc] + n_words[sh_doc]) - 1
-    counts = np.zeros((n_docs, 64), np.int64)
     for i in range(0, len(a), 1 << 17):
         s, e, d = starts[a[i:i + (1 << 17)]], ends[b[i:i + (1 << 17)]], sh_doc[i:i + (1 << 17)]
         lo = int(s[0])
-        h = xxh64_ranges(flat[lo:int(e.max())], s - lo, e - s)
+        yield xxh64_ranges(flat[lo:int(e.max())], s - lo, e - s), d
+
+
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """Fingerprint of each text (bytes and n + 1 offsets)."""
+    n_docs = len(offsets) - 1
+    counts = np.zeros((n_docs, 64), np.int64)
+    n_sh = np.zeros(n_docs, np.int64)
+    for h, d in shingle_hashes(data, offsets, width):
+        n_sh += np.bincount(d, minlength=n_docs)
         bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         cut = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1])
         counts[d[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
