@@ -20,8 +20,8 @@ from gapgrid.llm.common import map_batches, ship, slices_of, text_bytes
 
 BITS = 17
 STEM = 5
-#: Labelled rows that the fit uses at most, about; which, a seeded hash decides. Of each text it reads ``FIT_BYTES`` at most, scoring reads all.
-FIT_ROWS, FIT_BYTES = 6000, 1 << 14
+#: Labelled rows that the fit uses at most, about; which, a seeded hash decides. Fit and scoring read whole texts.
+FIT_ROWS = 6000
 SLICE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -182,8 +182,8 @@ def grades_of(labels: DataFrame) -> DataFrame:
 def fit_model(docs: DataFrame, labels: DataFrame, seed: int = 42, rows: int = FIT_ROWS) -> Ordinal | None:
     """Fit on about ``rows`` labelled documents; None if they don't show at least two grades.
 
-    The sample is what a seeded hash lets through at the rate ``rows`` / labelled rows. Tasks turn its texts into features, so
-    only the features of about ``rows`` texts of ``FIT_BYTES`` bytes at most reach the driver, whatever the tables hold.
+    The sample is what a seeded hash lets through at the rate ``rows`` / labelled rows. Tasks turn its whole texts into features, so
+    only about ``rows`` lists of 2^``BITS`` features at most reach the driver, whatever the tables hold.
     """
     graded = grades_of(labels)
     n = labels.count()
@@ -192,7 +192,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, seed: int = 42, rows: int = FI
     h = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40))
     some = graded.where(h < F.lit(rows / n * (1 << 40)))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(text, 1, FIT_BYTES).alias("t")).join(F.broadcast(some), "doc_id")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).join(F.broadcast(some), "doc_id")
 
     def run(batches):
         for batch in batches:

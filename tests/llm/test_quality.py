@@ -61,3 +61,22 @@ def test_rows(spark):
         assert all(r.selected and r.expected_grade is None for r in quality.graded(docs, none).collect())
         assert quality.select_good(docs, none).count() == docs.count()
     assert quality.graded(docs.limit(0), labels).count() == 0
+
+
+def test_fit_reads_whole_texts(spark):
+    """What tells the grades apart stands beyond the first 16 KB of every labelled text."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdef", k=rng.randint(2, 7))) for _ in range(300)]
+    rows = []
+    for i in range(120):
+        text = rng.choices(words, k=5000)
+        text[4500] = "scoundrel" if i % 2 else "friend"
+        assert len(" ".join(text[:4500])) > 1 << 14
+        rows.append((i, " ".join(text), i % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, toxic) for i, _, toxic in rows], "doc_id long, quality int, toxic int")
+    model = quality.fit_model(docs, labels)
+    e = model.tails(*pack([(0, "scoundrel", 1), (1, "friend", 2)])[:2])[:, 1]
+    assert model.weights.any() and e[1] > e[0]
+    got = {r.doc_id: r.tail_probability for r in quality.graded(docs, labels).collect()}
+    assert min(got[i] for i in range(0, 120, 2)) > max(got[i] for i in range(1, 120, 2))
