@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapgrid.llm import bpe, exact_dedup, langid, mixture, quality, simhash, token_counts, topk, training_order, warc
+from gapgrid.llm import bpe, exact_dedup, langid, mixture, pieces, quality, simhash, spelling, token_counts, topk, training_order, warc
 from gapgrid.llm.common import read_table
 
 #: Whole-number weights of nodes among their siblings; names not listed weigh 1.
@@ -60,6 +60,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    out = pieces.decode_documents(pieces.encode_documents(read_table(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc, op2_language_id, op3_simhash, op4_training_order, op5_mixture, op6_exact_dedup, op7_token_counts, op8_top_k, op9_quality,
-                            op10_byte_bpe, pipeline)}
+                            op10_byte_bpe, op11_spelling, op13_sentencepiece, pipeline)}
 
 
 def _weight(level: str) -> str:
