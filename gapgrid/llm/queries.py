@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapgrid.llm import bpe, exact_dedup, langid, mixture, pieces, quality, simhash, spelling, token_counts, topk, training_order, warc
+from gapgrid.llm import bpe, collocations, exact_dedup, langid, mixture, pieces, quality, simhash, spelling, token_counts, topk, training_order, warc
 from gapgrid.llm.common import read_table
 
 #: Whole-number weights of nodes among their siblings; names not listed weigh 1.
@@ -64,6 +64,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     out = pieces.decode_documents(pieces.encode_documents(read_table(spark, sf_dir, "documents"), path), path)
@@ -79,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc, op2_language_id, op3_simhash, op4_training_order, op5_mixture, op6_exact_dedup, op7_token_counts, op8_top_k, op9_quality,
-                            op10_byte_bpe, op11_spelling, op13_sentencepiece, pipeline)}
+                            op10_byte_bpe, op11_spelling, op12_collocations, op13_sentencepiece, pipeline)}
 
 
 def _weight(level: str) -> str:
@@ -110,7 +114,22 @@ o AS (SELECT d.*, epochs, rest, substr(md5('{MIX_SEED}:' || CAST(epochs AS VARCH
 c AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS cum FROM o)
 SELECT doc_id, domain, lang, source, tokens, CAST(epochs + CASE WHEN rest > 0 AND cum <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM c"""
 
+#: A phrase of several words starts at each place of the table of words; its parts are looked up by their text.
+PHRASE_SQL = """WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+ unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS (SELECT row_number() OVER () AS p, lang, list_filter(string_split_regex(piece, '[ \\t]'), lambda w: w <> '') AS w FROM d),
+t AS (SELECT lang, count(*)::HUGEINT AS n FROM (SELECT lang, unnest(w) FROM p) GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*)::HUGEINT AS a FROM p, range(1, 6) s(m), LATERAL unnest(range(1, len(w) - m + 2)) u(i) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT g.lang, phrase, m, a, k, array_to_string((string_split(phrase, ' '))[:k], ' ') AS front, array_to_string((string_split(phrase, ' '))[k + 1:], ' ') AS back FROM g, range(1, 5) s(k) WHERE k < m),
+s AS (SELECT c.lang, c.phrase, c.m, c.a, x.a AS l, y.a AS r, t.n, k, 1000 * c.a * t.n // (x.a * y.a) AS score FROM c JOIN t USING (lang)
+ JOIN g x ON x.lang = c.lang AND x.phrase = front JOIN g y ON y.lang = c.lang AND y.phrase = back),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+e AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.lang = b.lang AND g.m > b.m AND 100 * g.a >= 100 * b.a AND contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' '))),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM e)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM z WHERE rank <= 2000"""
+
 ORACLES: dict[str, str] = {
+    "op12_collocations": PHRASE_SQL,
     "op5_mixture": MIX_SQL,
     "op6_exact_dedup": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept,
  sha256(coalesce(text, '')) AS text_sha256 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
