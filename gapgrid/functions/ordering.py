@@ -1,8 +1,8 @@
 """Ranks, running sums and seeded orders over whole tables without a one-task window.
 
-A window without a partition moves every row to one task. Here the order is cut into ranges first: split
-points come from a bounded hash sample, each range is ranked on its own, and the totals of the earlier
-ranges (one row per range) are added back. Split points are literals, so a retried task sees the same ranges.
+A window without a partition moves every row to one task. Here Spark's range partitioning cuts the order into ranges first, which are
+written with their numbers; each range is ranked on its own, and the totals of the earlier ranges (one row per range)
+are added back by a join. The plan is the same for two ranges and for a million.
 """
 
 from __future__ import annotations
@@ -14,72 +14,45 @@ from pyspark.sql import functions as F
 
 from gapgrid.session import materialize
 
-SAMPLE_PER_RANGE = 64
 ROWS_PER_RANGE = 200_000  # rows that one range or slice should hold; their number follows from the counted rows
 
 
-def _before(keys: list[str], types: dict, bound: tuple) -> Column:
-    """Lexicographic ``keys < bound``."""
-    out = F.lit(False)
-    for name, value in reversed(list(zip(keys, bound))):
-        lit = F.lit(value).cast(types[name])
-        out = (F.col(name) < lit) | ((F.col(name) == lit) & out)
-    return out
+def in_ranges(df: DataFrame, keys: list[str], ranges: int) -> DataFrame:
+    """``df`` with its range in the order of ``keys`` as ``_range``, written once.
 
-
-def _range_of(keys: list[str], types: dict, bounds: list[tuple], lo: int, hi: int) -> Column:
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return (F.when(_before(keys, types, bounds[mid]), _range_of(keys, types, bounds, lo, mid))
-            .otherwise(_range_of(keys, types, bounds, mid + 1, hi)))
-
-
-def split_points(df: DataFrame, keys: list[str], ranges: int, total: int | None = None) -> list[tuple]:
-    """Bounds that cut ``df`` into about ``ranges`` equal ranges of the key order.
-
-    About ``ranges * SAMPLE_PER_RANGE`` keys reach the driver, chosen by a hash threshold set from the row count.
+    Spark samples the keys and deals the rows by range; the number of the range is the number of the partition. It is written with the
+    rows, so that whatever is computed later, or again after a lost executor, sees the same ranges.
     """
-    total = df.count() if total is None else total
-    if ranges < 2 or total < 2:
-        return []
-    below = min(1.0, ranges * SAMPLE_PER_RANGE / total) * (1 << 40)
-    some = df.select(*keys).where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < F.lit(below))
-    rows = sorted(tuple(r) for r in some.collect())
-    return sorted({rows[i * len(rows) // ranges] for i in range(1, ranges)}) if rows else []
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    dealt = df.repartitionByRange(ranges, *keys).withColumn("_range", F.spark_partition_id())
+    return materialize(dealt.coalesce(tasks) if ranges > tasks else dealt, "ranges")
 
 
 def running(df: DataFrame, keys: list[str], row_number: str | None = None, sums: dict[str, str] | None = None,
             ranges: int | None = None) -> DataFrame:
     """Add the position and inclusive running sums over the whole table in ascending ``keys`` order.
 
-    ``keys`` must be non-null and identify a row. ``sums`` maps new column → summed column.
+    ``keys`` must be non-null and identify a row. ``sums`` maps new column → summed column. Running values are taken inside ranges;
+    a table of one row per range holds what the ranges before add up to and is joined by the range's number.
     """
     sums = sums or {}
-    types = {f.name: f.dataType for f in df.schema.fields}
-    total = df.count()
-    ranges = ranges or -(-total // ROWS_PER_RANGE)
-    if ranges > 1:
-        df = materialize(df, "ordered")  # counted, sampled, ranked and totalled
-    bounds = split_points(df, keys, ranges, total)
+    ranges = ranges or -(-df.count() // ROWS_PER_RANGE)
+    cut = in_ranges(materialize(df, "ordered"), keys, ranges) if ranges > 1 else df.withColumn("_range", F.lit(0))
     w = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    cut = df.withColumn("_range", _range_of(keys, types, bounds, 0, len(bounds)))
     local = cut.select("*", *([F.count(F.lit(1)).over(w).alias(row_number)] if row_number else []),
                        *[F.sum(c).over(w).alias(new) for new, c in sums.items()])
-    if not bounds:
+    if ranges < 2:
         return local.drop("_range")
-    parts = ([F.count(F.lit(1)).alias("_n")] if row_number else []) + [F.sum(c).alias(f"_s_{new}")
-                                                                     for new, c in sums.items()]
+    parts = {**({"_n": F.count(F.lit(1))} if row_number else {}), **{f"_s_{new}": F.sum(c) for new, c in sums.items()}}
     prior = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    added = (["_n"] if row_number else []) + [f"_s_{new}" for new in sums]
-    offsets = cut.groupBy("_range").agg(*parts).select(
-        "_range", *[F.coalesce(F.sum(a).over(prior), F.lit(0)).alias(a) for a in added])
-    out = local.join(F.broadcast(offsets), "_range")  # one row per range
+    before = cut.groupBy("_range").agg(*[v.alias(k) for k, v in parts.items()]).select(
+        "_range", *[F.coalesce(F.sum(k).over(prior), F.lit(0)).alias(k) for k in parts])
+    out = local.join(materialize(before, "range-totals"), "_range")
     if row_number:
         out = out.withColumn(row_number, F.col(row_number) + F.col("_n"))
     for new in sums:
         out = out.withColumn(new, F.col(new) + F.col(f"_s_{new}"))
-    return out.drop("_range", *added)
+    return out.drop("_range", *parts)
 
 
 def average_ranks(df: DataFrame, value: str, rank: str = "rank") -> DataFrame:

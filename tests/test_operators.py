@@ -20,12 +20,21 @@ def cells(spark, qr):
 def test_running_matches_a_plain_scan_when_split(spark):
     rows = [(float(i % 37), i) for i in range(3000)]
     df = spark.createDataFrame(rows, "v double, k long")
-    assert ordering.split_points(df, ["v", "k"], 3)
-    got = {r.k: (r.n, r.s) for r in ordering.running(df, ["v", "k"], "n", {"s": "v"}, ranges=3).collect()}
-    total = 0.0
-    for i, (v, k) in enumerate(sorted(rows), 1):
-        total += v
-        assert got[k] == (i, total)
+    for ranges in (1, 3, 5000):
+        got = {r.k: (r.n, r.s) for r in ordering.running(df, ["v", "k"], "n", {"s": "v"}, ranges=ranges).collect()}
+        total = 0.0
+        for i, (v, k) in enumerate(sorted(rows), 1):
+            total += v
+            assert got[k] == (i, total)
+
+
+def test_ranges_follow_the_order_and_don_t_grow_the_plan(spark):
+    df = spark.range(20000).select((F.col("id") * 7919 % 20011).alias("k"), F.lit("x").alias("t"))
+    cut = ordering.in_ranges(df, ["k"], 5000)
+    spans = sorted((r.a, r.b, r.c) for r in cut.groupBy("_range").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.min("_range").alias("c")).collect())
+    assert len(spans) > 4000 and all(x[1] < y[0] and x[2] < y[2] for x, y in zip(spans, spans[1:]))
+    plans = [ordering.running(df, ["k"], "n", ranges=r)._jdf.queryExecution().optimizedPlan().toString() for r in (2, 5000)]
+    assert abs(len(plans[0]) - len(plans[1])) < 100
 
 
 def test_hash_rank_is_a_permutation_per_group(spark):
