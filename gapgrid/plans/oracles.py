@@ -387,8 +387,10 @@ sel("priority_zones", f"""SELECT cell, population, query_count, {rr('expected')}
     {pointed(f"(SELECT lat_orig, lon_orig FROM trips WHERE {VALID})", 'lat_orig', 'lon_orig', 'cell')}) GROUP BY cell) USING (cell)))) ORDER BY gap_pearson, cell LIMIT {P.top_k}""")
 sel("read_trip_exports", """SELECT count(*) AS n, count(user_id) AS users, count(ts) AS times, count(dist_m) AS distances, round(sum(lat_orig), 4) AS sum_lat,
     round(sum(dist_m), 2) AS sum_dist, date_trunc('second', min(ts)) AS first_ts, date_trunc('second', max(ts)) AS last_ts, CAST(sum(week(ts)) AS BIGINT) AS sum_week,
-    count(*) FILTER (muni = 'Chimor\u00e9') AS named, count(*) FILTER (source_file = '%s') AS notes FROM trips""" % FILE_B)
-sel("detect_encoding", f"SELECT DISTINCT CASE WHEN source_file = '{FILE_B}' THEN 'latin-1' ELSE 'utf-8' END AS encoding FROM trips")
+    count(*) FILTER (muni = 'Chimor\u00e9') AS named, count(*) FILTER (source_file = '%s') AS notes,
+    CAST(sum(event_id) FILTER (source_file = '%s') AS BIGINT) AS sum_notes FROM trips""" % (FILE_B, FILE_B))
+sel("detect_encoding", f"""SELECT DISTINCT CASE WHEN source_file = '{FILE_B}' THEN 'b' ELSE 'a' END AS folder, CASE WHEN source_file = '{FILE_B}' THEN 'latin-1' ELSE 'utf-8' END AS encoding FROM trips
+    UNION ALL SELECT 'c', 'utf-8'""")
 sel("batch_of_file", f"SELECT source_file, {BATCH} AS batch, count(*) AS n FROM trips GROUP BY ALL")
 sel("file_registry", f"""SELECT CASE WHEN source_file = '{FILE_B}' THEN 'latin-1' ELSE 'utf-8' END AS source_encoding, CASE WHEN source_file = '{FILE_B}' THEN 10 ELSE 9 END AS columns, count(*) AS rows
     FROM trips GROUP BY ALL UNION ALL SELECT 'utf-8', 2, 0""")
@@ -434,7 +436,7 @@ sel("iso_year_week", "SELECT CAST(isoyear(d) AS INT) AS iso_year, CAST(week(d) A
 sel("ts_parts", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(hour(ts) AS INT) AS hour, CAST(isodow(ts) AS INT) AS weekday, count(*) AS n FROM trips GROUP BY ALL")
 sel("repair_mojibake", "SELECT doc_id, md5(text) AS repaired FROM documents")
 sel("haversine_km", f"SELECT point_id, {rr(haversine(*CENTRE, 'lat', 'lon', 6371))} AS km FROM points")
-sel("haversine_m", f"SELECT event_id, source_file, {rr(haversine('lat_orig', 'lon_orig', 'lat_dest', 'lon_dest', 6371000), 3)} AS m FROM trips WHERE lat_orig <> 0")
+sel("haversine_m", f"SELECT event_id, source_file, {rr(haversine('lat_orig', 'lon_orig', 'lat_dest', 'lon_dest', 6371000), 3)} AS m FROM trips")
 sel("project_xy", f"SELECT point_id, round(x, 3) AS x, round(y, 3) AS y FROM ({projected('points', 'lat', 'lon')})")
 sel("unproject_xy", f"SELECT point_id, round(lat2, 7) AS lat, round(lon2, 7) AS lon FROM ({unprojected('(' + projected('points', 'lat', 'lon') + ')', 'x', 'y')})")
 sel("log1p_design", "SELECT cell, round(ln(1 + pop_ring1), 9) AS x_ring, round(dist_centre_km, 9) AS x_dist FROM tab")
@@ -471,7 +473,7 @@ sel("largest_component", "SELECT cell FROM main1")
 sel("convex_hull", "SELECT lon, lat FROM ring1")
 sel("study_area", "SELECT (SELECT count(*) FROM main1) AS cells, (SELECT count(*) FROM ring1) AS vertices, round(km2, 3) AS area_km2 FROM km1")
 sel("within_area", f"SELECT k AS point_id, inside FROM ({inside('points', 'point_id', 'lat', 'lon')})")
-sel("add_inside", f"SELECT inside, count(*) AS n FROM trips JOIN origin_in USING (lat_orig, lon_orig) WHERE {VALID} GROUP BY inside")
+sel("add_inside", "SELECT inside, count(*) AS n FROM trips JOIN origin_in USING (lat_orig, lon_orig) GROUP BY inside")
 sel("area_km2", "SELECT (SELECT count(*) FROM origins) AS origins, round(km2, 3) AS area_km2 FROM km1")
 sel("area_centroid", "SELECT (SELECT count(*) FROM origins) AS origins, round(clat, 5) AS lat, round(clon, 5) AS lon FROM centroid")
 sel("area_bounds", "SELECT min(lon) AS lon_min, min(lat) AS lat_min, max(lon) AS lon_max, max(lat) AS lat_max FROM origins JOIN main1 USING (cell)")

@@ -72,15 +72,15 @@ QUERIES["priority_zones"] = priority_zones
 # ---- sources and sinks -----------------------------------------------------
 
 def _export_files(st: Stages) -> str:
-    """The trips written back as CSV exports: UTF-8 and Latin-1 files, two headers, and a file with a header only."""
+    """The trips written back as CSV exports: UTF-8 and Latin-1 files, two headers, notes over two lines, and a file with a header only."""
     path, spark = scratch(st.trips, "exports"), st.trips.sparkSession
     t = st.trips.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("date"), F.col("user_id").alias("userID"),
                         F.col("lat_orig").alias("origin_latitude"), F.col("lon_orig").alias("origin_longitude"),
                         F.col("lat_dest").alias("destination_latitude"), F.col("lon_dest").alias("destination_longitude"),
                         F.col("dist_m").alias("distancia"), "event_id", F.col("muni").alias("origin_municipio"), "source_file")
     t.where(F.col("source_file") == views.FILE_A).drop("source_file").write.csv(f"{path}/a", header=True)
-    b = t.where(F.col("source_file") == views.FILE_B).drop("source_file").withColumnRenamed("userID", "user_id").withColumn("nota", F.lit("é"))
-    b.write.csv(f"{path}/b", header=True, encoding="ISO-8859-1")
+    b = t.where(F.col("source_file") == views.FILE_B).drop("source_file").withColumnRenamed("userID", "user_id").withColumn("nota", F.concat(F.lit('é,\n"'), "event_id", F.lit('"')))
+    b.write.csv(f"{path}/b", header=True, encoding="ISO-8859-1", escape='"')
     spark.createDataFrame([("date,userID",)], "value string").coalesce(1).write.text(f"{path}/c")
     return f"{path}/*/part*"
 
@@ -91,13 +91,14 @@ def _(st):
     return trips.agg(F.count(F.lit(1)).alias("n"), F.count("user_id").alias("users"), F.count("ts").alias("times"),
                      F.count("dist_m").alias("distances"), F.round(F.sum("lat_orig"), 4).alias("sum_lat"),
                      F.round(F.sum("dist_m"), 2).alias("sum_dist"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-                     F.sum("week").alias("sum_week"), F.count_if(F.col("muni") == views.NAME).alias("named"), F.count("nota").alias("notes"))
+                     F.sum("week").alias("sum_week"), F.count_if(F.col("muni") == views.NAME).alias("named"), F.count("nota").alias("notes"),
+                     F.sum(F.regexp_extract("nota", r'^é,\n"(\d+)"$', 1).cast("long")).alias("sum_notes"))
 
 
 @query("detect_encoding")
 def _(st):
     enc = exports.detect_encoding(st.trips.sparkSession, _export_files(st))
-    return enc.select("encoding").distinct()
+    return enc.select(F.regexp_extract("path", "/([abc])/[^/]*$", 1).alias("folder"), "encoding").distinct()
 
 
 @query("batch_of_file")
@@ -249,7 +250,7 @@ def _(st):
 
 @query("haversine_m")
 def _(st):
-    return rounded(st.trips.where("lat_orig <> 0").select("event_id", "source_file", S.haversine_m("lat_orig", "lon_orig", "lat_dest", "lon_dest").alias("m")), 3)
+    return rounded(st.trips.select("event_id", "source_file", S.haversine_m("lat_orig", "lon_orig", "lat_dest", "lon_dest").alias("m")), 3)
 
 
 @query("project_xy")
@@ -429,7 +430,7 @@ def _one(st: Stages, **values) -> DataFrame:
 
 @query("add_inside")
 def _(st):
-    return geometry.add_inside(st.trips.where(S.valid_origin(P.bbox)), st.area, "lat_orig", "lon_orig", "inside", P).groupBy(
+    return geometry.add_inside(st.trips, st.area, "lat_orig", "lon_orig", "inside", P).groupBy(
         "inside").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapgrid.functions import scalars as S
 from gapgrid.session import materialize
+from gapgrid.sources.records import records, unquoted_fields
 
 # Header variants of the exports and their common names.
 RENAMES = {
@@ -25,22 +28,19 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def _lines(spark: SparkSession, glob: str) -> DataFrame:
-    return spark.read.text(glob).select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias("_at"),
-                                        F.monotonically_increasing_id().alias("_i"))
-
-
-def file_facts(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, source_file, encoding, header, columns, rows) of every file, header-only files too, from one pass over the lines.
+def file_facts(rows: DataFrame) -> DataFrame:
+    """(path, source_file, encoding, header, raw, columns, rows, copies) of every file of ``rows`` (see ``records``), header-only files too.
 
-    A file is UTF-8 when every line is valid, otherwise Latin-1; the header is the first line of its first split.
+    A file is UTF-8 when every record is valid, otherwise Latin-1; the header (``raw`` as read) is the first record of its first split. ``copies`` counts
+    the records that look like the header, itself included.
     """
-    first = F.min(F.when(F.col("_at") == 0, F.struct("_i", "value")))
-    facts = _lines(spark, glob).groupBy("path").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("ok"), first.alias("f"), F.count_if(F.trim("value") != "").alias("lines"))
+    first = F.min(F.when(F.col("at") == 0, F.struct("i", "value")))
+    facts = rows.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("ok"), first.alias("f"), F.count(F.lit(1)).alias("lines"))
+    same = rows.join(facts.select("path", F.col("f.value").alias("raw")), "path").where("value = raw").groupBy("path").agg(F.count(F.lit(1)).alias("copies"))
+    facts = facts.join(same, "path")
     text = F.when(F.col("ok"), F.col("f.value")).otherwise(_latin(F.col("f.value")))
     return facts.select("path", base_name(F.col("path")).alias("source_file"), F.when(F.col("ok"), "utf-8").otherwise("latin-1").alias("encoding"),
-                        text.alias("header"), F.size(F.split(text, ",")).alias("columns"), (F.col("lines") - 1).alias("rows"))
+                        text.alias("header"), F.col("f.value").alias("raw"), unquoted_fields(text).alias("columns"), (F.col("lines") - 1).alias("rows"), "copies")
 
 
 def _latin(text: Column) -> Column:
@@ -49,7 +49,7 @@ def _latin(text: Column) -> Column:
 
 def detect_encoding(spark: SparkSession, glob: str) -> DataFrame:
     """(path, source_file, encoding) of every file."""
-    return file_facts(spark, glob).select("path", "source_file", "encoding")
+    return file_facts(records(spark, glob)[0]).select("path", "source_file", "encoding")
 
 
 def declared_period(files: DataFrame, name: str = "source_file") -> DataFrame:
@@ -62,21 +62,26 @@ def declared_period(files: DataFrame, name: str = "source_file") -> DataFrame:
 def read_trip_exports(spark: SparkSession, glob: str, renames: dict[str, str] = RENAMES, types: dict[str, str] = TYPES) -> tuple[DataFrame, DataFrame]:
     """(trips, registry): all exports as one table with common names, lineage, ``ts`` and ISO year and week.
 
-    Two passes: one for the facts of the files, one for the rows. Every line is parsed once, and a header only says which
-    field has which name; names come from the distinct headers (a handful). Columns without a declared type stay text.
-    The registry has one row per file. Rows are not sorted; see ``stable_sort``.
+    Passes over the lines: one for open quotes, one for the facts of the files, one for the rows. Every record is parsed once, and a header only
+    says which field has which name; names come from the distinct headers (a handful). Columns without a declared type stay text. Quoted
+    fields may hold commas, doubled quotes and line breaks (read as line feeds). A record equal to its header is a record. Blank lines
+    between records are skipped. The registry has one row per file. Rows are not sorted; see ``stable_sort``.
     """
-    facts = materialize(file_facts(spark, glob), "file-facts")
+    every, _ = records(spark, glob)
+    facts = materialize(file_facts(every), "file-facts")
     heads = [r.header for r in facts.select("header").distinct().collect() if r.header]
-    names = {h: [renames.get(c.strip(), c.strip()) for c in h.split(",")] for h in sorted(heads)}
-    every = list(dict.fromkeys(c for cols in names.values() for c in cols))
+    names = {h: [renames.get(c.strip(), c.strip()) for c in next(csv.reader([h]))] for h in sorted(heads)}
+    columns = list(dict.fromkeys(c for cols in names.values() for c in cols))
     width = max([len(c) for c in names.values()], default=1)
-    text = F.when(F.col("encoding") == "utf-8", F.col("value")).otherwise(_latin(F.col("value")))
-    rows = _lines(spark, glob).join(facts.select("path", "encoding", "header", "source_file"), "path").withColumn("value", text)
-    rows = rows.where((F.col("value") != F.col("header")) & (F.trim("value") != ""))
-    rows = rows.withColumn("_f", F.from_csv("value", ", ".join(f"f{k} string" for k in range(width))))
+    about = facts.select("path", "encoding", "header", "raw", "source_file")
+    rows = every.join(about, "path").where("value <> raw").select("value", *about.columns[1:])
+    # records that look like the header stand in the facts as often as they occur
+    alike = facts.where("copies > 1").withColumn("k", F.explode(F.sequence(F.lit(2), F.col("copies").cast("int"))))
+    rows = rows.unionByName(alike.select(F.col("raw").alias("value"), *about.columns[1:]))
+    rows = rows.withColumn("value", F.when(F.col("encoding") == "utf-8", F.col("value")).otherwise(_latin(F.col("value"))))
+    rows = rows.withColumn("_f", F.from_csv("value", ", ".join(f"f{k} string" for k in range(width)), {"escape": '"', "multiLine": "true"}))
     cols = []
-    for c in every:
+    for c in columns:
         field = F.lit(None).cast("string")
         for h, own in names.items():
             if c in own:
@@ -84,7 +89,7 @@ def read_trip_exports(spark: SparkSession, glob: str, renames: dict[str, str] =
         cols.append((field.try_cast(types[c]) if c in types else field).alias(c))
     file = F.col("source_file")
     trips = rows.select(*cols, file, S.batch_of_file(file).alias("source_batch"), F.col("encoding").alias("source_encoding"))
-    if DATE_COLUMN not in every:
+    if DATE_COLUMN not in columns:
         trips = trips.withColumn(DATE_COLUMN, F.lit(None).cast("string"))
     trips = trips.withColumn("ts", S.parse_ts_lenient(F.col(DATE_COLUMN)))
     return trips.withColumn("year", S.iso_year("ts")).withColumn("week", S.iso_week("ts")), file_registry(facts)
