@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapgrid.functions import grid
 from gapgrid.functions import scalars as S
 from gapgrid.operators.geometry import StudyArea, add_inside, convex_hull, largest_component, make_area
 from gapgrid.params import DEFAULT, LINEAGE, Params
+from gapgrid.session import materialize
 
 RULES = {0: "raw", 1: "zero origin", 2: "origin outside the box", 3: "copy of an exact duplicate",
          4: "origin outside the study area", 5: "distance above the maximum", 6: "anomalous user"}
@@ -18,18 +19,35 @@ def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in LINEAGE]
 
 
-def first_distinct(df: DataFrame, copies: str = "copies") -> DataFrame:
+def _presence(digests: DataFrame, h: str) -> DataFrame:
+    """(word, bits): the 2^25 presence bits of the digests ``h`` as at most 2^19 whole numbers, a fixed size."""
+    slot = F.pmod(F.col(h), F.lit(1 << 25))
+    return digests.select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("word").agg(
+        F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+
+
+def first_distinct(df: DataFrame, copies: str = "copies", among: Column | None = None) -> DataFrame:
     """One row per set of exact copies, with the lineage of the first file and the number of copies.
 
-    Copies agree on every data column, so a grouped minimum picks the survivor. Unlike a row number it
-    combines on the map side: a group that holds a third of all rows shuffles one row per task.
+    Copies agree on every data column. Digests of the rows are counted first (eight bytes a row are shuffled, and combined before that);
+    those that occur twice set bits of a table of fixed size, and only rows whose bit is set are grouped by all their columns. The rest, most
+    rows, pass in the map stage. A shared bit or digest costs a shuffled row and changes nothing. Rows outside of ``among`` (not
+    true) pass as they are, with one copy each.
     """
-    lineage = [c for c in LINEAGE if c in df.columns]
+    lineage, data = [c for c in LINEAGE if c in df.columns], data_columns(df)
+    among = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
+    rows = df.withColumn("_among", among).withColumn("_h", F.xxhash64(*data))
+    twice = rows.where("_among").groupBy("_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bits = F.broadcast(materialize(_presence(twice, "_h"), "presence"))  # 2^19 rows of two numbers at most
+    slot = F.pmod(F.col("_h"), F.lit(1 << 25))
+    marked = rows.withColumn("_slot", slot).join(bits, F.shiftright("_slot", 6) == F.col("word"), "left")
+    again = F.col("_among") & F.coalesce(F.expr("shiftright(bits, cast(_slot & 63 as int)) & 1L") == 1, F.lit(False))
+    marked = marked.withColumn("_again", again)
     aggs = [F.count(F.lit(1)).alias(copies)]
     if lineage:
         aggs.append(F.min(F.struct(*lineage)).alias("_first"))
-    out = df.groupBy(*data_columns(df)).agg(*aggs)
-    return out.select(*data_columns(df), *[F.col(f"_first.{c}").alias(c) for c in lineage], copies)
+    merged = marked.where("_again").groupBy(*data).agg(*aggs).select(*data, *[F.col(f"_first.{c}").alias(c) for c in lineage], copies)
+    return marked.where("NOT _again").select(*data, *lineage, F.lit(1).cast("long").alias(copies)).unionByName(merged)
 
 
 def exclude_users(df: DataFrame, users: DataFrame, user: str = "user_id") -> DataFrame:
@@ -56,7 +74,7 @@ def assign_steps(raw: DataFrame, area: StudyArea, anomalous: DataFrame, p: Param
     """One row per set of copies with ``drop_step``: the first rule that removes it, 0 if it is kept.
 
     A null in a rule removes the row at that rule. The copies rule only removes surplus copies, so it is not
-    a step of the surviving row but is read from ``copies``.
+    a step of the surviving row but is read from ``copies``. Rows that the first two rules remove are not looked at for copies and stand one by one.
     """
     bad = anomalous.select("user_id").distinct().withColumn("_bad", F.lit(True))
     step = (F.when(F.coalesce(S.zero_origin(), F.lit(True)), 1)
@@ -64,7 +82,8 @@ def assign_steps(raw: DataFrame, area: StudyArea, anomalous: DataFrame, p: Param
             .when(~F.col("_inside"), 4)
             .when(F.coalesce(F.col("dist_m") > p.dist_max_m, F.lit(True)), 5)
             .when(F.col("user_id").isNull() | F.coalesce(F.col("_bad"), F.lit(False)), 6).otherwise(0))
-    rows = add_inside(first_distinct(raw), area, "lat_orig", "lon_orig", "_inside", p)
+    first_two = F.coalesce(S.zero_origin(), F.lit(True)) | ~F.coalesce(S.in_bbox(p.bbox), F.lit(False))
+    rows = add_inside(first_distinct(raw, among=~first_two), area, "lat_orig", "lon_orig", "_inside", p)
     return rows.join(bad, "user_id", "left").withColumn("drop_step", step).drop("_bad", "_inside")
 
 

@@ -116,23 +116,49 @@ def label_purity(modal: DataFrame) -> DataFrame:
     return modal.withColumn("pct_modal", F.col("modal_queries") / F.col("total_queries") * 100)
 
 
+def ring_distance(cells: DataFrame, targets: DataFrame, k_max: int) -> DataFrame:
+    """(cell, ring) of each of ``cells`` that has a target within ``k_max`` rings: the ring of its nearest one.
+
+    A distance transform by grid lines. On the line ``b`` rows away the cells at distance |b| form one interval, and the distance grows by one
+    per cell beyond its ends. So per line only the next target from the interval's one end, and the one before its other end, can be the nearest:
+    two ordered lookups on each of the 2 ``k_max`` + 1 lines around a cell, whatever the distance is.
+    """
+    q, r = grid.cell_q("cell"), grid.cell_r("cell")
+    seek = cells.select("cell").distinct().select("cell", q.alias("q"), r.alias("r"), F.explode(F.sequence(F.lit(-k_max), F.lit(k_max))).alias("b"))
+    lo, hi = F.col("q") - F.greatest("b", F.lit(0)), F.col("q") + F.greatest(-F.col("b"), F.lit(0))
+    seek = seek.select("cell", "b", (F.col("r") + F.col("b")).alias("line"), lo.alias("lo"), hi.alias("hi"))
+    none = F.lit(None).cast("long")
+    marks = targets.select("cell").distinct().select(r.alias("line"), q.alias("at"), q.alias("mark"), none.alias("cell"), F.lit(0).alias("b"), none.alias("lo"), none.alias("hi"))
+    ends = [seek.select("line", F.col(e).alias("at"), none.alias("mark"), "cell", "b", "lo", "hi") for e in ("lo", "hi")]
+    first = F.col("mark").isNull()  # targets come before the lookups at the same place
+    found = []
+    for end, order, beyond in ((ends[0], F.desc("at"), lambda m: m - F.col("hi")), (ends[1], F.asc("at"), lambda m: F.col("lo") - m)):
+        w = Window.partitionBy("line").orderBy(order, first).rowsBetween(Window.unboundedPreceding, 0)
+        near = marks.unionByName(end).withColumn("m", F.last("mark", ignorenulls=True).over(w)).where(F.col("cell").isNotNull() & F.col("m").isNotNull())
+        found.append(near.select("cell", (F.abs("b") + F.greatest(beyond(F.col("m")), F.lit(0))).cast("int").alias("ring")))
+    return found[0].unionByName(found[1]).groupBy("cell").agg(F.min("ring").alias("ring")).where(F.col("ring") <= k_max)
+
+
+def exact_ring(cell: str, k: str) -> Column:
+    """The 6 k cells of ring ``k`` (a column, 1 or more) around ``cell``, line by line."""
+    def line(b: Column) -> Column:
+        left, right, gap = -F.greatest(b, F.lit(0)), F.greatest(-b, F.lit(0)), F.col(k) - F.abs(b)
+        steps = F.when(gap == 0, F.sequence(left, right)).otherwise(F.array(left - gap, right + gap))
+        return F.transform(steps, lambda dq: F.col(cell) + dq.cast("bigint") * grid.STEP_Q + b)
+
+    return F.flatten(F.transform(F.sequence(-F.col(k), F.col(k)), line))
+
+
 def nearest_label(cells: DataFrame, labelled: DataFrame, k_max: int) -> DataFrame:
-    """(cell, label) of the modal label among the nearest labelled ring of each cell, ring ≤ ``k_max``.
+    """(cell, label) of the modal label among the nearest labelled ring of each cell, 1 <= ring <= ``k_max``; ties to the smallest label.
 
-    Rounds of growing rings; only cells still without a label enter the next round.
+    Cells that hold a label themselves are left out. The ring's number comes from a distance transform, and only that ring is looked up.
     """
     known = labelled.where(F.col("label").isNotNull()).select("cell", "label")
-    todo, parts, lo = cells.select("cell"), [], 1
-    for hi in sorted({min(h, k_max) for h in (1, 4, 12, k_max)}):
-        votes = grid.neighbour_join(todo, known, hi, lo).groupBy("src", "ring", "label").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("src").agg(F.min(F.struct("ring", (-F.col("n")).alias("neg"), "label")).alias("m"))
-        found = materialize(best.select(F.col("src").alias("cell"), F.col("m.label").alias("label")), "labelled")
-        parts.append(found)
-        todo, lo = materialize(todo.join(found, "cell", "left_anti"), "unlabelled"), hi + 1
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    rings = materialize(ring_distance(cells.join(known, "cell", "left_anti"), known, k_max), "rings")
+    around = rings.select("cell", F.explode(exact_ring("cell", "ring")).alias("dst"))
+    votes = around.join(known.withColumnRenamed("cell", "dst"), "dst").groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n"))
+    return votes.groupBy("cell").agg(F.min(F.struct((-F.col("n")).alias("neg"), "label")).alias("m")).select("cell", F.col("m.label").alias("label"))
 
 
 def zone_municipality(zones: DataFrame, modal: DataFrame, p: Params = DEFAULT) -> DataFrame:

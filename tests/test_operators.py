@@ -332,3 +332,39 @@ def test_no_gap_gives_nulls(spark):
 def test_area_variants_grow_with_radius(stages):
     rows = {r.variant: r for r in geometry.area_variants(stages.origins, (None, 1), DEFAULT).collect()}
     assert rows["component k=1"].cells <= rows["all cells"].cells and rows["component k=1"].area_km2 <= rows["all cells"].area_km2
+
+
+def test_ring_distance_and_labels_by_brute_force(spark):
+    rnd = random.Random(11)
+    dist = lambda a, b: (abs(a[0] - b[0]) + abs(a[1] - b[1]) + abs(a[0] + a[1] - b[0] - b[1])) // 2
+    for k_max, spread, n in ((30, 60, 25), (3, 9, 20), (1, 3, 8)):
+        every = sorted({(rnd.randint(-spread, spread), rnd.randint(-spread, spread)) for _ in range(6 * n)})
+        lab, todo = {c: rnd.choice("abc") for c in every[::5]}, [c for i, c in enumerate(every) if i % 5]
+        ids = {r.cell: (r.q, r.r) for r in spark.createDataFrame(every, "q long, r long").select("q", "r", grid.pack(F.col("q"), F.col("r"), 8).alias("cell")).collect()}
+        back = {v: k for k, v in ids.items()}
+        known = spark.createDataFrame([(back[c], x) for c, x in lab.items()] + [(back[todo[0]], None)], "cell long, label string")
+        got = {ids[r.cell]: r.label for r in zones.nearest_label(cells(spark, todo), known, k_max).collect()}
+        want = {}
+        for c in todo:
+            near = min(dist(c, x) for x in lab)
+            if near <= k_max:
+                votes = [v for x, v in lab.items() if dist(c, x) == near]
+                want[c] = min(votes, key=lambda v: (-votes.count(v), v))
+        assert got == want
+
+
+def test_copies_are_merged_and_the_rest_passes(spark):
+    rnd = random.Random(12)
+    rows = [(rnd.choice([None, 1, 2]), rnd.choice([0.0, -0.0, 1.5, None]), rnd.choice("xy"), f"f{rnd.randint(0, 3)}") for _ in range(60)]
+    rows += [(i, float(i), "z", "f9") for i in range(100, 200)] + [(500, 1.0, "hot", f"f{i % 7}") for i in range(300)]
+    df = spark.createDataFrame(rows, "a long, b double, c string, source_file string")
+    want = {}
+    for a, b, c, f in rows:
+        key = (a, b if b is None else b + 0.0, c)
+        n, low = want.get(key, (0, f))
+        want[key] = (n + 1, min(low, f))
+    got = {(r.a, r.b if r.b is None else r.b + 0.0, r.c): (r.copies, r.source_file) for r in cleaning.first_distinct(df).collect()}
+    assert got == want and cleaning.first_distinct(df).count() == len(want)
+    some = cleaning.first_distinct(df, among=F.col("c") != "hot")
+    assert some.where("c = 'hot'").count() == 300 and some.where("c <> 'hot'").count() == len(want) - 1
+    assert cleaning.first_distinct(df.limit(0)).count() == 0
