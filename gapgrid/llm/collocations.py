@@ -8,7 +8,7 @@ are known then; only phrases whose bound reaches the language's ``top``-th best
 parts that begin with other words and the phrases one word longer to the left. When no first word's bound reaches that score,
 ties included, the rest of the tree is left unread.
 
-Every expansion is a pass over the texts. A task writes texts as word numbers, looks phrases up in bitmaps of a fixed size (a
+Every expansion is a pass over the texts. A task hashes the words of its texts, looks phrases up in bitmaps of a fixed size (a
 phrase that is not meant may pass, which costs a count and no more) and counts them before they are shuffled as text.
 """
 
@@ -33,8 +33,9 @@ _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _BLANK[list(b" \t")] = True
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Words of UTF-8 texts (bytes and n + 1 offsets) with A-Z lower-cased, the text of each, and a number for each piece that rises with the words."""
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of UTF-8 texts (bytes and n + 1 offsets) with A-Z lower-cased, as bytes and their n + 1 offsets, the text of each word, and a number for
+    each piece that rises with the words."""
     low = data | np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
     stop = _BREAK[data]
     word = ~(stop | _BLANK[data])
@@ -44,10 +45,10 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     start[1:] &= ~word[:-1] | first[1:-1]
     begin = np.flatnonzero(start)
     row = np.searchsorted(offsets, begin, side="right") - 1
-    total = np.concatenate([[0], np.cumsum(word)])
-    ends = np.concatenate([total[begin], total[-1:]]).astype(np.int32)
-    piece = np.cumsum(stop)[begin] + row
-    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(low[word])]), row, piece
+    total = np.cumsum(word, dtype=np.int32)
+    ends = np.append(total[begin] - 1, total[-1:] if len(total) else np.zeros(1, np.int32)).astype(np.int32)
+    piece = np.cumsum(stop, dtype=np.int32)[begin] + row
+    return low[word], ends, row, piece
 
 
 def _step(h, word):
@@ -55,6 +56,28 @@ def _step(h, word):
     return h ^ (h >> np.uint64(29))
 
 
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first powers of the hash's base and of its inverse, ``n`` of them at least; kept per worker."""
+    if n > len(_POWERS[0]):
+        for k, base in enumerate((int(_ODD), pow(int(_ODD), -1, 1 << 64))):
+            p = np.full(max(n, SLICE), base, np.uint64)
+            p[0] = 1
+            _POWERS[k] = np.multiply.accumulate(p)
+    return _POWERS
+
+
+def word_hashes(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word (bytes and n + 1 offsets) that depends on its bytes alone: a polynomial in them, from differences of running sums."""
+    up, down = _powers(len(flat) + 1)
+    sums = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[:len(flat)], out=sums[1:])
+    h = (sums[ends[1:]] - sums[ends[:-1]]) * down[ends[:-1]]
+    return h ^ (h >> np.uint64(32))
+
+
 def _hashes(values: list[bytes], seed: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x, seed) for x in values], np.uint64)
 
@@ -63,15 +86,15 @@ def bitmap(phrases: DataFrame) -> np.ndarray:
     """A bitmap of 2^``BITS`` bits in which the bits of all ``phrases`` (lang, phrase) are set; put together in segments of 4 KB by Spark."""
     def run(batches):
         for batch in batches:
+            coded = batch.column(0).dictionary_encode()
+            h = _hashes([x.encode() for x in coded.dictionary.to_pylist()], 1)[coded.indices.to_numpy()]
             words = [x.split(b" ") for x in pc.cast(batch.column(1), pa.binary()).to_pylist()]
-            slots = np.empty(len(words), np.int64)
-            h = _hashes([x.encode() for x in batch.column(0).to_pylist()], 1)
-            for m in {len(w) for w in words}:
-                mine = [i for i, w in enumerate(words) if len(w) == m]
-                g = h[mine]
-                for k in range(m):
-                    g = _step(g, _hashes([words[i][k] for i in mine], 0))
-                slots[mine] = g >> np.uint64(64 - BITS)
+            flat, ends = [w for ws in words for w in ws], np.cumsum([0, *(len(ws) for ws in words)])
+            each = word_hashes(np.frombuffer(b"".join(flat), np.uint8), np.cumsum([0, *map(len, flat)]))
+            for k in range(int(np.diff(ends).max(initial=0))):
+                more = ends[:-1] + k < ends[1:]
+                h[more] = _step(h[more], each[ends[:-1][more] + k])
+            slots = (h >> np.uint64(64 - BITS)).astype(np.int64)
             segment = np.unique(slots >> 15)
             bits = np.zeros((len(segment), 1 << 15), np.uint8)
             bits[np.searchsorted(segment, slots >> 15), slots & 0x7FFF] = 1
@@ -85,24 +108,25 @@ def bitmap(phrases: DataFrame) -> np.ndarray:
 
 
 class Slice:
-    """Word numbers of a slice of texts, and phrase hashes from any place."""
+    """The words of a slice of texts, and phrase hashes from any place."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lang: np.ndarray, lang_hash: np.ndarray):
-        words, row, self.piece = words_of(data, offsets)
-        coded = words.dictionary_encode()
-        self.names, self.code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        self.flat, self.ends, row, self.piece = words_of(data, offsets)
         self.lang = lang[row]
-        self._word = _hashes(self.names.to_pylist(), 0)[self.code] if len(self.code) else np.empty(0, np.uint64)
-        self._lang = lang_hash[self.lang] if len(self.lang) else self._word
+        self._word = word_hashes(self.flat, self.ends)
+        self._lang = lang_hash[self.lang]
+
+    def __len__(self) -> int:
+        return len(self.piece)
 
     def begins(self, size: int) -> np.ndarray:
         """Places from which ``size`` words lie in one piece."""
-        n = len(self.code) - size + 1
+        n = len(self) - size + 1
         return np.flatnonzero(self.piece[:n] == self.piece[size - 1:]) if n > 0 else np.empty(0, np.int64)
 
     def inside(self, at: np.ndarray, size: int) -> np.ndarray:
         """Those of ``at`` from which ``size`` words lie in one piece."""
-        at = at[at + size <= len(self.code)]
+        at = at[at + size <= len(self)]
         return at[self.piece[at] == self.piece[at + size - 1]]
 
     def held(self, bits: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -115,11 +139,18 @@ class Slice:
 
     def counted(self, at: np.ndarray, size: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         """(language number, phrase, occurrences) of the phrases of ``size`` words at these places."""
-        v = len(self.names)
+        # numbers of those words that stand in such a phrase
+        some = np.zeros(len(self), bool)
+        for k in range(size):
+            some[at + k] = True
+        words = pa.Array.from_buffers(pa.binary(), len(self), [None, pa.py_buffer(self.ends), pa.py_buffer(self.flat)])
+        coded = words.filter(pa.array(some)).dictionary_encode()
+        code = np.empty(len(self), np.int64)
+        code[some] = coded.indices.to_numpy()
         key = self.lang[at]
         for k in range(size):
-            _, first, key, n = np.unique(key * v + self.code[at + k], return_index=True, return_inverse=True, return_counts=True)
-        parts = [self.names.take(pa.array(self.code[at[first] + k])) for k in range(size)]
+            _, first, key, n = np.unique(key * len(coded.dictionary) + code[at + k], return_index=True, return_inverse=True, return_counts=True)
+        parts = [coded.dictionary.take(pa.array(code[at[first] + k])) for k in range(size)]
         return self.lang[at[first]], pc.binary_join_element_wise(*parts, b" ") if size > 1 else parts[0], n
 
 
@@ -180,7 +211,7 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", top: int
     """
     spark = df.sparkSession
     docs = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), utf8_column(text).alias("text"))
-    words = materialize(counted(docs, lambda s: [(0, np.arange(len(s.code)), 1)]).select("lang", "phrase", "n"), "phrase-words")
+    words = materialize(counted(docs, lambda s: [(0, np.arange(len(s)), 1)]).select("lang", "phrase", "n"), "phrase-words")
     total = materialize(words.groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
     frequent = materialize(words.where(F.col("n") >= least), "phrase-frequent")
     discard(words)
