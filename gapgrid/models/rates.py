@@ -72,10 +72,14 @@ def neighbourhood_sums(frame: DataFrame, train: DataFrame, target: str, p: Param
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def growing_disk_rate(frame: DataFrame, train: DataFrame, target: str, p: Params = DEFAULT) -> DataFrame:
+    """(cell, _rate) of the zones of ``frame`` that have enough training zones within reach."""
+    return neighbourhood_sums(frame, train, target, p).select(F.col("src").alias("cell"), (F.col("y") / F.col("pop")).alias("_rate"))
+
+
 def rate_neighbourhood(train: DataFrame, frame: DataFrame, target: str = "query_count", p: Params = DEFAULT) -> DataFrame:
     """B3: rate of the nearest training zones, the global rate where there are too few within reach."""
-    near = neighbourhood_sums(frame, train, target, p).select(F.col("src").alias("cell"), (F.col("y") / F.col("pop")).alias("_rate"))
-    out = lookup_with_default(frame, near, "cell", "_rate", _global_rate(train, target))
+    out = lookup_with_default(frame, growing_disk_rate(frame, train, target, p), "cell", "_rate", _global_rate(train, target))
     return out.withColumn("expected", F.col("_rate") * F.col("population")).drop("_rate")
 
 

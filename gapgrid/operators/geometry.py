@@ -202,6 +202,27 @@ def add_inside(df: DataFrame, area: StudyArea, lat: str, lon: str, name: str, p:
     return df.select("*", x.alias("_px"), y.alias("_py")).withColumn(name, inside).drop("_px", "_py")
 
 
+def add_inside_of(df: DataFrame, stored: DataFrame, lat: str, lon: str, name: str, p: Params = DEFAULT) -> DataFrame:
+    """The test of ``within_area`` against a stored area (one row: edges, buffer_m, see ``read_study_area``).
+
+    The area reaches the test as a value of one row, so the plan doesn't depend on its vertices. Points without coordinates are outside.
+    """
+    area = stored.select(F.struct("edges", "buffer_m").alias("a")).scalar()
+    x, y = project_xy(lat, lon, p)
+    rows = df.select("*", x.alias("_px"), y.alias("_py")).withColumn("_area", area)
+    px, py = F.col("_px"), F.col("_py")
+    left = lambda e: (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"]) >= 0
+
+    def close(e):
+        ux, uy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - e["x1"]) * ux + (py - e["y1"]) * uy) / (ux * ux + uy * uy)))
+        dx, dy = px - (e["x1"] + t * ux), py - (e["y1"] + t * uy)
+        return dx * dx + dy * dy < F.col("_area.buffer_m") * F.col("_area.buffer_m")
+
+    inside = F.forall("_area.edges", left) | F.exists("_area.edges", close)
+    return rows.withColumn(name, F.coalesce(inside, F.lit(False))).drop("_px", "_py", "_area")
+
+
 def area_parts(area: StudyArea) -> tuple[float, float, float, float]:
     """(km2 of area, x, y of its centroid, perimeter m): closed forms over the few vertices.
 

@@ -426,7 +426,6 @@ WKT = "'POLYGON ((' || " + " || ', ' || ".join(f"{f6(a)} || ' ' || {f6(b)}" for
 sel("write_zone_features", "SELECT '{\"type\":\"Feature\",\"properties\":{\"cell\":' || cell || ',\"query_count\":' || query_count || ',\"population\":' || population "
     f"|| '}},\"geometry\":' || {GEO} || '}}' AS value FROM zones")
 sel("read_zone_features", "SELECT cell, query_count, 'Polygon' AS kind, 7 AS vertices FROM zones")
-sel("save_estimator", "SELECT municipality, round(sum(query_count) / sum(population), 9) AS rate FROM train GROUP BY municipality")
 sel("declared_period", "SELECT min(regexp_extract(source_file, '^(\\d{4}-\\d{2}-\\d{2})', 1)) AS period_start, max(regexp_extract(source_file, '_to_(\\d{4}-\\d{2}-\\d{2})', 1)) AS period_end, "
     "CAST(CAST(max(ts) AS DATE) AS VARCHAR) AS last_query FROM trips")
 sel("valid_origin", f"SELECT {VALID} AS valid, count(*) AS n FROM trips GROUP BY ALL")
@@ -473,6 +472,7 @@ sel("largest_component", "SELECT cell FROM main1")
 sel("convex_hull", "SELECT lon, lat FROM ring1")
 sel("study_area", "SELECT (SELECT count(*) FROM main1) AS cells, (SELECT count(*) FROM ring1) AS vertices, round(km2, 3) AS area_km2 FROM km1")
 sel("within_area", f"SELECT k AS point_id, inside FROM ({inside('points', 'point_id', 'lat', 'lon')})")
+sel("read_study_area", f"SELECT k AS cell, inside FROM ({inside('(SELECT cell, ' + clat('cell') + ' AS lat, ' + clon('cell') + ' AS lon FROM population)', 'cell', 'lat', 'lon')})")
 sel("add_inside", "SELECT inside, count(*) AS n FROM trips JOIN origin_in USING (lat_orig, lon_orig) GROUP BY inside")
 sel("area_km2", "SELECT (SELECT count(*) FROM origins) AS origins, round(km2, 3) AS area_km2 FROM km1")
 sel("area_centroid", "SELECT (SELECT count(*) FROM origins) AS origins, round(clat, 5) AS lat, round(clon, 5) AS lon FROM centroid")
@@ -711,6 +711,10 @@ sel("cv_summary", f"SELECT technique, {', '.join(rr(c) + ' AS ' + c for c in _cv
 sel("one_se_rule", f"""SELECT technique, round(mean, 6) AS mean, round(sd, 6) AS sd, folds, round(se, 6) AS se, mean <= thr AS within, round(thr, 6) AS threshold, technique = best AS is_best,
     technique = min(technique) FILTER (mean <= thr) OVER () AS is_chosen FROM (SELECT *, arg_min(technique, mean) OVER () AS best, min(mean) OVER () + {P.tolerance_se} * arg_min(se, mean) OVER () AS thr
     FROM (SELECT technique, avg(deviance) AS mean, stddev_samp(deviance) AS sd, count(*) AS folds, stddev_samp(deviance) / sqrt(count(*)) AS se FROM {_fm} GROUP BY technique))""")
+_rule = f"""SELECT min(technique) FILTER (mean <= thr) AS technique FROM (SELECT *, min(mean) OVER () + {P.tolerance_se} * arg_min(se, mean) OVER () AS thr
+    FROM (SELECT technique, avg(deviance) AS mean, stddev_samp(deviance) / sqrt(count(*)) AS se FROM {_fm} GROUP BY technique))"""
+sel("save_estimator", "SELECT cell, technique, round(expected, 6) AS expected FROM (" + " UNION ALL ".join(f"SELECT 'B{i}' AS technique, cell, expected FROM fin{i}" for i in range(4))
+    + f") JOIN ({_rule}) USING (technique)")
 _x = [f"ln(1 + {c})" if c.startswith("pop_") else f"CAST({c} AS DOUBLE)" for c in P.predictors]
 CTE["xy"] = f"SELECT cell, CAST(query_count AS DOUBLE) AS y, CAST(population AS DOUBLE) AS pop, {_x[0]} AS x1, {_x[1]} AS x2 FROM train"
 _det = "(a00 * (a11 * a22 - a12 * a12) - a01 * (a01 * a22 - a12 * a02) + a02 * (a01 * a12 - a11 * a02))"

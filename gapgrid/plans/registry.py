@@ -10,14 +10,14 @@ from pyspark.sql import types as T
 
 from gapgrid.functions import grid, ordering, projection
 from gapgrid.functions import scalars as S
-from gapgrid.models import boosting, counts, rates
+from gapgrid.models import boosting, counts, rates, stored
 from gapgrid.models import validation as V
 from gapgrid.operators import checks, cleaning, evaluation, geometry, joins, network, profiles, stats, users, zones
 from gapgrid.params import ACTION_MAP, LADDER
 from gapgrid.plans import views
 from gapgrid.plans.stages import Stages, stages_for
 from gapgrid.session import checkpoint_root, materialize
-from gapgrid.sources import exports, tables
+from gapgrid.sources import editions, exports, tables
 
 P = views.FIXTURE_PARAMS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,17 +186,36 @@ def _(st):
 def _(st):
     path = scratch(st.zones, "features")
     tables.write_zone_features(st.zones, path, ["cell", "query_count"], P)
-    back = tables.read_zone_features(st.zones.sparkSession, path)
-    return back.select(F.col("properties")["cell"].cast("bigint").alias("cell"), F.col("properties")["query_count"].cast("bigint").alias("query_count"),
-                       F.col("geometry.type").alias("kind"), F.size(F.col("geometry.coordinates")[0]).alias("vertices"))
+    back = tables.read_zone_features(st.zones.sparkSession, path, "cell bigint, query_count bigint")
+    return back.select("properties.cell", "properties.query_count", F.col("geometry.type").alias("kind"), F.size(F.col("geometry.coordinates")[0]).alias("vertices"))
+
+
+@query("read_study_area")
+def _(st):
+    """Populated zones inside of the study area as it was written and read again."""
+    path, spark = scratch(st.zones, "area"), st.zones.sparkSession
+    tables.write_study_area(spark, st.area, path)
+    centres = st.population.select("cell", grid.cell_lat("cell", p=P).alias("lat"), grid.cell_lon("cell", p=P).alias("lon"))
+    return geometry.add_inside_of(centres, tables.read_study_area(spark, path, P), "lat", "lon", "inside", P).select("cell", "inside")
 
 
 @query("save_estimator")
 def _(st):
+    """The rate technique that the rule chooses: fitted, stored, read again, and the test zones predicted from what was read."""
+    path = scratch(st.train, "estimator")
+    chosen = V.select_technique(st.oof, P)[0]
+    tables.save_estimator(stored.fit_technique(st.train, chosen, p=P), path)
+    fit = tables.load_estimator(st.train.sparkSession, path)
+    return rounded(stored.predict_stored(st.test, fit, P).select("cell", F.lit(chosen).alias("technique"), "expected"))
+
+
+@query("stored_ladder")
+def _(st):
+    """The technique that the rule chooses among all seven, stored, read again and applied to the test zones."""
     path = scratch(st.train, "estimator")
-    per = st.train.groupBy("municipality").agg((F.sum("query_count") / F.sum("population")).alias("rate"))
-    tables.save_estimator(per, path)
-    return rounded(tables.load_estimator(st.train.sparkSession, path), 9)
+    tables.save_estimator(stored.fit_technique(st.train, st.selection[0], p=P), path)
+    fit = tables.load_estimator(st.train.sparkSession, path)
+    return rounded(stored.predict_stored(st.test, fit, P).select("cell", F.lit(st.selection[0]).alias("technique"), "expected"))
 
 
 @query("declared_period")
@@ -1235,11 +1254,24 @@ def _(st):
     return evaluation.field_list(st.predictions).drop("lat", "lon").transform(lambda d: rounded(d, 2))
 
 
+@query("sensitivity_ladder")
+def _(st):
+    """``sensitivity_table`` with the best technique of all seven."""
+    best = V.one_se_rule(V.count_metrics(st.oof_ladder, by=["technique", "fold"]), P).where("is_best").first()
+    v = {"best_mean_technique": materialize(evaluation.gap_of_variant(st.train, st.test, best.technique, p=P), "variant")}
+    return evaluation.sensitivity_table(st.gap_zones, v, P.top_k).withColumn("technique", F.lit(best.technique))
+
+
 @query("edition_monitor")
 def _(st):
-    previous = st.gap_zones.select("cell", F.col("gap_pearson_global").alias("gap_pearson"))
-    old_weeks = st.weeks.where("observed").withColumn("complete", F.lit(True))
-    return evaluation.edition_monitor(st.gap_zones, previous, st.weeks, old_weeks)
+    """This edition against the last one stored: two are written, one that no longer counts and one under the global rate."""
+    root, spark = scratch(st.gap_zones, "editions"), st.gap_zones.sparkSession
+    old = st.gap_zones.select("cell", (-F.col("gap_pearson")).alias("gap_pearson"))
+    editions.write_edition(root, "first", {"gap": old, "weeks": st.weeks.limit(0)})
+    last = st.gap_zones.select("cell", F.col("gap_pearson_global").alias("gap_pearson"))
+    editions.write_edition(root, "second", {"gap": last, "weeks": st.weeks.where("observed").withColumn("complete", F.lit(True))})
+    _, previous = editions.read_edition(spark, root)
+    return evaluation.edition_monitor(st.gap_zones, previous["gap"], st.weeks, previous["weeks"])
 
 
 # ---- checks ----------------------------------------------------------------

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapgrid.functions import grid
+from gapgrid.functions.projection import project_xy
+from gapgrid.operators.geometry import StudyArea
 from gapgrid.params import DEFAULT, Params
 
 FEATURE_SCHEMA = ("type string, properties map<string,string>, "
@@ -80,7 +84,8 @@ def write_report_csv(df: DataFrame, root: str, phase: str, name: str) -> str:
 def metrics_json(metrics: DataFrame) -> DataFrame:
     """(metric, value) rows as one JSON object with sorted keys.
 
-    Numbers, true, false, null and text that holds an object or a list stay what they are; other text is quoted.
+    A numeric or boolean ``value`` column gives numbers or true and false. In a column of text, numbers, true, false, null and text that holds an
+    object or a list stay what they are (metrics of several types travel as text), other text is quoted.
     """
     text = F.col("value").cast("string")
     bare = text.rlike(r"^(-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?|true|false|null|[\[{].*[\]}])$")
@@ -113,8 +118,27 @@ def write_zone_features(df: DataFrame, path: str, cols: list[str], p: Params = D
     zone_feature_rows(df, cols, p).write.mode("overwrite").text(path)
 
 
-def read_zone_features(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FEATURE_SCHEMA).json(path)
+def read_zone_features(spark: SparkSession, path: str, properties: str | None = None) -> DataFrame:
+    """Features with their properties as ``properties`` (a DDL list of names and types) says, or as a map of text."""
+    kind = f"struct<{properties}>" if properties else "map<string,string>"
+    return spark.read.schema(FEATURE_SCHEMA.replace("map<string,string>", kind)).json(path)
+
+
+def write_study_area(spark: SparkSession, area: StudyArea, path: str) -> None:
+    """The area as one GeoJSON feature: its ring (closed, longitude first) as polygon, its margin in metres as property."""
+    ring = [[float(a), float(b)] for a, b in (*area.ring, area.ring[0])]
+    feature = {"type": "Feature", "properties": {"kind": "study_area", "buffer_m": float(area.buffer_m)}, "geometry": {"type": "Polygon", "coordinates": [ring]}}
+    spark.createDataFrame([(json.dumps(feature),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_study_area(spark: SparkSession, path: str, p: Params = DEFAULT) -> DataFrame:
+    """One row (edges array<struct<x1, y1, x2, y2>> in projected metres, buffer_m) of a stored area."""
+    f = read_zone_features(spark, path, "kind string, buffer_m double").where("properties.kind = 'study_area'")
+    corners = f.select("properties.buffer_m", F.posexplode(F.col("geometry.coordinates")[0]).alias("i", "c"))
+    x, y = project_xy(F.col("c")[1], F.col("c")[0], p)
+    ring = corners.select("buffer_m", "i", x.alias("x"), y.alias("y")).groupBy("buffer_m").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("v"))
+    edge = lambda i: F.struct(F.col("v")[i - 1]["x"].alias("x1"), F.col("v")[i - 1]["y"].alias("y1"), F.col("v")[i]["x"].alias("x2"), F.col("v")[i]["y"].alias("y2"))
+    return ring.select(F.transform(F.sequence(F.lit(1), F.size("v") - 1), edge).alias("edges"), "buffer_m")
 
 
 def save_estimator(rows: DataFrame, path: str) -> None:

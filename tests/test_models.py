@@ -165,3 +165,27 @@ def test_rule_prefers_the_simplest_within_one_error(spark):
                                + [("M1", f, 30.0 + f) for f in range(4)], "technique string, fold int, deviance double")
     out = {r.technique: r for r in V.one_se_rule(df).collect()}
     assert out["B0"].is_chosen and out["B1"].is_best and not out["M1"].within
+
+
+def test_stored_fits_predict_as_in_memory(spark, rows, tmp_path):
+    from gapgrid.functions import grid
+    from gapgrid.models import stored
+    from gapgrid.params import LADDER
+    from gapgrid.sources import tables
+
+    cell = grid.pack(F.col("cell") % 20, F.floor(F.col("cell") / 20), 8)
+    frame = rows.withColumn("municipality", F.concat(F.lit("m"), (F.col("cell") % 7).cast("string"))).withColumn("distance_ring", F.concat(F.lit("A"), (F.col("block_id") % 4).cast("string")))
+    frame = frame.withColumn("cell", cell)
+    train, test = frame.where("block_id % 6 <> 0").persist(), frame.where("block_id % 6 = 0").withColumn("municipality", F.when(F.col("query_count") % 5 > 0, F.col("municipality")))
+    quick = {"boosting_iter": 6, "boosting_grid": ({"max_depth": 2, "min_leaf": 3, "learning_rate": 0.1},)}
+    for technique in LADDER:
+        more = quick if technique == "M3" else {}
+        path = f"{tmp_path}/{technique}"
+        tables.save_estimator(stored.fit_technique(train, technique, **more), path)
+        back = tables.load_estimator(spark, path)
+        assert back.schema == spark.createDataFrame([], stored.SCHEMA).schema
+        got = {r.cell: r.expected for r in stored.predict_stored(test, back).collect()}
+        want = {r.cell: r.expected for r in V.final_fit(train, test, technique, **more).collect()}
+        assert len(got) > 50 and got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-9 * max(1, want[c]) for c in want), technique
+    with pytest.raises(ValueError, match="one technique"):
+        stored.predict_stored(test, back.limit(0))
