@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,70 +84,72 @@ def densify_polyline(shapes: DataFrame, step_m: float, p: Params = DEFAULT) -> D
 BASE_M, FACTOR = 25.0, 8  # leaf boxes of 25 m, sides growing by 8 per level
 
 
-def _leaf(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.select("*", *[F.floor(F.col(c) / BASE_M).cast("bigint").alias(n) for c, n in (("x", a), ("y", b))])
+def _boxes(df: DataFrame, x0: int, y0: int, top: int) -> DataFrame:
+    """(level, bx, by, x1, x2, y1, y2): the boxes of every level that hold points of ``df``, with the extent of these points; built once."""
+    leaf = [(F.floor(F.col(c) / BASE_M) - o).cast("bigint").alias(n) for c, o, n in (("x", x0, "lx"), ("y", y0, "ly"))]
+    rows = df.select("x", "y", *leaf).groupBy("lx", "ly").agg(*[f(c).alias(n) for c, f, n in (("x", F.min, "x1"), ("x", F.max, "x2"), ("y", F.min, "y1"), ("y", F.max, "y2"))])
+    rows = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("side", F.pow(F.lit(float(FACTOR)), "level").cast("bigint"))
+    up = [F.expr(f"{c} div side").alias(n) for c, n in (("lx", "bx"), ("ly", "by"))]
+    rows = rows.select("level", *up, "x1", "x2", "y1", "y2").groupBy("level", "bx", "by")
+    return materialize(rows.agg(*[f(c).alias(c) for f, c in ((F.min, "x1"), (F.max, "x2"), (F.min, "y1"), (F.max, "y2"))]), "boxes")
 
 
-def _levels(*boxes: DataFrame) -> tuple[int, int, int]:
-    """Lowest box numbers and the number of levels after which one box covers both sides."""
-    lows, highs = [], []
-    for df in boxes:
-        a, b = df.columns
-        r = df.agg(F.min(a), F.min(b), F.max(a), F.max(b)).first()
-        if r[0] is not None:
-            lows.append(r[:2])
-            highs.append(r[2:])
-    x0, y0 = (min(v) for v in zip(*lows)) if lows else (0, 0)
-    span = max((max(hx - x0, hy - y0) + 1 for hx, hy in highs), default=1)
-    level = 0
-    while FACTOR ** level < span:
-        level += 1
-    return x0, y0, level
+def _span(*sides: DataFrame) -> tuple[int, int, int]:
+    """Lowest leaf numbers and the number of levels after which one box covers all sides."""
+    found = [df.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first() for df in sides]
+    cells = [[int(math.floor(v / BASE_M)) for v in r] for r in found if r[0] is not None]
+    x0, y0 = (min(c[k] for c in cells) for k in (0, 1)) if cells else (0, 0)
+    span = max([max(c[2] - x0, c[3] - y0) + 1 for c in cells], default=1)
+    top = 0
+    while FACTOR ** top < span:
+        top += 1
+    return x0, y0, top
 
 
 def nearest_distance(points: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     """(key, distance) from each point (key, x, y) to the nearest target (x, y); exact at any distance.
 
-    Both sides are described by nested boxes. From the one root box down, each point box keeps only the target
-    boxes that can still hold its nearest target: those not farther than the best guaranteed distance. Only
-    boxes, whose number per level is set by the ground they cover, are paired; equal points and equal targets
-    are merged first, and real points meet targets only inside the few leaf boxes that are left.
+    Both sides are described once by nested boxes with the extents of what they hold. From the one root box down, each point box keeps only
+    the target boxes that can still hold its nearest target: those whose extent is not farther than the best guaranteed distance. What is
+    left of a level is written, and the next one starts from there. Only boxes, whose number per level is set by the ground they cover, are
+    paired; equal points and equal targets are merged first, and real points meet targets only inside the few leaf boxes that are left.
     """
-    pts = materialize(_leaf(points.select("x", "y").distinct(), "px", "py"), "points")
-    tgt = materialize(_leaf(targets.select("x", "y").distinct(), "tx", "ty"), "targets")
-    pbox = materialize(pts.select("px", "py").distinct(), "pbox")
-    tbox = materialize(tgt.select("tx", "ty").distinct(), "tbox")
-    x0, y0, top = _levels(pbox, tbox)
-
-    def at(df: DataFrame, level: int) -> DataFrame:
-        up = FACTOR ** level
-        return df.select(*[F.floor((F.col(c) - o) / up).cast("bigint").alias(c) for c, o in zip(df.columns, (x0, y0))]).distinct()
-
-    pairs = at(pbox, top).join(at(tbox, top), [F.col("px") == F.col("tx"), F.col("py") == F.col("ty")])  # the root
+    pts = materialize(points.select("x", "y").distinct(), "points")
+    tgt = materialize(targets.select("x", "y").distinct(), "targets")
+    x0, y0, top = _span(pts, tgt)
+    pbox, tbox = _boxes(pts, x0, y0, top), _boxes(tgt, x0, y0, top)
+
+    def at(boxes: DataFrame, level: int, side: str) -> DataFrame:
+        names = ["bx", "by", "x1", "x2", "y1", "y2"]
+        up = [F.expr(f"{c} div {FACTOR}").alias(f"{side}_u{c}") for c in ("bx", "by")]
+        return boxes.where(F.col("level") == level).select(*[F.col(c).alias(f"{side}_{c}") for c in names], *up)
+
+    def kept(pairs: DataFrame) -> DataFrame:
+        gap = [F.greatest(F.col(f"t_{c}1") - F.col(f"p_{c}2"), F.col(f"p_{c}1") - F.col(f"t_{c}2"), F.lit(0.0)) for c in "xy"]
+        reach = [F.greatest(F.col(f"t_{c}2") - F.col(f"p_{c}1"), F.col(f"p_{c}2") - F.col(f"t_{c}1")) for c in "xy"]
+        bound = Window.partitionBy("p_bx", "p_by")  # surviving boxes only: bounded by geometry
+        pairs = pairs.withColumn("near", F.hypot(*gap)).withColumn("far", F.hypot(*reach)).withColumn("best", F.min("far").over(bound))
+        # a hair of room: extents and points are rounded apart
+        return pairs.where("near <= best * (1 + 1e-12)").select("p_bx", "p_by", "t_bx", "t_by", "t_x1", "t_x2", "t_y1", "t_y2", "far")
+
+    roots = [at(b, top, side) for b, side in ((pbox, "p"), (tbox, "t"))]  # one box on either side
+    frontier = kept(roots[0].join(roots[1], (F.col("p_bx") == F.col("t_bx")) & (F.col("p_by") == F.col("t_by"))))
     for level in range(top - 1, -1, -1):
-        up = {c: F.floor(F.col(c) / FACTOR).cast("bigint").alias(f"u{c}") for c in ("px", "py", "tx", "ty")}
-        kids_p = at(pbox, level).select("px", "py", up["px"], up["py"])
-        kids_t = at(tbox, level).select("tx", "ty", up["tx"], up["ty"])
-        parents = pairs.toDF("upx", "upy", "utx", "uty")
-        pairs = parents.join(kids_p, ["upx", "upy"]).join(kids_t, ["utx", "uty"]).select("px", "py", "tx", "ty")
-        gx, gy = F.abs(F.col("px") - F.col("tx")), F.abs(F.col("py") - F.col("ty"))
-        near = F.pow(F.greatest(gx - 1, F.lit(0)), 2.0) + F.pow(F.greatest(gy - 1, F.lit(0)), 2.0)
-        far = F.pow(gx + 1, 2.0) + F.pow(gy + 1, 2.0)
-        bound = Window.partitionBy("px", "py")  # surviving boxes only: bounded by geometry
-        pairs = (pairs.select("*", near.alias("near"), far.alias("far"), F.min(far).over(bound).alias("best"))
-                 .where("near <= best").select("px", "py", "tx", "ty", *([] if level else ["far"])))
-    if top == 0:
-        pairs = pairs.withColumn("far", F.lit(0.0))
-    leaf = materialize(pairs.select(*[(F.col(c) + o).alias(c) for c, o in zip(("px", "py", "tx", "ty"), (x0, y0, x0, y0))], "far"), "leaf")
+        parents = frontier.select(*[F.col(f"{s}_{c}").alias(f"{s}_u{c}") for s in "pt" for c in ("bx", "by")])
+        pairs = parents.join(at(pbox, level, "p"), ["p_ubx", "p_uby"]).join(at(tbox, level, "t"), ["t_ubx", "t_uby"])
+        frontier = materialize(kept(pairs), "frontier")
+    leaf = frontier.select("p_bx", "p_by", F.struct("far", "t_bx", "t_by").alias("f"), "t_bx", "t_by", "t_x1", "t_x2", "t_y1", "t_y2")
+    boxed = lambda df, side: df.select("x", "y", *[(F.floor(F.col(c) / BASE_M) - o).cast("bigint").alias(f"{side}_b{c}") for c, o in (("x", x0), ("y", y0))])
     # the most promising box of each point box gives every point a true bound; then only boxes that come
     # closer than the bound to the point itself are opened
-    first = leaf.groupBy("px", "py").agg(F.min(F.struct("far", "tx", "ty")).alias("m")).select("px", "py", "m.tx", "m.ty")
-    t = tgt.toDF("x2", "y2", "tx", "ty")
-    dist = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
-    bound = materialize(pts.join(first, ["px", "py"]).join(t, ["tx", "ty"]).groupBy("x", "y", "px", "py").agg(F.min(dist).alias("u")), "bound")
-    apart = [F.greatest(F.col(b) * BASE_M - F.col(v), F.col(v) - (F.col(b) + 1) * BASE_M, F.lit(0.0)) for b, v in (("tx", "x"), ("ty", "y"))]
-    closer = bound.join(leaf.select("px", "py", "tx", "ty"), ["px", "py"]).where(F.hypot(*apart) < F.col("u"))
-    better = closer.join(t, ["tx", "ty"]).groupBy("x", "y").agg(F.min(dist).alias("d"))
+    first = leaf.groupBy("p_bx", "p_by").agg(F.min("f").alias("m")).select("p_bx", "p_by", "m.t_bx", "m.t_by")
+    t = boxed(tgt, "t").withColumnsRenamed({"x": "x_", "y": "y_"})
+    dist = F.hypot(F.col("x") - F.col("x_"), F.col("y") - F.col("y_"))
+    bound = boxed(pts, "p").join(first, ["p_bx", "p_by"]).join(t, ["t_bx", "t_by"]).groupBy("x", "y", "p_bx", "p_by").agg(F.min(dist).alias("u"))
+    bound = materialize(bound, "bound")
+    apart = [F.greatest(F.col(f"t_{c}1") - F.col(c), F.col(c) - F.col(f"t_{c}2"), F.lit(0.0)) for c in "xy"]
+    closer = bound.join(leaf, ["p_bx", "p_by"]).where(F.hypot(*apart) < F.col("u")).select("x", "y", "t_bx", "t_by")
+    better = closer.join(t, ["t_bx", "t_by"]).groupBy("x", "y").agg(F.min(dist).alias("d"))
     best = bound.join(better, ["x", "y"], "left").select("x", "y", F.least("u", "d").alias("distance"))
     return points.select(key, "x", "y").join(best, ["x", "y"], "left").select(key, "distance")
 

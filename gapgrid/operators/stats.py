@@ -255,29 +255,43 @@ def _distinct_draws(n: Column, count: Column, h) -> Column:
     return F.aggregate(F.sequence(F.lit(0), count.cast("int") - 1), start, add)
 
 
+VALUES_PER_RANGE = 1 << 18  # values that meet the draws of a cell at once (2 MB)
+
+
 def lisa_clusters(df: DataFrame, value: str, perms: int, seed, alpha: float = 0.05) -> DataFrame:
     """(cell, quadrant, p_value, cluster): local Moran with conditional shuffles.
 
-    For every cell and shuffle, as many other cells as it has neighbours are drawn without repetition by
-    position; positions become values through one equality join.
+    For every cell and shuffle, as many other cells as it has neighbours are drawn without repetition by position. Values stand in ranges of
+    positions, one array each; a cell sends every range the positions that it drew there, for all shuffles in one row, and gets their sums
+    back as one array over the shuffles. So there is one row per cell and range, not one per draw.
     """
     base = materialize(local_moran(df, value), "lisa")
     inner = materialize(running(base.where(F.col("degree").isNotNull()).select("cell", "degree", "z", "lag"), ["cell"],
                                 row_number="idx"), "lisa-idx")
     others = inner.agg((F.count(F.lit(1)) - 1).alias("n")).scalar()
+    size = F.lit(VALUES_PER_RANGE)
 
-    def digits(i: Column) -> Column:
+    def digits(perm: Column):
         """Twelve md5 digits as a number: a draw that any engine can reproduce."""
-        return F.conv(F.substring(F.md5(F.concat_ws("|", "cell", "perm", i, F.lit(str(seed)))), 1, 12), 16, 10).cast("bigint")
-
-    draws = inner.withColumn("others", others).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms)))).withColumn(
-        "pick", _distinct_draws(F.col("others"), F.col("degree"), digits))
-    pos = draws.select("cell", "perm", "z", "lag", "degree", F.col("idx").alias("own"), F.explode("pick").alias("d"))
-    pos = pos.withColumn("idx", F.col("d") + 1 + (F.col("d") + 1 >= F.col("own")).cast("bigint"))
-    sim = (pos.join(inner.select("idx", F.col("z").alias("zj")), "idx").groupBy("cell", "perm")
-           .agg((F.first("z") * F.sum("zj") / F.first("degree")).alias("sim"), (F.first("z") * F.first("lag")).alias("obs")))
+        return lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", "cell", perm, i, F.lit(str(seed)))), 1, 12), 16, 10).cast("bigint")
+
+    def drawn(perm: Column) -> Column:
+        """Positions from 0 on, the cell's own left out."""
+        return F.transform(_distinct_draws(F.col("others"), F.col("degree"), digits(perm)), lambda d: d + (d + 1 >= F.col("idx")).cast("bigint"))
+
+    draws = inner.withColumn("others", others).withColumn("picks", F.transform(F.sequence(F.lit(1), F.lit(perms)), drawn))
+    of = lambda x: F.floor(x / size)
+    touched = F.array_distinct(F.flatten(F.transform("picks", lambda p: F.transform(p, of))))
+    sent = draws.select("cell", "picks", F.explode(touched).alias("range"))
+    sent = sent.select("cell", "range", F.transform("picks", lambda p: F.filter(p, lambda x: of(x) == F.col("range"))).alias("here"))
+    values = inner.groupBy(of(F.col("idx") - 1).alias("range")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "z"))), lambda v: v["z"]).alias("values"))
+    add = lambda p: F.aggregate(p, F.lit(0.0), lambda s, x: s + F.get("values", F.pmod(x, size).cast("int")))
+    parts = sent.join(values, "range").select("cell", F.transform("here", add).alias("part"))
+    whole = F.aggregate(F.collect_list("part"), F.array_repeat(F.lit(0.0), perms), lambda s, x: F.zip_with(s, x, lambda u, v: u + v))
+    sums = parts.groupBy("cell").agg(whole.alias("sums"))
     # nine digits: sums of equal values in another order are equal
-    p = sim.groupBy("cell").agg(folded_p(F.count_if(F.round("sim", 9) >= F.round("obs", 9)), perms).alias("p_value"))
+    seen = F.size(F.filter("sums", lambda s: F.round(F.col("z") * s / F.col("degree"), 9) >= F.round(F.col("z") * F.col("lag"), 9)))
+    p = inner.join(sums, "cell").select("cell", folded_p(seen, perms).alias("p_value"))
     sig = F.when(F.col("degree").isNull(), NO_NEIGHBOURS).when(F.col("p_value") < alpha, F.col("quadrant")).otherwise(NOT_SIGNIFICANT)
     return base.join(p, "cell", "left").select("cell", "quadrant", "p_value", sig.alias("cluster"))
 

@@ -728,6 +728,37 @@ CTE["pois"] = f"""SELECT 0 AS it, ln(sum(y) / sum(pop)) AS b0, 0E0 AS b1, 0E0 AS
 CTE["mu1"] = "SELECT cell, y, pop * exp(b0 + b1 * x1 + b2 * x2) AS mu FROM xy, (SELECT * FROM pois WHERE it = 40)"
 _m1 = " UNION ALL ".join(f"SELECT 'M1' AS technique, -1 AS model, '{n}' AS parameter, b{k} AS value FROM pois WHERE it = 40" for k, n in enumerate(["const", *P.predictors]))
 sel("poisson_glm", f"SELECT technique, CAST(model AS INT) AS model, parameter, round(value, 6) AS value FROM ({_m1})")
+# NB2: coefficients by weighted least squares and theta by a guarded step on its logarithm, in turns; the full fit (-1) and the fit without each fold
+CTE["xyf"] = "SELECT xy.*, fold FROM xy JOIN train USING (cell)"
+CTE["nbx"] = """SELECT model, y, pop, x1, x2, CAST(NULL AS DOUBLE) AS j, CAST(NULL AS DOUBLE) AS nj FROM xyf, (SELECT -1 AS model UNION ALL SELECT DISTINCT fold FROM xyf) WHERE model <> fold
+  UNION ALL SELECT model, NULL, NULL, NULL, NULL, j, count(*) FROM xyf, (SELECT -1 AS model UNION ALL SELECT DISTINCT fold FROM xyf), LATERAL unnest(range(0, CAST(y AS BIGINT))) u(j) WHERE model <> fold GROUP BY model, j"""
+CTE["nb"] = f"""SELECT model, 0 AS it, ln(sum(y) / sum(pop)) AS b0, 0E0 AS b1, 0E0 AS b2, 1E0 AS th FROM nbx WHERE j IS NULL GROUP BY model
+  UNION ALL SELECT model, it + 1, (r0 * (a11 * a22 - a12 * a12) - a01 * (r1 * a22 - a12 * r2) + a02 * (r1 * a12 - a11 * r2)) / {_det},
+    (a00 * (r1 * a22 - a12 * r2) - r0 * (a01 * a22 - a12 * a02) + a02 * (a01 * r2 - r1 * a02)) / {_det},
+    (a00 * (a11 * r2 - r1 * a12) - a01 * (a01 * r2 - r1 * a02) + r0 * (a01 * a12 - a11 * a02)) / {_det},
+    th * exp(greatest(-1, least(1, CASE WHEN it < 5 THEN 0 WHEN s2 * th * th + s1 * th < 0 THEN -s1 * th / (s2 * th * th + s1 * th) ELSE sign(s1) / 2 END)))
+  FROM (SELECT model, max(it) AS it, max(th) AS th, sum(w) AS a00, sum(w * x1) AS a01, sum(w * x2) AS a02, sum(w * x1 * x1) AS a11, sum(w * x1 * x2) AS a12, sum(w * x2 * x2) AS a22,
+      sum(w * t) AS r0, sum(w * x1 * t) AS r1, sum(w * x2 * t) AS r2,
+      sum(CASE WHEN j IS NULL THEN ln(th) + 1 - ln(th + mu) - (y + th) / (th + mu) ELSE nj / (th + j) END) AS s1,
+      sum(CASE WHEN j IS NULL THEN 1 / th - 2 / (th + mu) + (y + th) / ((th + mu) * (th + mu)) ELSE -nj / ((th + j) * (th + j)) END) AS s2
+    FROM (SELECT *, lin + (y - mu) / mu AS t, mu * th / (th + mu) AS w FROM (SELECT nb.model, it, th, y, x1, x2, j, nj, b0 + b1 * x1 + b2 * x2 AS lin, pop * exp(b0 + b1 * x1 + b2 * x2) AS mu
+      FROM nb JOIN nbx ON nbx.model = nb.model WHERE it < 120)) GROUP BY model)"""
+CTE["nbfit"] = "SELECT * FROM nb WHERE it = 120"
+_m2 = " UNION ALL ".join(f"SELECT 'M2' AS technique, model, '{n}' AS parameter, {v} AS value FROM nbfit WHERE model = -1" for n, v in zip(["const", *P.predictors, "alpha"], ["b0", "b1", "b2", "1 / th"]))
+sel("negbin2_glm", f"SELECT technique, CAST(model AS INT) AS model, parameter, round(value, 6) AS value FROM ({_m2})")
+sel("coefficient_table", f"SELECT parameter, round(a.value, 4) AS poisson, round(b.value, 4) AS negbin FROM ({_m1}) a FULL JOIN ({_m2}) b USING (parameter)")
+sel("expected_zeros_negbin", """SELECT 'M2' AS technique, count(*) FILTER (y = 0) AS observed_zeros, round(sum(z), 4) AS expected_zeros, round(sum(z) / nullif(count(*) FILTER (y = 0), 0), 4) AS ratio,
+    count(*) FILTER (mu < 0.5) AS zones_below_half FROM (SELECT y, mu, pow(1 + mu / th, -th) AS z FROM (SELECT y, th, pop * exp(b0 + b1 * x1 + b2 * x2) AS mu FROM xy, nbfit WHERE model = -1))""")
+CTE["poisf"] = f"""SELECT fold AS model, 0 AS it, ln(y / pop) AS b0, 0E0 AS b1, 0E0 AS b2 FROM (SELECT model AS fold, sum(y) AS y, sum(pop) AS pop FROM nbx WHERE j IS NULL AND model >= 0 GROUP BY model)
+  UNION ALL SELECT model, it + 1, (r0 * (a11 * a22 - a12 * a12) - a01 * (r1 * a22 - a12 * r2) + a02 * (r1 * a12 - a11 * r2)) / {_det},
+    (a00 * (r1 * a22 - a12 * r2) - r0 * (a01 * a22 - a12 * a02) + a02 * (a01 * r2 - r1 * a02)) / {_det},
+    (a00 * (a11 * r2 - r1 * a12) - a01 * (a01 * r2 - r1 * a02) + r0 * (a01 * a12 - a11 * a02)) / {_det}
+  FROM (SELECT model, max(it) AS it, sum(w) AS a00, sum(w * x1) AS a01, sum(w * x2) AS a02, sum(w * x1 * x1) AS a11, sum(w * x1 * x2) AS a12, sum(w * x2 * x2) AS a22,
+      sum(w * t) AS r0, sum(w * x1 * t) AS r1, sum(w * x2 * t) AS r2
+    FROM (SELECT *, lin + (y - w) / w AS t FROM (SELECT poisf.model, it, y, x1, x2, b0 + b1 * x1 + b2 * x2 AS lin, pop * exp(b0 + b1 * x1 + b2 * x2) AS w
+      FROM poisf JOIN nbx ON nbx.model = poisf.model WHERE j IS NULL AND it < 40)) GROUP BY model)"""
+sel("count_regressions_oof", "SELECT cell, block_id, t.fold, technique, query_count AS observed, round(greatest(pop * exp(b0 + b1 * x1 + b2 * x2), 1E-6), 4) AS expected FROM train t JOIN xy USING (cell) JOIN ("
+    "SELECT 'M1' AS technique, model, b0, b1, b2 FROM poisf WHERE it = 40 UNION ALL SELECT 'M2', model, b0, b1, b2 FROM nbfit) f ON f.model = t.fold")
 sel("pearson_dispersion", "SELECT round(sum(pow(y - mu, 2) / mu) / (count(*) - 3), 5) AS dispersion FROM mu1")
 sel("expected_zeros", """SELECT 'B3' AS technique, count(*) FILTER (observed = 0) AS observed_zeros, CAST(NULL AS DOUBLE) AS expected_zeros, CAST(NULL AS DOUBLE) AS ratio,
     count(*) FILTER (expected < 0.5) AS zones_below_half FROM oof WHERE technique = 'B3'

@@ -167,6 +167,17 @@ def test_rule_prefers_the_simplest_within_one_error(spark):
     assert out["B0"].is_chosen and out["B1"].is_best and not out["M1"].within
 
 
+def test_counts_without_excess_scatter_give_the_poisson_limit(spark):
+    rnd = np.random.default_rng(4)
+    data = [(i, int(i % 3), float(v), int(k)) for i, (v, k) in enumerate(zip(rnd.uniform(0, 9, 200), rnd.integers(0, 900, 200)))]
+    df = spark.createDataFrame([(i, 3 + b, 50, v, k) for i, b, v, k in data], "cell long, query_count long, population long, dist_centre_km double, pop_ring1 long")
+    df = df.withColumn("model", F.lit(-1))
+    fit, plain = counts.fit_counts(df, dispersion=True)[-1], counts.fit_counts(df)[-1]
+    assert fit[-1] == 0.0 and np.allclose(fit[:-1], plain)
+    zeros = counts.expected_zeros(counts.expected_counts(df, {-1: plain}), "M2", alpha=0.0).first()
+    assert np.isclose(zeros.expected_zeros, counts.expected_zeros(counts.expected_counts(df, {-1: plain}), "M1").first().expected_zeros)
+
+
 def test_stored_fits_predict_as_in_memory(spark, rows, tmp_path):
     from gapgrid.functions import grid
     from gapgrid.models import stored

@@ -285,8 +285,10 @@ def test_island_has_no_weights_and_its_own_label(spark):
     assert len(out) == 4
 
 
-def test_lisa_p_values_against_numpy_draws(spark):
+@pytest.mark.parametrize("per_range", [7, 1 << 18])
+def test_lisa_p_values_against_numpy_draws(spark, monkeypatch, per_range):
     """The spatial draws are random, so compare p-values with an independent simulation, not draw by draw."""
+    monkeypatch.setattr(stats, "VALUES_PER_RANGE", per_range)
     rnd = random.Random(4)
     qr = [(q, r) for q in range(6) for r in range(6)]
     df = spark.createDataFrame([(q, r, float(q > 2) * 3 + rnd.random()) for q, r in qr], "q long, r long, y double").select(
