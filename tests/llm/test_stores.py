@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gapgrid.llm import topk, warc
@@ -61,3 +62,18 @@ def test_top_k(spark, monkeypatch):
     few = df.where("vec_id < 5")
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(few, F.col("vec_id") % 20 == 0, 7).collect()) == sorted(brute([r for r in rows if r[0] is not None and r[0] < 5], 7))
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0 and topk.top_k(df, F.lit(False)).count() == 0
+
+
+def test_top_k_ties_and_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    rng = random.Random(8)
+    rows = [(i, [1.0, 2.0, 0.5]) for i in range(150)] + [(150 + i, [rng.choice([0.0, 1.0, -1.0]) for _ in range(3)]) for i in range(150)]
+    df = spark.createDataFrame([(*r, True) for r in rows], "vec_id long, embedding array<double>, is_query boolean")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 9).collect())
+    assert got == sorted(brute(rows, 9))
+    wide = [(i, [(1 << 22) + rng.random(), float(rng.randrange(1 << 22)), rng.random()]) for i in range(60)]  # products beyond 2^53
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(wide, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 9).collect())
+    assert got == sorted(brute(wide, 9))
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e300, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>"), F.lit(True))
