@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gapgrid.session import checkpoint_root, discard, materialize
 
-__all__ = ["checkpoint_root", "discard", "map_batches", "materialize", "read_table", "ship", "slices_of", "text_bytes", "utf8_column"]
+__all__ = ["checkpoint_root", "discard", "free_names", "map_batches", "materialize", "read_table", "ship", "slices_of", "text_bytes", "utf8_column"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,17 @@ def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The ``names``, lengthened where ``df`` has a column of that name already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def utf8_column(name: str = "text"):
     """The column as bytes, null as empty, so that tasks read Arrow buffers without decoding strings."""
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary").alias(name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapgrid.llm.common import materialize
+from gapgrid.llm.common import free_names, materialize
 
 SUPPORT = 0.001
 
@@ -45,12 +45,16 @@ def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", sup
 
 
 def drop_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """The rows of ``docs`` that ``exact_duplicates`` keeps; of rows equal in ``doc_id`` and text, one."""
+    """The rows of ``docs`` that ``exact_duplicates`` keeps, all columns as they are; of rows equal in ``doc_id`` and text, any one.
+
+    A null text counts as empty, a null ``doc_id`` stays only in groups without any other. Empty in, empty out.
+    """
+    id_, sha, n, own = free_names(docs, "kept_id", "kept_sha", "kept_rows", "own_sha")
     out = exact_duplicates(docs, support=support).where("kept")
-    kept = materialize(out.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("__n")), "kept")
+    kept = materialize(out.groupBy(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)).agg(F.count("*").alias(n)), "kept")
     digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
-    rows = docs.withColumn("__digest", digest).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")))
-    if kept.where("__n > 1").isEmpty():
+    rows = docs.withColumn(own, digest).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(sha)))
+    if kept.where(F.col(n) > 1).isEmpty():
         return rows.select(*docs.columns)
-    again = rows.where("__n > 1").dropDuplicates(["__id", "__sha"])
-    return rows.where("__n = 1").unionByName(again).select(*docs.columns)
+    again = rows.where(F.col(n) > 1).dropDuplicates([id_, sha])
+    return rows.where(F.col(n) == 1).unionByName(again).select(*docs.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapgrid.llm.common import map_batches, slices_of, text_bytes
+from gapgrid.llm.common import free_names, map_batches, slices_of, text_bytes
 
 #: Reference text per language in bytes; it comes from so many documents at most, so many characters of each.
 REFERENCE = 32 << 10
@@ -33,14 +33,15 @@ def reference_texts(df: DataFrame, text: str = "text", lang: str = "lang", key:
     """
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     h = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40))
-    share = rows.groupBy(F.col(lang).cast("string").alias("__lang")).agg((F.lit(4.0 * PIECES * (1 << 40)) / F.count("*")).alias("__below"))
-    some = rows.join(F.broadcast(share), F.col(lang).cast("string") == F.col("__lang")).where(h <= F.col("__below"))
+    name, below = free_names(rows, "learned", "below")
+    share = rows.groupBy(F.col(lang).cast("string").alias(name)).agg((F.lit(4.0 * PIECES * (1 << 40)) / F.count("*")).alias(below))
+    some = rows.join(F.broadcast(share), F.col(lang).cast("string") == F.col(name)).where(h <= F.col(below))
     t = F.lower(F.col(text).cast("string"))
     at = (F.pmod(h, F.greatest(F.length(t) - PIECE, F.lit(1))) + 1).cast("int")
-    got = some.select("__lang", h.alias("h"), F.substring(t, at, F.lit(PIECE)).alias("t")).collect()
+    got = some.select(F.col(name).alias("name"), h.alias("h"), F.substring(t, at, F.lit(PIECE)).alias("t")).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(got):
-        out.setdefault(r["__lang"], []).append(r.t)
+        out.setdefault(r["name"], []).append(r.t)
     return {k: " ".join(x[:PIECES]).encode()[:REFERENCE] for k, x in out.items()}
 
 
@@ -177,5 +178,9 @@ def predict(df: DataFrame, texts: dict[str, bytes], key: str = "doc_id", text: s
 
 
 def identify(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Learn from the rows where ``learn`` holds and ``lang`` is not null; predict every row's language from its text alone."""
+    """Learn from the rows where ``learn`` holds and ``lang`` is not null; predict every row's language from its text alone.
+
+    Null keys and texts, repeated rows and other columns are as in ``predict``; rows with a null text teach nothing; without any
+    row to learn from, every prediction is ``und``. Empty in, empty out.
+    """
     return predict(df, reference_texts(df.where(learn), text, lang, key), key, text)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapgrid.llm.common import materialize
+from gapgrid.llm.common import free_names, materialize
 
 LEVELS = ("domain", "lang", "source")
 
@@ -69,9 +69,12 @@ def leaf_budgets(leaves: DataFrame, percent: int, max_epochs: int, weights: dict
 
 
 def mixture(df: DataFrame, weights: dict[str, dict[str, int]], percent: int = 50, max_epochs: int = 4, seed: int = 42,
-            key: str = "doc_id", text: str = "text") -> DataFrame:
+            key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """One row per input row: ``key``, the leaf (domain, lang, source), ``tokens`` and ``copies``, how often the mixture holds it.
 
+    With ``row``, a column of unique numbers, it comes back in place of ``key``, and rows with a null key are ordered by
+    the MD5 of their text too, so that they spread over the hash.
+
     The mixture asks for ``percent`` of all tokens of the input, dealt by ``leaf_budgets``. A leaf whose budget is e whole
     epochs and a rest holds each document e times, and once more those that come first in the order of the seeded hash
     of (seed, epoch, ``key``), as long as their running tokens stay within the rest. The order is cut into 4,096 ranges of the
@@ -79,7 +82,10 @@ def mixture(df: DataFrame, weights: dict[str, dict[str, int]], percent: int = 50
     leaf of their own (``''``), null keys count as -1; rows equal in hash are ordered by key and tokens, and equal rows
     are interchangeable. A leaf without tokens holds each of its documents once. Empty in, empty out.
     """
-    docs = df.select(F.col(key).cast("long").alias(key), domain_of().alias("domain"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in LEVELS[1:]),
+    id_, salt = free_names(df.select(*{key, text, *LEVELS[1:]}), "id", "salt")
+    spread = F.when(F.col(key).isNull(), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))) if row else F.lit(None).cast("string")
+    back = (F.col(row) if row else F.lit(0)).cast("long").alias(id_)
+    docs = df.select(F.col(key).cast("long").alias(key), back, spread.alias(salt), domain_of().alias("domain"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in LEVELS[1:]),
                      document_tokens(text).alias("tokens"))
     docs = materialize(docs, "mix-docs")
     leaves = materialize(docs.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
@@ -88,7 +94,7 @@ def mixture(df: DataFrame, weights: dict[str, dict[str, int]], percent: int = 50
                        .withColumn("rest", F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0))
                        .select(*LEVELS, "epochs", "rest"), "mix-plan")
     # (leaf, epochs, rest) is small next to the documents; its join is left to Spark, which splits hot leaves
-    ordered = docs.join(plan, list(LEVELS)).withColumn("h", F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "epochs", F.coalesce(F.col(key), F.lit(-1)))), 1, 15))
+    ordered = docs.join(plan, list(LEVELS)).withColumn("h", F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "epochs", F.coalesce(F.col(key), F.lit(-1)), salt)), 1, 15))
     ordered = ordered.withColumn("bucket", F.substring("h", 1, 3))
     ordered = materialize(ordered, "mix-ordered")
     per = ordered.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("tokens").alias("in_bucket"))
@@ -99,15 +105,21 @@ def mixture(df: DataFrame, weights: dict[str, dict[str, int]], percent: int = 50
             .select(*LEVELS, "e.edge", "e.before"))
     edge = materialize(edge, "mix-edges")
     near = ordered.join(edge, list(LEVELS), "left")
-    cum = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("h", key, "tokens").rowsBetween(Window.unboundedPreceding, 0))
+    cum = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("h", key, "tokens", id_).rowsBetween(Window.unboundedPreceding, 0))
     inside = (near.where("bucket = edge").withColumn("more", (cum + F.col("before") <= F.col("rest")).cast("int")))
     whole = near.where("edge IS NULL OR bucket <> edge").withColumn("more", ((F.col("rest") > 0) & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge")))).cast("int"))
-    return inside.unionByName(whole).select(key, *LEVELS, "tokens", (F.col("epochs") + F.col("more")).cast("long").alias("copies"))
+    return inside.unionByName(whole).select(F.col(id_).alias(row) if row else key, *LEVELS, "tokens", (F.col("epochs") + F.col("more")).cast("long").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str, dict[str, int]], percent: int, max_epochs: int, seed: int) -> DataFrame:
-    """Rows of ``docs`` as often as the mixture holds them."""
-    m = mixture(docs, weights, percent, max_epochs, seed).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    m = m.select(F.col("doc_id").alias("__id"), "__copies")
-    out = docs.join(m, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """Rows of ``docs`` as often as the mixture holds them, all columns as they are.
+
+    Every row has a decision of its own: rows are numbered, so a repeated or null ``doc_id`` stands for nothing but its row and the
+    leaf budgets hold. Of rows equal in ``doc_id`` and tokens, the ones to come first are any. Null texts have no tokens and stay as often as
+    ``mixture`` says (at least once in a leaf without tokens). Empty in, empty out.
+    """
+    row, copies, n = free_names(docs, "row_number", "copies", "copy_number")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    m = mixture(numbered, weights, percent, max_epochs, seed, row=row).where("copies > 0").select(row, F.col("copies").cast("int").alias(copies))
+    out = numbered.join(m, row)
+    return out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapgrid.llm.common import map_batches, ship, slices_of, text_bytes
+from gapgrid.llm.common import free_names, map_batches, ship, slices_of, text_bytes
 
 BITS = 17
 STEM = 5
@@ -241,9 +241,10 @@ def graded(docs: DataFrame, labels: DataFrame, least: float = 0.5, seed: int = 4
         return (docs.withColumn("expected_grade", F.lit(None).cast("double")).withColumn("tail_probability", F.lit(None).cast("double"))
                 .withColumn("selected", F.lit(True)))
     ship(docs.sparkSession)
-    out = docs.withColumn("__tail", tail_columns(model, F.col("text")))
-    return (out.withColumn("expected_grade", F.col("__tail.expected")).withColumn("tail_probability", F.col("__tail.tail"))
-            .withColumn("selected", F.col("__tail.tail") >= least).drop("__tail"))
+    tail = free_names(docs, "tail")[0]
+    out = docs.withColumn(tail, tail_columns(model, F.col("text")))
+    return (out.withColumn("expected_grade", F.col(tail)["expected"]).withColumn("tail_probability", F.col(tail)["tail"])
+            .withColumn("selected", F.col(tail)["tail"] >= least).drop(tail))
 
 
 def select_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, seed: int = 42) -> DataFrame:

@@ -3,7 +3,9 @@
 A chunk's ids are turned into offsets. Where two neighbouring chunks both end a token in their overlap, the left chunk's
 tokens before the cut and the right chunk's tokens from it on are joined if the two tokens that meet stay apart when they
 are encoded together: each part is then a canonical encoding, and so is the whole, since byte-pair merges between
-neighbours are decided pair by pair. If no cut of an overlap passes, the overlap is doubled, at last to the whole text.
+neighbours are decided pair by pair. The pair checked at last is the pair that meets: the next chunk starts at the cut and its encoding
+may begin with another token than the overlap's, so the token before the cut is held against the first token of the encoding that is counted.
+If no cut of an overlap passes, the overlap is doubled; if a pair that meets would merge, chunks and overlaps are, at last to the whole text.
 """
 
 from __future__ import annotations
@@ -68,6 +70,7 @@ def tokens_of(path: str) -> PieceTokens:
 def count_tokens(tok: PieceTokens, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Number of ids of ``text``, holding the ids of one chunk at a time."""
     text = text.replace(tok.MARK, " ")  # the model reads both as the same mark
+    meets = None  # the token before ``at``
     total, at = 0, 0  # ids of text[:at] are counted, and a token ends at ``at``
     while at < len(text):
         size = chunk
@@ -78,14 +81,18 @@ def count_tokens(tok: PieceTokens, text: str, chunk: int = CHUNK, overlap: int =
             left = text[at:end]
             ids, ends = tok.encode(left, at == 0)
             if end == len(text):
-                total += len(ids)
-                return total
+                break
             lap_at = max(0, len(left) - lap)
             cut = splice(tok, left, ids, ends, lap_at, text[at + lap_at:end + lap])
             if cut is None:
                 lap *= 2
                 size = max(size, 2 * lap)
+        if meets is not None and not tok.apart(meets, left.encode()[:int(ends[0])]):
+            return count_tokens(tok, text, 2 * chunk, 2 * overlap)
+        if cut is None:
+            return total + len(ids)
         n, chars = cut
+        meets = left.encode()[max(0, int(ends[n - 2])) if n > 1 else 0:int(ends[n - 1])]
         total += n
         at += chars
     return total

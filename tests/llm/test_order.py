@@ -6,7 +6,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
-from gapgrid.llm import mixture, training_order
+from gapgrid.llm import exact_dedup, mixture, similar, training_order
 from gapgrid.llm.files import shared_folder
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -105,3 +105,23 @@ def test_mixture_rows(spark):
     again = mixture.mixture(df.repartition(7), {}, 60, 3, 1)
     assert sorted(map(repr, again.select(*sorted(out.columns)).collect())) == sorted(map(repr, out.select(*sorted(out.columns)).collect()))
     assert out.where(F.col("tokens") > 0).groupBy("domain", "lang", "source").agg((F.max("copies") - F.min("copies")).alias("d")).where("d > 1").count() == 0
+
+
+def test_rows_of_one_id_have_decisions_of_their_own(spark):
+    rows = [(1, "en", "s", "x" * 8), *((1, "en", "s", "y" * 400 + str(i)) for i in range(20)), *((None, "en", "s", f"null {i} " * 20) for i in range(50))]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    for percent in (20, 60, 150):
+        mixed = [r.text for r in mixture.mixed_documents(df, {}, percent, 3, 1).collect()]
+        total = sum(-(-len(r[3]) // 4) for r in rows)
+        got = sum(-(-len(t) // 4) for t in mixed)
+        assert total * percent / 100 - 150 < got <= total * percent / 100
+    assert {t.startswith("null") for t in mixed} == {True, False}
+
+
+def test_clashing_names(spark):
+    names = ["__n", "__id", "__sha", "__digest", "__copies", "row_number", "copies", "copy_number", "kept_id", "kept_sha", "kept_rows", "own_sha", "own_digest", "kept_digest", "id", "salt"]
+    rows = [(i, "en", "s", t, *(f"{n}{i}" for n in names)) for i, t in enumerate(["a b c d e f", "A b c d e f", "a b c d e f", "other words"])]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for stage, ids in ((exact_dedup.drop_copies, [1, 2, 3]), (similar.drop_similar, [0, 3]), (lambda d: mixture.mixed_documents(d, {}, 100, 1, 1), [0, 1, 2, 3])):
+        out = stage(df)
+        assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [rows[i] for i in ids]

@@ -20,6 +20,15 @@ def test_spliced_counts():
         assert token_counts.count_tokens(tok, s, chunk=200, overlap=16) == len(tok.whole.encode(s))
 
 
+def test_the_pair_that_meets_is_checked():
+    tok, rng = token_counts.tokens_of(MODEL), random.Random(5)
+    parts = ["e", "ing", "inge", "s", "ed", " the", "er", "in", "g", " "]
+    for chunk, overlap, n, size in ((40, 4, 1500, 300), (4096, 4, 8, 40_000)):
+        for _ in range(n):
+            s = "".join(rng.choices(parts[:3] if rng.random() < 0.5 else parts, k=rng.randint(size // 6, size // 2)))
+            assert token_counts.count_tokens(tok, s, chunk=chunk, overlap=overlap) == len(tok.whole.encode(s))
+
+
 def test_count_rows(spark):
     texts = ["", None, " ", "<s> </s> <unk>", "word " * 20000, "中" * 40000, "a" * 70000, "tie", "tie", "▁x ▁"]
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(None, "n", 0)], "doc_id long, text string, n_tokens int")
