@@ -7,8 +7,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gapgrid.plans.registry import QUERIES
 from gapgrid.sources import exports, tables
 
+from tests.conftest import SF_DIR
+
 
 def write(path, text, encoding):
     path.write_bytes(text.encode(encoding))
@@ -122,3 +125,15 @@ def test_editions_name_only_what_is_complete(spark, tmp_path):
     label, found = editions.read_edition(spark, root)
     assert label == "two" and list(found) == ["gap"] and found["gap"].count() == 5
     assert editions.read_edition(spark, root, 1)[1]["weeks"].count() == 5
+
+
+def test_exports_of_a_table_whose_first_split_is_empty(spark):
+    """The rows of the only row group belong to a middle split, so the first task writes nothing."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4000")
+    try:
+        got = QUERIES["detect_encoding"](spark, SF_DIR).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(map(tuple, got)) == [("a", "utf-8"), ("b", "latin-1"), ("c", "utf-8")]
