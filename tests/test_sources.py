@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapgrid.plans.registry import QUERIES
+from gapgrid.plans.stages import stages_for
+from gapgrid.plans.views import FILE_A
 from gapgrid.sources import exports, tables
 
 from tests.conftest import SF_DIR
@@ -137,3 +139,15 @@ def test_exports_of_a_table_whose_first_split_is_empty(spark):
     finally:
         spark.conf.set(name, before)
     assert sorted(map(tuple, got)) == [("a", "utf-8"), ("b", "latin-1"), ("c", "utf-8")]
+
+
+def test_registry_of_a_table_whose_first_split_is_empty(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4000")
+    try:
+        got = {(r.source_encoding, r.columns): r.rows for r in QUERIES["file_registry"](spark, SF_DIR).collect()}
+    finally:
+        spark.conf.set(name, before)
+    trips = stages_for(spark, SF_DIR).trips.groupBy("source_file").count().collect()
+    assert got == {("utf-8", 2): 0, **{("utf-8", 9) if r.source_file == FILE_A else ("latin-1", 10): r["count"] for r in trips}}
