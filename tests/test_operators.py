@@ -188,6 +188,20 @@ def test_densify_keeps_both_ends_and_skips_single_points(spark):
     assert max(gaps) <= total / (len(out) - 1) + 1e-6
 
 
+def test_copies_of_a_shape_are_sampled_once(spark, monkeypatch):
+    a, b, c = (-17.40, -66.10), (-17.41, -66.10), (-17.41, -66.12)
+    lines = {5: [a, b, c], 3: [a, b, c], 9: [a, c, b], 4: [a, b], 7: [a, a], 8: [b, b], 6: [a, b, c], 2: [c]}
+    shapes = spark.createDataFrame([(k, i, *v) for k, vs in lines.items() for i, v in enumerate(vs)], "shape_id long, seq int, lat double, lon double")
+    whole, seen = network.densify_polyline(shapes, 50.0).select("x", "y").distinct().collect(), []
+    plain = network.densify_polyline
+    monkeypatch.setattr(network, "densify_polyline", lambda s, *rest: seen.append(s) or plain(s, *rest))
+    got = network.network_points(shapes).collect()
+    near = lambda rows: sorted((round(r.x, 6), round(r.y, 6)) for r in rows)
+    assert near(got) == near(whole)
+    assert {r.shape_id for r in seen[0].collect()} == {2, 3, 4, 7, 8, 9}
+    assert network.network_points(shapes.limit(0)).isEmpty()
+
+
 def test_lengths_do_not_depend_on_the_slices(stages, monkeypatch):
     key = ["shape_id", "seq"]
     a = network.segments(stages.shapes).select(*key, "upto", "before").collect()
