@@ -384,3 +384,42 @@ def test_copies_are_merged_and_the_rest_passes(spark):
     some = cleaning.first_distinct(df, among=F.col("c") != "hot")
     assert some.where("c = 'hot'").count() == 300 and some.where("c <> 'hot'").count() == len(want) - 1
     assert cleaning.first_distinct(df.limit(0)).count() == 0
+
+
+def test_area_test_stays_compiled(spark):
+    """The generated code doesn't grow with the edges of the area: methods of over 8,000 bytes are left to the interpreter by the JVM."""
+    def sizes(n):
+        ring = [(-66.157 + 0.05 * math.cos(2 * math.pi * k / n), -17.394 + 0.05 * math.sin(2 * math.pi * k / n)) for k in range(n)]
+        area = geometry.make_area(ring, 1000.0)
+        rows = spark.range(10).select((F.lit(-17.45) + F.col("id") * 0.02).alias("lat"), (F.lit(-66.2) + F.col("id") * 0.01).alias("lon"))
+        units = geometry.add_inside(rows, area, "lat", "lon", "inside").agg(F.count_if("inside"))._jdf.queryExecution().debug().codegenToSeq()
+        return [units.apply(i)._3().maxMethodCodeSize() for i in range(units.size())]
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan is there before it runs
+    try:
+        for n in (13, 60):  # before: 12,865 bytes, and a method that is too large for the class file (-1)
+            assert sizes(n) and all(0 < s < 8000 for s in sizes(n))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_area_test_equals_plain_arithmetic(spark):
+    """Rings of no, one, two and many vertices, with a vertex twice, against the distance to each segment."""
+    rnd = random.Random(5)
+    pts = [(i, rnd.uniform(-3000, 3000), rnd.uniform(-3000, 3000)) for i in range(400)] + [(400, 0.0, 0.0), (401, None, None)]
+    df = spark.createDataFrame(pts, "id int, px double, py double")
+    ring = [(-900.0, -800.0), (1000.0, -700.0), (1000.0, -700.0), (1100.0, 900.0), (-300.0, 1200.0)]
+    for xy in ([], ring[:1], ring[:2], ring):
+        area = geometry.StudyArea(tuple(xy), tuple(xy), 500.0)
+        got = {r.id: r.v for r in df.select("id", geometry._inside(area, F.col("px"), F.col("py")).alias("v")).collect()}
+        for i, x, y in pts[:-1]:
+            edges = list(zip(xy, xy[1:] + xy[:1]))
+            solid = len(edges) > 2 and all((b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= 0 for a, b in edges)
+            near = []
+            for a, b in edges:
+                n = (b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2
+                t = max(0.0, min(1.0, ((x - a[0]) * (b[0] - a[0]) + (y - a[1]) * (b[1] - a[1])) / n)) if n else 0.0
+                near.append(math.hypot(x - a[0] - t * (b[0] - a[0]), y - a[1] - t * (b[1] - a[1])))
+            assert got[i] == (solid or min(near, default=math.inf) < 500.0), (len(xy), i)
+        assert not got[401]
