@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapgrid.llm.common import map_batches, slices_of, text_bytes, utf8_column
+from gapgrid.llm.common import frugal, map_batches, slices_of, text_bytes, utf8_column
 
 # The pattern that this implementation follows, and the endings it cuts off after an apostrophe.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -307,23 +307,32 @@ def encode_batches(path: str, data: np.ndarray, offsets: np.ndarray, only_count:
         yield i, j, *ranks.encode(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], only_count)
 
 
+def binary_array(raw: bytes, offsets: np.ndarray) -> pa.Array:
+    """The ranges of ``raw`` between n + 1 offsets as a binary column over the same memory (``pa.array`` never frees memoryviews that it is given)."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.array(offsets, pa.int32()).buffers()[1], pa.py_buffer(raw)])
+
+
+def digests(raw: bytes, offsets: np.ndarray) -> pa.Array:
+    """SHA-256 of the ranges of ``raw`` between n + 1 offsets."""
+    view = memoryview(raw)
+    return pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(offsets, offsets[1:])], pa.string())
+
+
 def _encoded(df: DataFrame, path: str, key: str, text: str, keep_ids: bool) -> DataFrame:
     def run(batches):
-        ranks, digest = ranks_of(path), lambda x: hashlib.sha256(x).hexdigest()
+        ranks = ranks_of(path)
         for batch in batches:
             data, off = text_bytes(batch.column(1))
             for i, j, ids, n in encode_batches(path, data, off):
-                raw, end = memoryview(ids.astype("<u4").tobytes()), 4 * np.concatenate([[0], np.cumsum(n)])
+                raw, end = ids.astype("<u4").tobytes(), 4 * np.concatenate([[0], np.cumsum(n)])
                 back, stop = ranks.decode(ids, n)
-                back = memoryview(back.tobytes())
-                own = [raw[a:b] for a, b in zip(end, end[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(own, pa.binary()) if keep_ids else pa.array([digest(x) for x in own], pa.string()),
-                     pa.array([digest(back[a:b]) for a, b in zip(stop, stop[1:])], pa.string())], ["key", "n_tokens", ids_name, "decoded_sha256"])
+                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), binary_array(raw, end) if keep_ids else digests(raw, end),
+                     digests(back.tobytes(), stop)], ["key", "n_tokens", ids_name, "decoded_sha256"])
 
     ids_name = "ids" if keep_ids else "ids_sha256"
     src = df.select(F.col(key).cast("long").alias("key"), utf8_column(text))
-    return map_batches(src, run, f"key long, n_tokens long, {ids_name} {'binary' if keep_ids else 'string'}, decoded_sha256 string").withColumnRenamed("key", key)
+    return map_batches(src, frugal(run), f"key long, n_tokens long, {ids_name} {'binary' if keep_ids else 'string'}, decoded_sha256 string").withColumnRenamed("key", key)
 
 
 def encode_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

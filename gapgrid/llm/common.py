@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import tempfile
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gapgrid.session import checkpoint_root, discard, materialize
 
-__all__ = ["checkpoint_root", "discard", "free_names", "map_batches", "materialize", "read_table", "ship", "slices_of", "text_bytes", "utf8_column"]
+__all__ = ["checkpoint_root", "discard", "free_names", "frugal", "give_back", "map_batches", "materialize", "read_table", "ship", "slices_of", "text_bytes", "utf8_column"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,37 @@ def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+@lru_cache(1)
+def _malloc_trim():
+    """The C library's function of that name; None where it has none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Spark keeps a Python worker for the next tasks, and large arrays freed between small ones stay with it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = _malloc_trim()
+    if trim is not None:
+        trim(0)
+
+
+def frugal(run):
+    """``run``, a function of ``map_batches``, with ``give_back`` after every batch and at the end."""
+    def given(batches):
+        for batch in batches:
+            yield batch
+            del batch
+            give_back()
+
+    def lean(batches):
+        try:
+            yield from run(given(batches))
+        finally:
+            give_back()
+
+    return lean
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The ``names``, lengthened where ``df`` has a column of that name already."""
     taken = {c.lower() for c in df.columns}

@@ -1,9 +1,11 @@
 import base64
+import gc
 import hashlib
 import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 from gapgrid.llm import bpe
@@ -47,3 +49,20 @@ def test_rows(spark):
     back = bpe.decode_documents(bpe.encode_documents(df, PATH), PATH).collect()
     assert sorted(bytes(r.data) for r in back) == sorted((r[1] or "").encode() for r in rows)
     assert bpe.round_trip(df.limit(0), PATH).count() == 0
+
+
+def test_batches_leave_no_views_behind(spark, monkeypatch):
+    """A worker runs many tasks: what a batch was encoded to must go with it."""
+    kept = []
+    whole = bpe.map_batches
+    monkeypatch.setattr(bpe, "map_batches", lambda df, run, schema: kept.append(run) or whole(df, run, schema))
+    bpe.encode_documents(spark.createDataFrame([(1, "a")], "doc_id long, text string"), PATH)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array([b"word %d" % k for k in range(499)] + [b""])], ["key", "text"])
+    views = lambda: sum(isinstance(x, memoryview) for x in gc.get_objects())
+    before = views()
+    out = pa.Table.from_batches(list(kept[0](iter([batch, batch]))))
+    assert out.num_rows == 1000 and out["ids"][999].as_py() == b""
+    lone = bpe.ranks_of(PATH).encode(np.frombuffer(b"word 7", np.uint8), np.array([0, 6]))[0]
+    assert out["ids"][507].as_py() == lone.astype("<u4").tobytes()
+    assert out["decoded_sha256"][507].as_py() == hashlib.sha256(b"word 7").hexdigest()
+    assert views() - before < 10
