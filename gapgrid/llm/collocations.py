@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapgrid.llm.common import discard, map_batches, materialize, slices_of, text_bytes, utf8_column
+from gapgrid.llm.common import discard, frugal, map_batches, materialize, slices_of, text_bytes, utf8_column
 
 #: Bytes of text in one step, phrases counted before they leave a task, bits of a bitmap (as a power of two; 4 MB).
-SLICE, FLUSH, BITS = 4 << 20, 1 << 20, 25
+SLICE, FLUSH, BITS = 1 << 20, 1 << 18, 25
 #: Occurrences of the first words of each expansion, as shares of a language's words.
 SHARES = (0.25, 1.0)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -60,13 +60,17 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers(n: int) -> list[np.ndarray]:
-    """The first powers of the hash's base and of its inverse, ``n`` of them at least; kept per worker."""
-    if n > len(_POWERS[0]):
-        for k, base in enumerate((int(_ODD), pow(int(_ODD), -1, 1 << 64))):
-            p = np.full(max(n, SLICE), base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS
+    """The first powers of the hash's base and of its inverse, ``n`` of them at least; those of a slice are kept per worker."""
+    if n <= len(_POWERS[0]):
+        return _POWERS
+    powers = []
+    for base in (int(_ODD), pow(int(_ODD), -1, 1 << 64)):
+        p = np.full(max(n, SLICE + 1), base, np.uint64)
+        p[0] = 1
+        powers.append(np.multiply.accumulate(p, out=p))
+    if n <= SLICE + 1:
+        _POWERS[:] = powers
+    return powers
 
 
 def word_hashes(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -102,7 +106,7 @@ def bitmap(phrases: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], ["segment", "bits"])
 
     out = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in map_batches(phrases.select("lang", "phrase"), run, "segment long, bits binary").groupBy("segment").agg(F.bitmap_or_agg("bits").alias("bits")).collect():
+    for r in map_batches(phrases.select("lang", "phrase"), frugal(run), "segment long, bits binary").groupBy("segment").agg(F.bitmap_or_agg("bits").alias("bits")).collect():
         out[r.segment << 12:(r.segment + 1) << 12] = np.frombuffer(r.bits, np.uint8)
     return out
 
@@ -185,7 +189,7 @@ def counted(docs: DataFrame, places) -> DataFrame:
         if held:
             yield from merged().to_batches(1 << 16)
 
-    rows = map_batches(docs, run, "kind int, lang string, phrase string, n long")
+    rows = map_batches(docs, frugal(run), "kind int, lang string, phrase string, n long")
     return rows.groupBy("kind", "lang", "phrase").agg(F.sum("n").alias("n"))
 
 

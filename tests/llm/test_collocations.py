@@ -86,3 +86,25 @@ def test_query_equals_sql_on_small_tables(spark):
     got = op12_collocations(spark, SF_DIR).select(*want.columns).toPandas()
     by = ["lang", "rank"]
     assert len(want) and got.sort_values(by).values.tolist() == want.sort_values(by).values.tolist()
+
+
+def test_a_task_holds_little_beside_its_batch(spark, monkeypatch):
+    """Two workers share an executor with its JVM: arrays of a step stay small, whatever the batch."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    kept = []
+    whole = collocations.map_batches
+    monkeypatch.setattr(collocations, "map_batches", lambda df, run, schema: kept.append(run) or whole(df, run, schema))
+    monkeypatch.setattr(collocations, "_POWERS", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    collocations.counted(spark.createDataFrame([("en", b"a")], "lang string, text binary"), lambda s: [(2, s.begins(2), 2)])
+    texts = [" ".join(f"w{(i * 7919 + k * k) % 99991}" for k in range(1000)).encode() for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    tracemalloc.start()
+    rows = sum(sum(out["n"].to_pylist()) for out in kept[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 999 * len(texts)
+    assert peak < 80 << 20, peak
